@@ -1,0 +1,167 @@
+"""Duplicates hidden by formatting differences (problem 4): recursive radix partitioning on canonical bytes, counted in tries.
+
+A record's canonical bytes are 8 mixing bytes (a hash of what follows, so that shared beginnings such as a scheme or a host
+don't make the first digits useless) and then the canonical url and content themselves. Steps:
+
+1. Each map task makes canonical bytes in the JVM and combines equal ones of a batch, with the ids they stand for; the
+   combined rows are written to the shared folder. A group that holds a third of all rows shrinks here to a row a batch.
+2. Buckets are the values of the first byte. A bucket with more than ``bucket_rows`` combined rows is split by its next byte,
+   and again, until each fits or holds a single key. The histograms read only the narrow column with the mixing bytes; two
+   digits are counted in a pass, and only oversized buckets (at most rows / bucket_rows of them) reach the driver.
+3. The combined rows are shuffled by bucket; each bucket is put into a trie with path compression, whose terminals count the
+   copies and keep the smallest id. Comparison is on whole canonical bytes.
+4. Terminals of more than one copy meet the narrow combined rows (digest and ids, no text) again, which gives every copy the
+   first id of its group. Spark's skew join may split this join, as one side has each key once.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import alnum_key
+from ..session import materialize
+
+FIELD_LINE = r"^[^:\n]{1,60}:"
+
+
+def canonical_url(c: Column) -> Column:
+    """Letters, marks and digits of the lower-cased url; the parts of the query, each canonical, in order."""
+    path, query = F.substring_index(c, "?", 1), F.when(F.instr(c, "?") > 0, F.expr("substring({0}, instr({0}, '?') + 1)".format("__u"))).otherwise("")
+    parts = F.array_sort(F.filter(F.transform(F.split(query, "&"), alnum_key), lambda x: x != ""))
+    return F.concat(alnum_key(path), F.lit("?"), F.array_join(parts, "&"))
+
+
+def canonical_content(c: Column) -> Column:
+    """Canonical fields in order for a JSON object and for lines that all are ``field: value``; canonical prose otherwise."""
+    bare = F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+", "")
+    obj = F.when(F.startswith(bare, F.lit("{")), F.from_json(bare, "map<string,string>"))
+    fields = F.transform(F.map_entries(obj), lambda e: alnum_key(F.concat(e["key"], F.coalesce(e["value"], F.lit("")))))
+    rows = F.filter(F.split(c, r"[\r\n\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]+"), lambda x: alnum_key(x) != "")
+    is_fields = (F.size(rows) > 1) & F.forall(rows, lambda x: x.rlike(FIELD_LINE))
+    joined = lambda a: F.array_join(F.array_sort(a), "\x1e")
+    return F.when(F.size(fields) > 0, joined(fields)).when(is_fields, joined(F.transform(rows, alnum_key))).otherwise(alnum_key(c))
+
+
+def _canonical(rows: DataFrame, id_col: str, url: str, content: str) -> DataFrame:
+    x = rows.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("__u"), F.col(content).cast("string").alias("__c")).where("id is not null and __u is not null and __c is not null")
+    x = x.where(F.regexp_replace("__c", r"[\s\p{Z}\p{Cf}\p{Cc}]+", "") != "")
+    x = x.select("id", canonical_url(F.col("__u")).alias("u"), canonical_content(F.col("__c")).alias("c"))
+    text = F.concat_ws("\x1f", "u", "c")
+    return x.select("id", F.concat(F.unhex(F.lpad(F.hex(F.xxhash64("u", "c")), 16, "0")), F.encode(text, "UTF-8")).alias("key"), F.unhex(F.md5(text)).alias("digest"))
+
+
+def _combine(batches):
+    """Equal keys of a batch become one row: key, digest, ids (in order)."""
+    for b in batches:
+        groups: dict[bytes, list[int]] = {}
+        for i, k in enumerate(b.column(1).to_pylist()):
+            groups.setdefault(k, []).append(i)
+        ids, own = b.column(0).to_pylist(), [g[0] for g in groups.values()]
+        lists = pa.array([sorted(ids[i] for i in g) for g in groups.values()], pa.list_(b.column(0).type))
+        take = pa.array(own, pa.int64())
+        yield pa.record_batch([b.column(1).take(take), b.column(2).take(take), lists], names=["key", "digest", "ids"])
+
+
+class Trie:
+    """A byte trie with path compression; a terminal counts its key's copies and keeps the smallest id and the digest."""
+
+    __slots__ = ("root",)
+
+    def __init__(self):
+        self.root: dict = {}  # first byte -> [edge, children, terminal]
+
+    def add(self, key: bytes, first, copies: int, digest: bytes) -> None:
+        children, at = self.root, 0
+        while True:
+            node = children.get(key[at])
+            if node is None:
+                children[key[at]] = [key[at:], {}, [first, copies, digest]]
+                return
+            edge = node[0]
+            if not key.startswith(edge, at):
+                k, most = 1, min(len(edge), len(key) - at)
+                while k < most and edge[k] == key[at + k]:
+                    k += 1
+                children[key[at]] = node = [edge[:k], {edge[k]: [edge[k:], node[1], node[2]]}, None]
+                edge = node[0]
+            at += len(edge)
+            if at == len(key):
+                if node[2] is None:
+                    node[2] = [first, copies, digest]
+                else:
+                    node[2][0] = min(node[2][0], first)
+                    node[2][1] += copies
+                return
+            children = node[1]
+
+    def terminals(self):
+        stack = list(self.root.values())
+        while stack:
+            _, children, end = stack.pop()
+            if end is not None:
+                yield end
+            stack.extend(children.values())
+
+
+def _count(table: pa.Table) -> pa.Table:
+    trie = Trie()
+    for key, digest, first, n in zip(*(table.column(c).to_pylist() for c in ("key", "digest", "first", "n"))):
+        trie.add(key, first, n, digest)
+    rows = list(trie.terminals())
+    return pa.table({"digest": pa.array([r[2] for r in rows], pa.binary()), "first": pa.array([r[0] for r in rows], table.column("first").type), "copies": pa.array([r[1] for r in rows], pa.int64())})
+
+
+def oversized(heads: DataFrame, bucket_rows: int, most_digits: int = 8) -> list[set[str]]:
+    """For each depth from 1 byte on, the prefixes (hex) of the mixing bytes whose buckets must be split by the next byte."""
+    split: list[set[str]] = []
+    live = heads
+    for depth in range(2, most_digits + 1, 2):
+        h = live.select(F.hex(F.substring("head", 1, depth - 1)).alias("p1"), F.hex(F.substring("head", 1, depth)).alias("p2"), "head")
+        # the second digit's counts, combined in the map tasks; oversized first digits are sums of them
+        counts = h.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min("head").alias("lo"), F.max("head").alias("hi"))
+        one = counts.groupBy("p1").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("n") > bucket_rows) & (F.col("lo") != F.col("hi")))
+        big1 = {r["p1"] for r in one.select("p1").collect()}  # at most rows / bucket_rows
+        if not big1:
+            break
+        big2 = {r["p2"] for r in counts.where((F.col("n") > bucket_rows) & (F.col("lo") != F.col("hi"))).select("p2").collect()}
+        split += [big1, big2]
+        if not big2:
+            break
+        live = live.where(F.hex(F.substring("head", 1, depth)).isin(sorted(big2)))
+    return split
+
+
+def canonical_copies(rows: DataFrame, *, id_col: str, url: str, content: str, bucket_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): groups has first (the smallest id), copies and digest of every group of at least two records that are
+    the same but for formatting; members has first and id of every record of such a group but the first.
+
+    Records are the same when url and content agree after leaving out letter case, white space, punctuation, symbols and
+    format characters, and the order of the url's query parameters and of the fields of a content made of fields. Null ids
+    and urls, and null or blank contents, are in no group. A row delivered twice counts as a copy but is never its own member
+    row twice. Texts are compared whole. An empty table gives two empty results.
+    """
+    src = _canonical(rows, id_col, url, content)
+    kind = src.schema["id"].dataType.simpleString()
+    pre = materialize(src.mapInArrow(_combine, f"key binary, digest binary, ids array<{kind}>").select("*", F.substring("key", 1, 8).alias("head")), "canonical")
+    bucket = F.hex(F.substring("head", 1, 1))
+    for depth, prefixes in enumerate(oversized(pre.select("head"), bucket_rows), 1):
+        bucket = F.when(F.hex(F.substring("head", 1, depth)).isin(sorted(prefixes)), F.hex(F.substring("head", 1, depth + 1))).otherwise(bucket) if prefixes else bucket
+    keyed = pre.select(bucket.alias("bucket"), "key", "digest", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("n"))
+    ends = keyed.groupBy("bucket").applyInArrow(_count, f"digest binary, first {kind}, copies bigint")
+    groups = materialize(ends.where("copies > 1"), "groups")
+    members = pre.select("digest", F.explode("ids").alias("id")).join(groups, "digest").where(F.col("id") != F.col("first")).select("first", "id").distinct()
+    return groups, members
+
+
+def canonical_members(rows: DataFrame, **kw) -> DataFrame:
+    """first, id: every record of a group but its first."""
+    return canonical_copies(rows, **kw)[1]
+
+
+def one_each(rows: DataFrame, *, id_col: str, url: str, content: str, **kw) -> DataFrame:
+    """The rows without the later copies, with a column copies (1 where nothing is the same)."""
+    groups, members = canonical_copies(rows, id_col=id_col, url=url, content=content, **kw)
+    kept = rows.join(members.select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    return kept.join(groups.select(F.col("first").alias("__first"), F.col("copies").alias("copies")), F.col(id_col) == F.col("__first"), "left").drop("__first").withColumn("copies", F.coalesce("copies", F.lit(1)))

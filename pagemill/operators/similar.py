@@ -1,0 +1,128 @@
+"""Near-duplicate records with small edits: a parity-sketch join (problem 2).
+
+A record is the set of its distinct runs of ``run`` successive words, as 64-bit hashes. Two views of one parity sketch of that
+set are used. The wide one has 2**64 positions, of which the hashes are the set bits; the narrow one folds them by XOR into
+256 bits, so that the Hamming distance of two narrow sketches is a lower bound of the sets' symmetric difference.
+
+* Likeness t allows at most floor((1 - t) * |A|) of A's bits to be missing in B. By the pigeonhole principle at least one of
+  any floor((1 - t) * |A|) + 1 bits of A is in B, and with one order of all bits for both sides the same holds among the first
+  so many bits of each. Those bits are joined. Bits are ordered from rare to frequent, so that phrases which a third of all
+  records share meet only where a record has nothing rarer.
+* Sizes outside the band [t * |A|, |A| / t] are refused in the join condition, and so is every pair whose sketches differ in
+  more than (1 - t) / (1 + t) * (|A| + |B|) bits; both run inside the join, before anything is written.
+* What is left is verified on the full sets.
+
+Equal texts are one class before the join; only class representatives are joined. No pair is lost: each step is a necessary
+condition of likeness t. Frequencies are counted over all records; of them the ``order_bits`` highest, a fixed number, are
+broadcast as two sorted arrays (12 bytes each), all others count as rare. The order only has to be the same for both sides,
+so a bound there costs speed, never pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import ws_words
+from ..session import materialize
+
+
+def _sets(rows: DataFrame, id_col: str, text: str, run: int, min_words: int) -> DataFrame:
+    """id, h (hash of the words), sh (sorted hashes of the distinct runs) of every record of enough words."""
+    x = rows.select(F.col(id_col).alias("id"), ws_words(F.lower(F.col(text).cast("string"))).alias("w")).where(f"id is not null and size(w) >= {max(min_words, run)}")
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - run), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(run)]))
+    return x.select("id", F.md5(F.array_join("w", " ")).alias("h"), F.array_sort(F.array_distinct(runs)).alias("sh"))
+
+
+def _prefixes(t: float, hot, batches):
+    """Arrow batches (id, sh) -> one row for each of the first floor((1 - t) * size) + 1 bits: bit, id, size and the narrow sketch."""
+    order = hot.value
+    for b in batches:
+        ids, lists = b.column(0), b.column(1)
+        at = np.asarray(lists.offsets, dtype=np.int64)
+        at, bits = at - at[0], np.asarray(lists.flatten())
+        size = np.diff(at)
+        if not len(bits):
+            continue
+        doc = np.repeat(np.arange(len(size)), size)
+        df = np.zeros(len(bits), dtype=np.int32)
+        if len(order[0]):
+            k = np.minimum(np.searchsorted(order[0], bits), len(order[0]) - 1)
+            df = np.where(order[0][k] == bits, order[1][k], 0)
+        u = bits.view(np.uint64)
+        word, one = (u >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (u & np.uint64(63))
+        sketch = [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), at[:-1]).view(np.int64) for w in range(4)]
+        by = np.lexsort((bits, df, doc))
+        keep = by[(np.arange(len(bits)) - at[:-1][doc]) <= np.floor((1 - t) * size + 1e-9).astype(np.int64)[doc]]
+        own = doc[keep]
+        yield pa.record_batch([pa.array(bits[keep]), ids.take(pa.array(own)), pa.array(size[own].astype(np.int32)), *[pa.array(s[own]) for s in sketch]], names=["bit", "id", "size", "s0", "s1", "s2", "s3"])
+
+
+def similar_classes(rows: DataFrame, *, id_col: str, text: str, run: int = 5, likeness: float = 0.8, min_words: int = 20, order_bits: int = 400_000) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members has id and rep, the smallest id with the same words; pairs has a < b and likeness, each pair of
+    representatives that are alike to at least ``likeness``, once.
+
+    Records with a null id, null or blank text or under ``min_words`` words are in neither. Repeated rows of one id count once.
+    Texts are taken whole. Columns other than the two named are ignored. An empty table gives two empty results.
+    """
+    spark, t = rows.sparkSession, likeness
+    sets = _sets(rows, id_col, text, run, min_words)
+    kind = sets.schema["id"].dataType.simpleString()
+    reps = materialize(sets.groupBy("h").agg(F.min("id").alias("rep"), F.first("sh").alias("sh")), "sets")
+    ids = rows.select(F.col(id_col).alias("id"), ws_words(F.lower(F.col(text).cast("string"))).alias("w")).where(f"id is not null and size(w) >= {max(min_words, run)}")
+    members = materialize(ids.select("id", F.md5(F.array_join("w", " ")).alias("h")).distinct().join(reps.select("h", "rep"), "h").select("id", "rep"), "members")
+    one = reps.groupBy("rep").agg(F.first("sh").alias("sh"))  # an id delivered with two texts: its first set
+
+    top = reps.select(F.explode("sh").alias("bit")).groupBy("bit").count().where("count > 1").orderBy(F.desc("count"), "bit").limit(order_bits).toArrow()
+    bits, n = top.column("bit").to_numpy(), np.minimum(top.column("count").to_numpy(), 2**31 - 1).astype(np.int32)
+    by = np.argsort(bits)
+    hot = spark.sparkContext.broadcast((np.ascontiguousarray(bits[by]), np.ascontiguousarray(n[by])))
+    found = one.select(F.col("rep").alias("id"), "sh").mapInArrow(lambda it: _prefixes(t, hot, it), f"bit bigint, id {kind}, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    l, r = found.alias("l"), found.alias("r")
+    apart = sum((F.bit_count(F.col(f"l.s{k}").bitwiseXOR(F.col(f"r.s{k}"))) for k in range(4)), F.lit(0))
+    near = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.id") < F.col("r.id"))
+    near &= (F.col("l.size") >= t * F.col("r.size") - 1e-9) & (F.col("r.size") >= t * F.col("l.size") - 1e-9)
+    near &= apart <= (1 - t) / (1 + t) * (F.col("l.size") + F.col("r.size")) + 1e-9
+    cand = l.join(r, near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    x = cand.join(one.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a").join(one.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    x = x.select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb") - both).alias("u")).where(F.col("n") >= t * F.col("u") - 1e-9)
+    return members, x.select("a", "b", (F.col("n") / F.col("u")).alias("likeness"))
+
+
+def similar_pairs(rows: DataFrame, *, id_col: str, text: str, **kw) -> DataFrame:
+    """id_a < id_b, likeness: all pairs of alike records, those of equal texts (likeness 1) and of class members included."""
+    members, pairs = similar_classes(rows, id_col=id_col, text=text, **kw)
+    pairs = materialize(pairs, "alike")
+    m = members.alias("m")
+    same = m.join(members.alias("n"), (F.col("m.rep") == F.col("n.rep")) & (F.col("m.id") < F.col("n.id"))).select(F.col("m.id").alias("x"), F.col("n.id").alias("y"), F.lit(1.0).alias("likeness"))
+    across = pairs.join(members.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(members.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b").where("x <> y").select("x", "y", "likeness")
+    return same.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "likeness")
+
+
+def similar_groups(rows: DataFrame, *, id_col: str, text: str, rounds: int = 40, **kw) -> DataFrame:
+    """id, group, links: one row for every record with enough words; group is the smallest id of its connected component and
+    links the number of representatives that are alike to its own.
+
+    Components by repeated minimum over the links between representatives, shortened by jumping to the label's own label; each
+    round is written to the shared folder. Records without a partner are a group of their own.
+    """
+    members, pairs = similar_classes(rows, id_col=id_col, text=text, **kw)
+    pairs = materialize(pairs, "alike")
+    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    label = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("g")), "label")
+    for _ in range(rounds):
+        seen = edges.join(label.select(F.col("x").alias("y"), "g"), "y").groupBy("x").agg(F.min("g").alias("near"))
+        step = label.join(seen, "x").select("x", F.least("g", "near").alias("g"), F.col("g").alias("old"))
+        jump = step.join(step.select(F.col("x").alias("g"), F.col("g").alias("far")), "g", "left")
+        new = materialize(jump.select("x", F.least("g", F.coalesce("far", "g")).alias("g"), "old"), "label")
+        label = new.select("x", "g")
+        if new.where("g <> old").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the components did not settle in {rounds} rounds")
+    links = edges.groupBy("x").agg(F.count("*").alias("links"))
+    rep = members.select(F.col("rep").alias("x")).distinct().join(label, "x", "left").join(links, "x", "left")
+    return members.join(rep.withColumnRenamed("x", "rep"), "rep").select("id", F.coalesce("g", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

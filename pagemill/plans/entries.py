@@ -2,5 +2,43 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import functions as F
+
+from ..operators import canonical, similar
+from ..session import table
+
+
+def p2_found(spark, d):
+    x = similar.similar_pairs(table(spark, d, "source_items"), id_col="item_id", text="content", run=3, likeness=0.6, min_words=20)
+    return x.select(F.col("id_a").alias("item_id_a"), F.col("id_b").alias("item_id_b")).distinct()
+
+
+def p4_found(spark, d):
+    x = canonical.canonical_members(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
+    return x.select(F.col("first").alias("first_rec_id"), F.col("id").alias("rec_id"))
+
+
+QUERIES: dict = {"p2_found": p2_found, "p4_found": p4_found}
+SQL: dict = {
+    "p2_found": r"""
+WITH w AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(content), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda x: x <> '') w FROM source_items WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT item_id, concat_ws(chr(31), w[i], w[i + 1], w[i + 2]) g FROM w, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 20),
+n AS (SELECT item_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.item_id a, b.item_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.item_id < b.item_id GROUP BY 1, 2)
+SELECT a AS item_id_a, b AS item_id_b FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k * 10 >= 6 * (x.n + y.n - k)""",
+    "p4_found": r"""
+WITH r AS (SELECT DISTINCT rec_id, url, content c, regexp_replace(content, '^[\s\p{Z}\p{Cf}]+', '') b FROM import_records
+           WHERE rec_id IS NOT NULL AND url IS NOT NULL AND content IS NOT NULL AND regexp_replace(content, '[\s\p{Z}\p{Cf}\p{Cc}]+', '', 'g') <> ''),
+j AS (SELECT rec_id, list_transform(json_keys(b), lambda k: regexp_replace(lower(k || coalesce(json_extract_string(b, '$."' || k || '"'), '')), '[^\p{L}\p{M}\p{N}]+', '', 'g')) f
+      FROM r WHERE b LIKE '{%' AND json_valid(b)),
+l AS (SELECT rec_id, list_filter(string_split_regex(c, '[\r\n\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g') <> '') f FROM r),
+k AS (SELECT rec_id, regexp_replace(lower(split_part(url, '?', 1)), '[^\p{L}\p{M}\p{N}]+', '', 'g') || '?' ||
+        CASE WHEN instr(url, '?') > 0 THEN array_to_string(list_sort(list_filter(list_transform(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g')), lambda x: x <> '')), '&') ELSE '' END u,
+        CASE WHEN len(j.f) > 0 THEN array_to_string(list_sort(j.f), chr(30))
+             WHEN len(l.f) > 1 AND len(list_filter(l.f, lambda x: NOT regexp_matches(x, '^[^:\n]{1,60}:'))) = 0
+             THEN array_to_string(list_sort(list_transform(l.f, lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g'))), chr(30))
+             ELSE regexp_replace(lower(c), '[^\p{L}\p{M}\p{N}]+', '', 'g') END c
+      FROM r JOIN l USING (rec_id) LEFT JOIN j USING (rec_id)),
+f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY u, c) first_rec_id FROM k)
+SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id""",
+}
