@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from ..session import table
-from . import broken_pairs, cutoff, encode, leaks, site_lines
+from . import boilerplate, broken_pairs, cutoff, encode, leaks, site_lines
 
 
 def p1_found(spark, d):
     return broken_pairs.broken_pairs(table(spark, d, "qa_pairs"))
 
 
+def p3_found(spark, d):
+    return boilerplate.boilerplate_lines(table(spark, d, "raw_pages"))
+
+
 def p10_found(spark, d):
     return cutoff.cut_documents(table(spark, d, "documents"))
 
@@ -30,7 +34,7 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p10_found": p10_found, "p10_sources": p10_sources, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p10_found": p10_found, "p10_sources": p10_sources, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL = {
     "p7_found": r"""
