@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import boilerplate, broken_pairs, cutoff, encode, leaks, residue, site_lines
+from . import boilerplate, broken_pairs, cutoff, encode, leaks, residue, scans, site_lines
 
 
 def p1_found(spark, d):
@@ -14,6 +14,14 @@ def p3_found(spark, d):
     return boilerplate.boilerplate_lines(table(spark, d, "raw_pages"))
 
 
+def p5_found(spark, d):
+    return scans.noisy_lines(table(spark, d, "uploads"))
+
+
+def p5_paragraphs(spark, d):
+    return scans.repaired(table(spark, d, "uploads"))
+
+
 def p6_found(spark, d):
     return residue.residue_pages(table(spark, d, "crawl_pages"))
 
@@ -38,7 +46,7 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found, "p10_sources": p10_sources, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p10_found": p10_found, "p10_sources": p10_sources, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL = {
     "p7_found": r"""
