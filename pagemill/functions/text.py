@@ -20,6 +20,11 @@ def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS, " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(c, f"^{WS}|{WS}$", "")
+
+
 def word_count(c: Column) -> Column:
     """Number of word runs; 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import canonical, similar
+from ..functions import text as T
+from ..functions import url as U
+from ..operators import canonical, catalog, cleaning, export, similar
 from ..session import table
+from . import sql as S
 
 
 def p2_found(spark, d):
@@ -17,8 +21,181 @@ def p4_found(spark, d):
     x = canonical.canonical_members(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
     return x.select(F.col("first").alias("first_rec_id"), F.col("id").alias("rec_id"))
 
+# ---- text, urls
+
+
+def doc_word_count(spark, d):
+    x = table(spark, d, "documents")
+    return x.select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(T.ws_words(F.col("text"))).alias("ws_words"))
+
+
+def doc_fingerprint(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("content_hash"))
+
+
+def doc_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+
+
+def url_normalize(spark, d):
+    x = table(spark, d, "import_records").select("rec_id", "url")
+    return x.select("rec_id", U.normalize(F.col("url")).alias("url"))
+
+
+def url_hosts(spark, d):
+    x = table(spark, d, "import_records").where("url is not null").select("rec_id", U.clean_host(F.col("url")).alias("clean_host"), U.root_domain(U.clean_host(F.col("url"))).alias("root"), U.host(F.col("url")).alias("host"))
+    return x
+
+
+def url_crawlable(spark, d):
+    return table(spark, d, "import_records").where("url is not null").select("rec_id", U.crawlable(F.col("url")).alias("crawlable"))
+
+
+def url_same_domain(spark, d):
+    x = table(spark, d, "crawl_pages").where("url is not null").select("page_id", "url", "seed_url").distinct()
+    return x.select("page_id", U.same_domain(F.col("url"), F.col("seed_url"), False).alias("same"), U.same_domain(F.col("url"), F.col("seed_url"), True).alias("same_root"))
+
+
+def host_histogram(spark, d):
+    x = table(spark, d, "import_records").where("url is not null").groupBy(U.clean_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    return x.orderBy(F.desc("n"), "host").limit(4)
+
+
+def storage_paths(spark, d):
+    return table(spark, d, "crawl_jobs").select("job_id", U.storage_path(F.col("job_id"), F.col("seed_url")).alias("path"))
+
+
+# ---- cleaning
+
+
+def _judged(spark, d, **kw):
+    return cleaning.judged_pages(table(spark, d, "crawl_pages"), table(spark, d, "site_profiles"), **kw)
+
+
+def drop_reasons(spark, d):
+    return _judged(spark, d).select(F.col("id").alias("page_id"), "reason")
+
+
+def drop_histogram(spark, d):
+    x = _judged(spark, d).where("reason is not null")
+    return x.groupBy("job", F.substring_index("reason", " of ", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def line_boilerplate(spark, d):
+    return cleaning.boilerplate(_judged(spark, d)).select("job", F.md5("line").alias("line"), "pages", "kept")
+
+
+def ui_lines(spark, d):
+    x = table(spark, d, "raw_pages").select("raw_id", F.explode(T.lines(F.col("content"))).alias("line")).where(cleaning.is_ui_line(F.col("line")))
+    return x.groupBy("line").agg(F.count("*").alias("n"))
+
+
+def block_pages(spark, d):
+    return table(spark, d, "crawl_pages").select("page_id", cleaning.is_block_page(F.col("content")).alias("block")).distinct()
+
+
+def clean_pages(spark, d):
+    pages, _ = cleaning.clean_pages(table(spark, d, "crawl_pages"), table(spark, d, "site_profiles"))
+    return pages.select(F.col("id").alias("page_id"), "job", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), "word_count", "applied")
+
+
+def clean_summary(spark, d):
+    _, s = cleaning.clean_pages(table(spark, d, "crawl_pages"), table(spark, d, "site_profiles"))
+    return s
+
+
+def sitewide_lines(spark, d):
+    return cleaning.sitewide_lines(cleaning.cleaned(_judged(spark, d)))
+
+
+def removed_lines_top(spark, d):
+    x = cleaning.cleaned(_judged(spark, d)).where("reason is null").select("job", F.explode(F.array_distinct(F.array_except("lines", "kept_lines"))).alias("line"))
+    n = x.groupBy("job", "line").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("n"), "line"))).where("r <= 25")
+
+
+def page_retention(spark, d):
+    return cleaning.retention(cleaning.cleaned(_judged(spark, d))).select(F.col("id").alias("page_id"), "before", "after", "retention")
+
+
+def typical_and_worst_pages(spark, d):
+    w = Window.partitionBy("job").orderBy("retention", "id")
+    x = cleaning.retention(cleaning.cleaned(_judged(spark, d))).withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("job")))
+    half = F.floor(F.col("n") / 2) + 1
+    return x.where((F.col("r") <= 4) | (F.col("r") == half)).select("job", F.col("id").alias("page_id"), F.col("r").cast("int").alias("rank"), (F.col("r") == half).alias("typical"))
+
+
+def copies_only_lines(spark, d):
+    x = _judged(spark, d)
+    lines = lambda v: v.select("job", "url", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    gone = lines(x.where("reason is not null")).join(lines(x.where("reason is null")).select("job", "line").distinct(), ["job", "line"], "left_anti")
+    return gone.groupBy("job", "url").agg(F.count("*").alias("lines"))
+
+
+def report_copies(spark, d):
+    return _judged(spark, d, check_blocks=False, empty_copies=True).select(F.col("id").alias("page_id"), "reason")
+
+
+def refetch_candidates(spark, d):
+    x = _judged(spark, d).where((F.col("reason") == "block page (not the real page)"))
+    return x.select(F.col("id").alias("page_id"), "url")
+
+
+# ---- exports
+
+
+def page_names(spark, d):
+    return export.named_pages(table(spark, d, "crawl_pages")).select(F.col("id").alias("page_id"), "name", "short")
+
+
+def common_suffixes(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).withColumn("name", export.page_name(F.col("title"), F.col("url")))
+    return export.common_suffix(x, "job_id", "name", "page_idx")
+
+
+def content_export(spark, d):
+    return export.content_export(table(spark, d, "crawl_pages")).select("job", "idx", "page", F.md5("content").alias("content_md5"))
+
+
+def export_documents(spark, d):
+    return export.html_document(export.content_export(table(spark, d, "crawl_pages"))).select("job", F.md5("html").alias("html_md5"))
+
+
+# ---- change detection
+
+
+def _crawls(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"])
+    split = F.lit("2024-07-01").cast("timestamp_ntz")
+    return x.where(F.col("crawled_at") < split), x.where(F.col("crawled_at") >= split)
+
+
+def change_status(spark, d):
+    old, new = _crawls(spark, d)
+    return catalog.change_status(new, catalog.catalog_of(old)).select("page_id", "status")
+
+
+def change_counts(spark, d):
+    old, new = _crawls(spark, d)
+    return catalog.change_status(new, catalog.catalog_of(old)).groupBy("job_id").agg(F.count_if(F.col("status") == "new").alias("pages_new"), F.count_if(F.col("status") == "updated").alias("pages_updated"), F.count_if(F.col("status") == "skipped_unchanged").alias("pages_skipped"))
+
+
+def catalog_upsert(spark, d):
+    old, new = _crawls(spark, d)
+    return catalog.upsert(catalog.catalog_of(old), catalog.catalog_of(new), "url").select("url", "content_hash", "job_id")
+
+
+def latest_version(spark, d):
+    x = table(spark, d, "crawl_pages").join(table(spark, d, "crawl_jobs").select("job_id", "completed_at"), "job_id")
+    never = F.lit("0001-01-01").cast("timestamp_ntz")
+    return catalog.latest_versions(x, F.col("url"), [F.coalesce("completed_at", never), F.col("page_idx"), F.col("page_id")], ["page_id"]).withColumnRenamed("key", "url")
+
+
+QUERIES: dict = {f.__name__: f for f in [
+    p2_found, p4_found,
+    doc_word_count, doc_fingerprint, doc_lines, url_normalize, url_hosts, url_crawlable, url_same_domain, host_histogram, storage_paths, drop_reasons, drop_histogram, line_boilerplate, ui_lines, block_pages, clean_pages, clean_summary, sitewide_lines, removed_lines_top, page_retention, typical_and_worst_pages, copies_only_lines, report_copies, refetch_candidates, page_names, common_suffixes, content_export, export_documents, change_status, change_counts, catalog_upsert, latest_version,
+]}
 
-QUERIES: dict = {"p2_found": p2_found, "p4_found": p4_found}
 SQL: dict = {
     "p2_found": r"""
 WITH w AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(content), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda x: x <> '') w FROM source_items WHERE content IS NOT NULL),
@@ -42,3 +219,76 @@ k AS (SELECT rec_id, regexp_replace(lower(split_part(url, '?', 1)), '[^\p{L}\p{M
 f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY u, c) first_rec_id FROM k)
 SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id""",
 }
+SQL |= {
+    "doc_word_count": f"SELECT doc_id, coalesce({S.wc('text')}, 0) words, len(list_filter(string_split_regex(coalesce(text, ''), {S.q(T.WS)}), lambda x: x <> '')) ws_words FROM documents",
+    "doc_fingerprint": f"SELECT doc_id, sha256({S.norm('coalesce(text, chr(32))')}) content_hash FROM documents",
+    "doc_lines": f"SELECT doc_id, CAST(i - 1 AS INTEGER) pos, l[i] line FROM (SELECT doc_id, {S.lines('text')} l FROM documents), unnest(range(1, len(l) + 1)) u(i)",
+    "url_normalize": rf"""
+WITH p AS (SELECT rec_id, url, {S.part('url', 1)} s, lower({S.part('url', 2)}) a, {S.part('url', 3)} p, {S.part('url', 4)} q FROM import_records),
+k AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains([{', '.join(S.q(t) for t in U.TRACKING)}], lower(split_part(x, '=', 1))) AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_')),
+      lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END) ps FROM p)
+SELECT rec_id, CASE WHEN url IS NULL THEN NULL ELSE (CASE WHEN s = '' THEN 'https' ELSE lower(s) END) || '://' || a || (CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END)
+  || (CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END) END url FROM k""",
+    "url_hosts": rf"""
+WITH h AS (SELECT rec_id, {S.clean_host('url')} c, {S.part('url', 2)} a, url FROM import_records WHERE url IS NOT NULL), p AS (SELECT *, string_split(c, '.') p FROM h)
+SELECT rec_id, c clean_host, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND list_contains([{', '.join(S.q(t) for t in U.SECOND_LEVEL)}], p[-2]) THEN array_to_string(p[-3:], '.') WHEN len(p) >= 2 THEN array_to_string(p[-2:], '.') ELSE c END root,
+  CASE WHEN a <> '' THEN a ELSE url END host FROM p""",
+    "url_crawlable": rf"SELECT rec_id, lower({S.part('url', 1)}) IN ('http', 'https') AND NOT regexp_matches(lower({S.part('url', 3)}), '\.({'|'.join(U.BINARY)})$') crawlable FROM import_records WHERE url IS NOT NULL",
+    "url_same_domain": rf"""
+WITH x AS (SELECT DISTINCT page_id, url, seed_url, {S.clean_host('url')} a, {S.clean_host('seed_url')} b FROM crawl_pages WHERE url IS NOT NULL)
+SELECT page_id, a = b same, array_to_string(string_split(a, '.')[-2:], '.') = array_to_string(string_split(b, '.')[-2:], '.') same_root FROM x""",
+    "host_histogram": f"SELECT {S.clean_host('url')} host, count(*) n FROM import_records WHERE url IS NOT NULL GROUP BY 1 ORDER BY n DESC, host LIMIT 4",
+    "storage_paths": f"SELECT job_id, job_id || '_' || regexp_replace({S.clean_host('seed_url')}, '[^A-Za-z0-9._-]', '_', 'g') || '.json' path FROM crawl_jobs",
+    "drop_reasons": f"WITH {S.JUDGED} SELECT id page_id, reason FROM jd",
+    "drop_histogram": f"WITH {S.JUDGED} SELECT job, split_part(reason, ' of ', 1) reason, count(*) n FROM jd WHERE reason IS NOT NULL GROUP BY 1, 2",
+    "line_boilerplate": f"WITH {S.JUDGED}, {S.BOILER} SELECT job, md5(line) line, pages, kept FROM bl",
+    "ui_lines": f"WITH l AS (SELECT unnest({S.lines('content')}) line FROM raw_pages) SELECT line, count(*) n FROM l WHERE {S.ui('line')} GROUP BY 1",
+    "block_pages": f"SELECT DISTINCT page_id, {S.block('content')} block FROM crawl_pages",
+    "clean_pages": f"WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT jd.id page_id, jd.job, md5(CASE WHEN refused IS NULL THEN clean ELSE coalesce(jd.content, '') END) content_md5, CASE WHEN refused IS NULL THEN {S.wc('clean')} ELSE coalesce({S.wc('jd.content')}, 0) END word_count, refused IS NULL applied FROM jd JOIN su USING (job) LEFT JOIN (SELECT id, clean FROM cl) c USING (id) WHERE refused IS NOT NULL OR reason IS NULL",
+    "clean_summary": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT job, CASE WHEN own THEN 'profile' ELSE 'auto' END AS "mode", pages_in, pages_out, coalesce((SELECT count(*) FROM bl WHERE bl.job = su.job), 0) boilerplate_lines, wb words_before, wa words_after,
+  CASE WHEN wb > 0 THEN round(wa / wb, 3) ELSE 1.0 END kept_share, CASE WHEN wk > 0 THEN round(wa / wk, 3) ELSE 1.0 END kept_pages_share, refused FROM su""",
+    "sitewide_lines": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, f AS (SELECT job, line, min((idx, id, pos)) o FROM rm WHERE gone GROUP BY 1, 2), p AS (SELECT DISTINCT job, line FROM kk),
+r AS (SELECT job, line, row_number() OVER (PARTITION BY job ORDER BY o) AS n FROM f ANTI JOIN p USING (job, line)) SELECT job, CAST(n AS INTEGER) AS "at", line FROM r WHERE n <= 200""",
+    "removed_lines_top": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, g AS (SELECT DISTINCT job, id, line FROM rm ANTI JOIN kk USING (job, id, line)), c AS (SELECT job, line, count(*) n FROM g GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY job ORDER BY n DESC, line) AS INTEGER) r FROM c) SELECT * FROM r WHERE r <= 25""",
+    "page_retention": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, w AS (SELECT job, id, {S.wc("array_to_string(ls, ' ')")} b, {S.wc('clean')} a FROM cl) SELECT id page_id, b AS "before", a AS "after", CASE WHEN b > 0 THEN round(a / b, 6) ELSE 1.0 END retention FROM w""",
+    "typical_and_worst_pages": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, w AS (SELECT job, id, {S.wc("array_to_string(ls, ' ')")} b, {S.wc('clean')} a FROM cl), v AS (SELECT job, id, CASE WHEN b > 0 THEN round(a / b, 6) ELSE 1.0 END t FROM w),
+r AS (SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY t, id) r, count(*) OVER (PARTITION BY job) n FROM v) SELECT job, id page_id, CAST(r AS INTEGER) AS "rank", r = n // 2 + 1 typical FROM r WHERE r <= 4 OR r = n // 2 + 1""",
+    "copies_only_lines": f"WITH {S.JUDGED}, a AS (SELECT DISTINCT job, url, unnest(ls) line FROM jd WHERE reason IS NOT NULL), b AS (SELECT DISTINCT job, unnest(ls) line FROM jd WHERE reason IS NULL) SELECT job, url, count(*) AS lines FROM a ANTI JOIN b USING (job, line) GROUP BY 1, 2",
+    "report_copies": f"WITH {S.JUDGED.replace(S.block('content') + ' blk', 'false blk').replace('len(ls) > 0 AND fid <> id', 'fid <> id')} SELECT id page_id, reason FROM jd",
+    "refetch_candidates": f"WITH {S.JUDGED} SELECT id page_id, url FROM jd WHERE reason LIKE 'block page%'",
+    "latest_version": "SELECT url, arg_max(page_id, (coalesce(completed_at, TIMESTAMP '0001-01-01'), page_idx, page_id)) page_id FROM crawl_pages JOIN crawl_jobs USING (job_id) WHERE url IS NOT NULL GROUP BY 1",
+}
+
+_URL = SQL["url_normalize"]
+_NURL = _URL[_URL.rindex("CASE WHEN url IS NULL") : _URL.rindex(" url FROM k")]
+
+
+def _with_key(src: str, cols: str) -> str:
+    """The rows of ``src`` with their normalised url as ``key``."""
+    body = _URL.replace("rec_id, url", f"{cols}, url").replace("FROM import_records", f"FROM ({src})")
+    return body[: body.rindex("SELECT rec_id")] + f"SELECT {cols}, url, {_NURL} AS key FROM k"
+
+
+_CRAWL = "SELECT DISTINCT ON (page_id) page_id, job_id, title, content, crawled_at, url FROM crawl_pages ORDER BY page_id"
+_CATALOG = f"""
+oldp AS (SELECT * FROM ({_with_key(_CRAWL, 'page_id, job_id, title, content, crawled_at')}) WHERE crawled_at < TIMESTAMP '2024-07-01'),
+newp AS (SELECT * FROM ({_with_key(_CRAWL, 'page_id, job_id, title, content, crawled_at')}) WHERE crawled_at >= TIMESTAMP '2024-07-01'),
+oc AS (SELECT key, arg_max(page_id, (crawled_at, page_id)) page_id FROM oldp WHERE url IS NOT NULL GROUP BY 1),
+nc AS (SELECT key, arg_max(page_id, (crawled_at, page_id)) page_id FROM newp WHERE url IS NOT NULL GROUP BY 1),
+hs AS (SELECT page_id, job_id, sha256({S.norm("coalesce(content, '')")}) h FROM (SELECT * FROM oldp UNION ALL SELECT * FROM newp)),
+st AS (SELECT n.page_id, n.job_id, CASE WHEN coalesce(a.h, b.h) IS NULL THEN 'new' WHEN coalesce(a.h, b.h) = hs.h THEN 'skipped_unchanged' ELSE 'updated' END status FROM newp n JOIN hs USING (page_id)
+      LEFT JOIN (SELECT key, h FROM oc JOIN hs USING (page_id)) a ON a.key = n.key LEFT JOIN (SELECT key, h FROM oc JOIN hs USING (page_id)) b ON b.key = n.url)"""
+SQL |= {
+    "change_status": f"WITH {_CATALOG} SELECT page_id, status FROM st",
+    "change_counts": f"WITH {_CATALOG} SELECT job_id, count(*) FILTER (status = 'new') pages_new, count(*) FILTER (status = 'updated') pages_updated, count(*) FILTER (status = 'skipped_unchanged') pages_skipped FROM st GROUP BY 1",
+    "catalog_upsert": f"WITH {_CATALOG} SELECT key url, h content_hash, job_id FROM (SELECT * FROM nc UNION ALL SELECT * FROM oc ANTI JOIN nc USING (key)) JOIN hs USING (page_id)",
+}
+
+_ESC = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+SQL |= {
+    "page_names": f"WITH {S.NAMED} SELECT id page_id, name, short FROM n4",
+    "common_suffixes": f"WITH {S.NAMED} SELECT job job_id, suffix FROM s4",
+    "content_export": f"WITH {S.NAMED} SELECT job, idx, short page, md5(text) content_md5 FROM nm WHERE text <> ''",
+    "export_documents": f"WITH {S.NAMED} SELECT job, md5(string_agg('<h2>' || {_ESC('short')} || '</h2>' || (SELECT string_agg('<p>' || {_ESC('p')} || '</p>', '' ORDER BY i) FROM (SELECT unnest(string_split(text, chr(10) || chr(10))) p, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) i)), chr(10) ORDER BY idx)) html_md5 FROM nm WHERE text <> '' GROUP BY 1",
+}
