@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import canonical, catalog, cleaning, export, similar
+from ..operators import canonical, catalog, chunks, cleaning, export, intake, ops, similar, vectors
 from ..session import table
+from ..sources import api as sources_api
 from . import sql as S
 
 
@@ -190,10 +191,219 @@ def latest_version(spark, d):
     never = F.lit("0001-01-01").cast("timestamp_ntz")
     return catalog.latest_versions(x, F.col("url"), [F.coalesce("completed_at", never), F.col("page_idx"), F.col("page_id")], ["page_id"]).withColumnRenamed("key", "url")
 
+# ---- chunks, passages
+
+
+def chunk_pages(spark, d):
+    x = chunks.chunks(table(spark, d, "crawl_pages").dropDuplicates(["page_id"]))
+    return x.select("chunk_id", "job_id", "url", "chunk_index", F.md5("text").alias("text_md5"), "char_count")
+
+
+def passages(spark, d):
+    qa, _ = chunks.qa_pages(table(spark, d, "crawl_pages"))
+    return qa.select("job", "url", "title", F.md5("content").alias("content_md5"))
+
+
+def pages_left_whole(spark, d):
+    _, plain = chunks.qa_pages(table(spark, d, "crawl_pages"), most=20)
+    return plain.select(F.col("id").alias("page_id"))
+
+
+def valid_questions(spark, d):
+    return table(spark, d, "qa_pairs").select("qa_id", chunks.valid_question(F.col("question")).alias("valid"))
+
+
+def qa_rows_to_replace(spark, d):
+    pages = table(spark, d, "crawl_pages").where("change_status = 'updated'").select("url")
+    existing = table(spark, d, "qa_pairs").select(F.col("qa_id").alias("id"), "url")
+    return chunks.rows_to_replace(existing, existing.where("url is not null").select("url").join(pages.select(F.col("url").alias("p")).distinct(), chunks.base_url(F.col("url")) == F.col("p"), "left_semi").unionByName(existing.where("id % 3 = 0").select("url"))).select(F.col("id").alias("qa_id"))
+
+
+def qa_by_site(spark, d):
+    x = table(spark, d, "qa_pairs").groupBy("source_name").agg(F.count("*").alias("pairs"), F.countDistinct(chunks.base_url(F.col("url"))).alias("pages"), F.count_if(chunks.valid_question(F.col("question"))).alias("questions"))
+    return x
+
+
+def pages_with_passages(spark, d):
+    existing = table(spark, d, "crawl_pages").where("url is not null").select(F.concat("url", F.lit("#c1")).alias("url"))
+    return chunks.unchanged_with_passages(table(spark, d, "crawl_pages").select("url", "change_status"), existing)
+
+
+def pages_todo(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"])
+    skip = chunks.unchanged_with_passages(x.select("url", "change_status"), x.where("url is not null").select(F.concat("url", F.lit("#c1")).alias("url")))
+    return x.where("url is not null").join(skip, chunks.base_url(F.col("url")) == F.col("base"), "left_anti").select("page_id")
+
+
+def import_batches(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).where(T.strip(F.coalesce("content", F.lit(""))) != "")
+    return ops.batch_numbers(x, "job_id", ["page_idx", "page_id"], 8).groupBy("job_id", "batch").agg(F.count("*").alias("rows"), F.min("page_idx").alias("first_idx"))
+
+
+# ---- vectors
+
+
+def _one_query(spark, d):
+    e = table(spark, d, "embeddings")
+    return e, e.where("vec_id = 0").first()["embedding"]
+
+
+def vector_topk(spark, d):
+    e, q = _one_query(spark, d)
+    x = vectors.top_k(e, q, 10)
+    return x.select("vec_id", F.round(F.greatest(F.lit(0.0), 1 - F.col("d") / 2), 3).alias("similarity"), F.round("d", 4).alias("distance"))
+
+
+def vector_search(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.top_k_many(e, e.where("vec_id % 50 = 0"), 4).select("query_id", "vec_id", F.round("d", 4).alias("distance"), "rank")
+
+
+def _matches(spark, d):
+    e = table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("vec_id"), "text", "url", "title")
+    x = vectors.matches(vectors.top_k_many(e, e.where("vec_id % 50 = 0"), 4), docs)
+    return x.withColumn("question", F.concat(F.lit("What is near "), "query_id", F.lit("?")))
+
+
+def rag_prompts(spark, d):
+    return vectors.prompt(_matches(spark, d)).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def rag_answers(spark, d):
+    return vectors.grounded_answer(_matches(spark, d)).select("query_id", F.md5("answer").alias("answer_md5"))
+
+
+def rag_sources(spark, d):
+    return vectors.sources(_matches(spark, d)).select("query_id", "rank", "url", "title", "similarity")
+
+
+def vector_upsert(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    return catalog.upsert(e.where("vec_id % 3 <> 0"), e.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+
+
+def vector_delete(spark, d):
+    return table(spark, d, "embeddings").where("label <> 3").select("vec_id", "label")
+
+
+def vector_stats(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"))
+
+
+# ---- uploaded documents
+
+
+def tidy_pages(spark, d):
+    x = intake.upload_pages(table(spark, d, "uploads"))
+    return x.select("upload_id", "at", F.md5(intake.clean_text(F.col("text"))).alias("text_md5"))
+
+
+def layer_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", intake.layer_quality(F.col("text")).alias("quality"))
+
+
+def page_review(spark, d):
+    x = intake.upload_pages(table(spark, d, "uploads")).withColumn("j", intake.judge(F.col("text"), F.col("engine")))
+    return x.select("upload_id", "at", "j.review", "j.reason")
+
+
+def text_agreement(spark, d):
+    x = intake.upload_pages(table(spark, d, "uploads")).select("upload_id", "at", "text")
+    y = x.select("upload_id", (F.col("at") - 1).alias("at"), F.col("text").alias("other"))
+    return x.join(y, ["upload_id", "at"]).select("upload_id", "at", F.round(intake.agreement(F.col("text"), F.col("other")), 6).alias("agreement"))
+
+
+def repeated_line_strip(spark, d):
+    x = intake.strip_repeated_lines(intake.upload_pages(table(spark, d, "uploads")))
+    return x.select("upload_id", "at", F.md5("text").alias("text_md5"), "removed")
+
+
+def upload_list(spark, d):
+    return intake.upload_list(table(spark, d, "uploads"))
+
+
+def read_summary(spark, d):
+    return intake.upload_pages(table(spark, d, "uploads")).groupBy("engine").agg(F.count("*").alias("pages"), F.count_if(F.coalesce("review", F.lit(False))).alias("review"))
+
+
+def upload_crawl_pages(spark, d):
+    u = table(spark, d, "uploads")
+    return intake.as_crawl_pages(intake.upload_pages(u), u).select("upload_id", "url", "title", F.md5("content").alias("content_md5"), "word_count")
+
+
+# ---- jobs, quotas, streaks
+
+
+def job_list(spark, d):
+    return table(spark, d, "crawl_jobs").select("job_id", F.lower("status").alias("status"), "total_pages_crawled", "completed_at").orderBy(F.desc_nulls_last("completed_at"), "job_id")
+
+
+def job_page(spark, d):
+    x = table(spark, d, "crawl_jobs").select("job_id", "completed_at")
+    return ops.page_of(x, [F.desc_nulls_last("completed_at"), F.col("job_id")], 3)
+
+
+def job_search(spark, d):
+    x = table(spark, d, "crawl_jobs").select("job_id", "seed_url")
+    has = lambda c: F.contains(F.lower(c), F.lit("edu"))
+    return x.where(has(F.col("job_id")) | has(F.col("seed_url")) | has(U.host(F.col("seed_url"))))
+
+
+def job_totals(spark, d):
+    return table(spark, d, "crawl_jobs").agg(F.count("*").alias("jobs"), F.sum("total_pages_crawled").alias("pages"), F.count_if(F.lower("status").isin("queued", "running")).alias("active"))
+
+
+def job_errors(spark, d):
+    x = table(spark, d, "crawl_jobs").select("job_id", F.col("stats.max_pages_limit").alias("max_pages"), F.coalesce("stats.pages_new", F.lit(0)).alias("pages_new"), F.size(F.coalesce("stats.errors", F.array().cast("array<string>"))).alias("errors"), "total_pages_crawled")
+    return x.withColumn("progress", F.least(F.lit(100), F.round(F.try_divide(100 * F.col("total_pages_crawled"), F.col("max_pages"))).cast("int")))
+
+
+def job_union(spark, d):
+    x = table(spark, d, "crawl_jobs").select("job_id", "total_pages_crawled")
+    live = x.where("total_pages_crawled % 2 = 0").select("job_id", F.lit("running").alias("state"), F.lit(0).alias("pri"))
+    saved = x.select("job_id", F.lit("saved").alias("state"), F.lit(1).alias("pri"))
+    return catalog.by_priority(live.unionByName(saved), "job_id", "pri").select("job_id", "state")
+
+
+def latest_pages(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).select("job_id", "page_id", "page_idx")
+    return ops.latest(x, "job_id", [F.desc("page_idx"), F.desc("page_id")], 5)
+
+
+def daily_quota(spark, d):
+    return ops.daily_counts(table(spark, d, "events"), "ts", "event_type").select(F.col("day").cast("string").alias("day"), "event_type", "n", (F.col("n") > 100).alias("over"))
+
+
+def failure_streaks(spark, d):
+    return ops.streaks(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 3)
+
+
+def lockouts(spark, d):
+    x = table(spark, d, "events").where("event_type in ('error', 'signup')")
+    return ops.lockouts(x.withColumn("ok", F.col("event_type") == "signup"), key="user_id", at="ts", ok="ok")
+
+
+def cleanup_runs(spark, d):
+    return ops.spaced(table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts"), "user_id", "ts", 20).select("user_id", "event_id")
+
+
+def retention_plan(spark, d):
+    x = table(spark, d, "uploads").dropDuplicates(["upload_id"]).select("upload_id", "doc_kind", "size_bytes", F.datediff(F.lit("2025-06-01").cast("date"), F.to_date("created_at")).alias("age"))
+    return ops.retention_plan(x.where("age is not null"), kind="doc_kind", age_days="age", size="size_bytes", name="upload_id", days=7).select("upload_id", "delete")
+
+
+def source_quota(spark, d):
+    return sources_api.usable_items(table(spark, d, "source_items")).transform(lambda x: ops.type_quota(x, site="host", kind="kind", order=[F.desc_nulls_last("published_at"), F.col("item_id")], most=6)).select("item_id", "host", "kind", "rank")
+
+
+def usable_items(spark, d):
+    return sources_api.usable_items(table(spark, d, "source_items")).select("item_id", "kind")
 
 QUERIES: dict = {f.__name__: f for f in [
     p2_found, p4_found,
     doc_word_count, doc_fingerprint, doc_lines, url_normalize, url_hosts, url_crawlable, url_same_domain, host_histogram, storage_paths, drop_reasons, drop_histogram, line_boilerplate, ui_lines, block_pages, clean_pages, clean_summary, sitewide_lines, removed_lines_top, page_retention, typical_and_worst_pages, copies_only_lines, report_copies, refetch_candidates, page_names, common_suffixes, content_export, export_documents, change_status, change_counts, catalog_upsert, latest_version,
+    chunk_pages, passages, pages_left_whole, valid_questions, qa_rows_to_replace, qa_by_site, pages_with_passages, pages_todo, import_batches, vector_topk, vector_search, rag_prompts, rag_answers, rag_sources, vector_upsert, vector_delete, vector_stats, tidy_pages, layer_quality, page_review, text_agreement, repeated_line_strip, upload_list, read_summary, upload_crawl_pages, job_list, job_page, job_search, job_totals, job_errors, job_union, latest_pages, daily_quota, failure_streaks, lockouts, cleanup_runs, retention_plan, source_quota, usable_items,
 ]}
 
 SQL: dict = {
@@ -292,3 +502,91 @@ SQL |= {
     "content_export": f"WITH {S.NAMED} SELECT job, idx, short page, md5(text) content_md5 FROM nm WHERE text <> ''",
     "export_documents": f"WITH {S.NAMED} SELECT job, md5(string_agg('<h2>' || {_ESC('short')} || '</h2>' || (SELECT string_agg('<p>' || {_ESC('p')} || '</p>', '' ORDER BY i) FROM (SELECT unnest(string_split(text, chr(10) || chr(10))) p, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) i)), chr(10) ORDER BY idx)) html_md5 FROM nm WHERE text <> '' GROUP BY 1",
 }
+
+_WS = S.q(T.WS)
+_BASE = "split_part(url, '#', 1)"
+_VALID = "coalesce(length(trim(question)) BETWEEN 8 AND 220 AND (contains(question, '?') OR contains(question, '？')), false)"
+_DIST = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))"
+_TOP = f"tp AS (SELECT * FROM (SELECT b.vec_id query_id, a.vec_id, {_DIST} d, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DIST}, a.vec_id) r FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE r <= 4)"
+_MATCH = f"{_TOP}, mt AS (SELECT tp.*, text, url, title, round(greatest(0, 1 - d / 2), 3) similarity FROM tp LEFT JOIN (SELECT DISTINCT ON (doc_id) * FROM documents ORDER BY doc_id) x ON x.doc_id = tp.vec_id)"
+_PAGES = "up AS (SELECT upload_id, CAST(i - 1 AS INTEGER) AS pos, pages[i].n n, coalesce(pages[i].text, '') t, pages[i].engine engine, pages[i].review review FROM (SELECT DISTINCT ON (upload_id) * FROM uploads ORDER BY upload_id), unnest(range(1, len(pages) + 1)) u(i))"
+_WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), {S.q(T.WORD)}))"
+
+
+def _tidy(c: str) -> str:
+    x = rf"regexp_replace(regexp_replace(regexp_replace({c}, {S.q(intake.CONTROL)}, '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '\r\n?', chr(10), 'g')"
+    return S.strip(rf"regexp_replace(array_to_string(list_transform(string_split({x}, chr(10)), lambda v: {S.strip("regexp_replace(v, '[ \t]+', ' ', 'g')")}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_SOLID = f"regexp_replace(coalesce(text, ''), {_WS}, '', 'g')"
+_LINK = "split_part(coalesce(link, ''), '#', 1)"
+
+
+def _plain(c: str) -> str:
+    x = f"regexp_replace(coalesce({c}, ''), '<[^>]+>', '', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&#8217;", "’"), ("&#8211;", "–"), ("&amp;", "&")):
+        x = f"replace({x}, {S.q(a)}, {S.q(b)})"
+    return S.strip(x)
+
+
+_ITEMS = f"""
+i0 AS (SELECT DISTINCT ON (item_id) item_id, {_LINK} l, lower(coalesce(item_type, 'post')) kind, {_plain('title')} t, {S.strip("coalesce(content, '')")} c, coalesce(is_protected, false) p, published_at FROM source_items ORDER BY item_id),
+i1 AS (SELECT *, {S.clean_host('l')} host, string_split(trim({S.part('l', 3)}, '/'), '/')[-1] sl, CASE WHEN t <> '' AND NOT starts_with(c, t) THEN t || chr(10) || chr(10) || c ELSE c END x FROM i0),
+it AS (SELECT * FROM i1 WHERE l <> '' AND NOT p AND NOT regexp_matches(CASE WHEN sl = '' THEN 'home' ELSE sl END, {S.q(sources_api.JUNK_SLUG)}) AND {S.wc('x')} >= CASE WHEN kind = 'page' THEN 30 ELSE 8 END)"""
+SQL |= {
+    "valid_questions": f"SELECT qa_id, {_VALID} valid FROM qa_pairs",
+    "qa_rows_to_replace": f"WITH b AS (SELECT DISTINCT {_BASE} b FROM qa_pairs WHERE url IS NOT NULL AND (qa_id % 3 = 0 OR {_BASE} IN (SELECT url FROM crawl_pages WHERE change_status = 'updated'))) SELECT qa_id FROM qa_pairs WHERE {_BASE} IN (SELECT b FROM b)",
+    "qa_by_site": f"SELECT source_name, count(*) pairs, count(DISTINCT {_BASE}) pages, count(*) FILTER ({_VALID}) questions FROM qa_pairs GROUP BY 1",
+    "pages_with_passages": f"SELECT DISTINCT {_BASE} base FROM crawl_pages WHERE change_status = 'skipped_unchanged' AND url IS NOT NULL",
+    "pages_todo": f"SELECT DISTINCT page_id FROM crawl_pages WHERE url IS NOT NULL AND {_BASE} NOT IN (SELECT {_BASE} FROM crawl_pages WHERE change_status = 'skipped_unchanged' AND url IS NOT NULL)",
+    "import_batches": f"WITH x AS (SELECT DISTINCT page_id, job_id, page_idx, content FROM crawl_pages), n AS (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY page_idx, page_id) - 1) // 8 + 1 b FROM x WHERE {S.strip('content')} <> '') SELECT job_id, CAST(b AS INTEGER) batch, count(*) AS rows, min(page_idx) first_idx FROM n GROUP BY 1, 2",
+    "vector_topk": f"SELECT a.vec_id, round(greatest(0, 1 - {_DIST} / 2), 3) similarity, round({_DIST}, 4) distance FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY {_DIST}, a.vec_id LIMIT 10",
+    "vector_search": f"WITH {_TOP} SELECT query_id, vec_id, round(d, 4) distance, CAST(r AS INTEGER) AS rank FROM tp",
+    "rag_prompts": f"""WITH {_MATCH} SELECT query_id, md5('You are the assistant. Answer only from the passages, in the language of the question, and cite them as [Passage 1].' || chr(10) || string_agg(chr(10) || '[Passage ' || r || '] (Source: ' || coalesce(url, 'N/A') || ')' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY r)
+  || chr(10) || 'Question: What is near ' || query_id || '?' || chr(10) || 'Answer:') prompt_md5 FROM mt GROUP BY query_id""",
+    "rag_answers": """WITH """ + _MATCH + """ SELECT query_id, md5(string_agg(CASE WHEN r = 1 THEN 'Based on the knowledge crawled from **' || coalesce(title, 'the crawled website') || '**:' || chr(10) || chr(10) || '> ' || trim(coalesce(text, '')) || chr(10) || chr(10) || 'This information was retrieved from the official indexed documents.'
+  ELSE (CASE WHEN r = 2 THEN chr(10) || chr(10) || '**Additional Context:**' ELSE '' END) || chr(10) || '- *[Passage ' || r || ']*: ' || left(trim(coalesce(text, '')), 200) || '...' END, '' ORDER BY r)) answer_md5 FROM mt GROUP BY query_id""",
+    "rag_sources": f"WITH {_MATCH}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY r) k FROM mt WHERE url IS NOT NULL AND url <> '') SELECT query_id, CAST(r AS INTEGER) AS rank, url, coalesce(nullif(title, ''), url) title, similarity FROM s WHERE k = 1",
+    "vector_upsert": "SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0",
+    "vector_delete": "SELECT vec_id, label FROM embeddings WHERE label <> 3",
+    "vector_stats": "SELECT label, count(*) vectors FROM embeddings GROUP BY 1",
+    "tidy_pages": f"WITH {_PAGES} SELECT upload_id, pos AS \"at\", md5({_tidy('t')}) text_md5 FROM up",
+    "layer_quality": f"""WITH x AS (SELECT doc_id, {S.strip("coalesce(text, '')")} t, {_SOLID} s, list_sort(list_transform({S.lines('text')}, lambda v: length(v))) l FROM documents)
+SELECT doc_id, CASE WHEN length(t) < 40 THEN 'empty' WHEN length(regexp_replace(s, '[\\x{{00}}-\\x{{7f}}{intake.GOOD}]', '', 'g')) > 0.10 * length(s) THEN 'garbled' WHEN len(l) >= 8 AND l[len(l) // 2 + 1] <= 5 THEN 'garbled' ELSE 'good' END quality FROM x""",
+    "page_review": f"""WITH {_PAGES}, w AS (SELECT *, len({_WORDS('t')}) c FROM up)
+SELECT upload_id, pos AS "at", CASE WHEN c < 5 AND engine IN ('gemini', 'openai') AND {S.strip('t')} = '' THEN false WHEN c < 5 THEN true ELSE coalesce(engine = 'tesseract', false) END review,
+CASE WHEN c < 5 AND engine IN ('gemini', 'openai') AND {S.strip('t')} = '' THEN '' WHEN c < 5 THEN 'very little text' WHEN engine = 'tesseract' THEN 'read by Tesseract only' ELSE '' END reason FROM w""",
+    "text_agreement": f"""WITH {_PAGES}, w AS (SELECT upload_id, pos, {_WORDS('t')} a FROM up)
+SELECT x.upload_id, x.pos AS "at", round(coalesce(len(list_intersect(x.a, y.a)) / nullif(least(len(x.a), len(y.a)), 0), 0), 6) agreement FROM w x JOIN w y ON y.upload_id = x.upload_id AND y.pos = x.pos + 1""",
+    "repeated_line_strip": f"""WITH {_PAGES}, l AS (SELECT upload_id, pos, i, string_split(t, chr(10))[i] line FROM up, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(i)),
+n AS (SELECT upload_id, count(*) FILTER ({S.strip('t')} <> '') full_ FROM up GROUP BY 1),
+c AS (SELECT upload_id, lower({S.norm('line')}) k, count(DISTINCT pos) c FROM l WHERE {S.strip('line')} <> '' AND length({S.strip('line')}) <= 120 GROUP BY 1, 2),
+g AS (SELECT upload_id, k FROM c JOIN n USING (upload_id) WHERE full_ >= 6 AND c >= greatest(5, floor(0.4 * full_))),
+k AS (SELECT l.*, {S.strip('line')} <> '' solid, g.k IS NOT NULL AND {S.strip('line')} <> '' gone FROM l LEFT JOIN g ON g.upload_id = l.upload_id AND g.k = lower({S.norm('line')})),
+m AS (SELECT upload_id, pos, min(i) FILTER (solid AND NOT gone) a, max(i) FILTER (solid AND NOT gone) z FROM k GROUP BY 1, 2),
+f AS (SELECT k.*, NOT gone AND coalesce(i IN (a, z), false) AND length({S.strip('line')}) <= 12 AND regexp_matches({S.strip('line')}, {S.q(intake.PAGE_NO)}) num FROM k JOIN m USING (upload_id, pos)),
+r AS (SELECT upload_id, pos, count(*) FILTER (gone OR num) removed, coalesce(string_agg(CASE WHEN num THEN '' ELSE line END, chr(10) ORDER BY i) FILTER (NOT gone), '') x FROM f GROUP BY 1, 2)
+SELECT upload_id, pos AS "at", md5(CASE WHEN full_ >= 6 THEN {_tidy('x')} ELSE t END) text_md5, CASE WHEN full_ >= 6 THEN removed ELSE 0 END removed FROM r JOIN n USING (upload_id) JOIN up USING (upload_id, pos)""",
+    "upload_list": """SELECT upload_id, file_name, doc_kind, lower(status) status, created_at, coalesce(len(pages), 0) pages, coalesce(len(list_filter(pages, lambda v: coalesce(v.review, false))), 0) review_pages,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(pages, lambda v: v.engine), lambda e: e IS NOT NULL AND e <> ''))), ','), '') engines FROM (SELECT DISTINCT ON (upload_id) * FROM uploads ORDER BY upload_id)""",
+    "read_summary": f"WITH {_PAGES} SELECT engine, count(*) pages, count(*) FILTER (coalesce(review, false)) review FROM up GROUP BY 1",
+    "upload_crawl_pages": f"""WITH {_PAGES}, c AS (SELECT upload_id, count(*) many FROM up GROUP BY 1), f AS (SELECT DISTINCT ON (upload_id) upload_id, file_name FROM uploads ORDER BY upload_id)
+SELECT upload_id, 'https://uploads.invalid/' || upload_id || '#p' || n url, coalesce(file_name, '') || CASE WHEN many > 1 THEN ' - page ' || n ELSE '' END title, md5(t) content_md5, len(list_filter(string_split_regex(t, {_WS}), lambda v: v <> '')) word_count FROM up JOIN c USING (upload_id) JOIN f USING (upload_id) WHERE {S.strip('t')} <> ''""",
+    "job_list": "SELECT job_id, lower(status) status, total_pages_crawled, completed_at FROM crawl_jobs ORDER BY completed_at DESC NULLS LAST, job_id",
+    "job_page": "SELECT job_id, completed_at FROM crawl_jobs ORDER BY completed_at DESC NULLS LAST, job_id LIMIT 10 OFFSET (SELECT (least(3, greatest(1, CAST(ceil(count(*) / 10) AS INTEGER))) - 1) * 10 FROM crawl_jobs)",
+    "job_search": "SELECT job_id, seed_url FROM crawl_jobs WHERE contains(lower(job_id), 'edu') OR contains(lower(seed_url), 'edu')",
+    "job_totals": "SELECT count(*) jobs, sum(total_pages_crawled) pages, count(*) FILTER (lower(status) IN ('queued', 'running')) active FROM crawl_jobs",
+    "job_errors": "SELECT job_id, stats.max_pages_limit max_pages, coalesce(stats.pages_new, 0) pages_new, coalesce(len(stats.errors), 0) errors, total_pages_crawled, least(100, CAST(round(100.0 * total_pages_crawled / nullif(stats.max_pages_limit, 0)) AS INTEGER)) progress FROM crawl_jobs",
+    "job_union": "SELECT job_id, CASE WHEN total_pages_crawled % 2 = 0 THEN 'running' ELSE 'saved' END state FROM crawl_jobs",
+    "latest_pages": "SELECT job_id, page_id, page_idx, CAST(r AS INTEGER) r FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_idx DESC, page_id DESC) r FROM (SELECT DISTINCT job_id, page_id, page_idx FROM crawl_pages)) WHERE r <= 5",
+    "daily_quota": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) n, count(*) > 100 AS over FROM events GROUP BY 1, 2",
+    "failure_streaks": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) g FROM events)
+SELECT user_id, min(ts) AS start, max(ts) AS stop, CAST(count(*) AS INTEGER) AS length FROM x WHERE event_type = 'error' GROUP BY user_id, g HAVING count(*) >= 3""",
+    "cleanup_runs": "WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) b FROM events WHERE event_type = 'purchase') SELECT user_id, event_id FROM x WHERE b IS NULL OR epoch_us(ts) - epoch_us(b) >= 20 * 3600000000",
+    "retention_plan": """WITH x AS (SELECT DISTINCT upload_id, doc_kind, date_diff('day', CAST(created_at AS DATE), DATE '2025-06-01') age FROM uploads), r AS (SELECT *, row_number() OVER (PARTITION BY doc_kind ORDER BY age, upload_id) r, count(*) OVER (PARTITION BY doc_kind) m FROM x WHERE age IS NOT NULL)
+SELECT upload_id, CASE WHEN m = 1 THEN age > 30 ELSE r > 1 AND age > 7 END AS "delete" FROM r""",
+    "usable_items": f"WITH {_ITEMS} SELECT item_id, kind FROM it",
+    "source_quota": f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY host, kind ORDER BY published_at DESC NULLS LAST, item_id) r FROM it),
+k AS (SELECT *, CASE kind WHEN 'page' THEN 0 WHEN 'post' THEN 2 ELSE 1 END pl FROM r WHERE r <= CASE kind WHEN 'post' THEN 6 WHEN 'page' THEN 2 ELSE 3 END), q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY pl, kind, r) rank FROM k)
+SELECT item_id, host, kind, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 6""",
+}
