@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..session import materialize
 
 MIN_PAGES, MIN_KEPT_WORDS, TOP_LINES, THRESHOLD = 10, 0.40, 6, 0.30
 # Messages that stand where a page should be, and the window in which they are looked for.
@@ -56,7 +57,10 @@ DEFAULT_KEEP = (r"^https?://[^/]+/?$",)
 def is_ui_line(line: Column) -> Column:
     """Whether a line as a whole is a button or widget label."""
     bare = F.btrim(F.trim(F.lower(line)), F.lit(UI_TRIM))
-    return bare.isin(*UI_LINES) | F.trim(line).rlike(UI_PATTERN)
+    t = F.trim(line)
+    # all patterns but two are short by themselves; most lines are long and need no look
+    may = (F.length(t) <= 120) | F.startswith(t, F.lit("http")) | (F.lower(F.left(t, F.lit(8))) == "share on")
+    return bare.isin(*UI_LINES) | (may & t.rlike(UI_PATTERN))
 
 
 def is_block_page(content: Column) -> Column:
@@ -121,30 +125,39 @@ def boilerplate(judged: DataFrame) -> DataFrame:
     return line_frequency(judged).join(kept, "job").where(F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("t") * F.col("kept")))).select("job", "line", "pages", "kept")
 
 
-def _protected(line: Column) -> Column:
-    n = T.word_count(line)
-    top = (F.col("p_top") > 0) & (n >= 3) & F.array_contains(F.slice("lines", F.lit(1), F.greatest(F.col("p_top"), F.lit(1))), line)
-    return (line == T.norm(F.coalesce("title", F.lit("")))) | (n >= 40) | line.rlike(PROTECT) | line.rlike(DAY_LABEL) | top
+def with_line_facts(judged: DataFrame) -> DataFrame:
+    """The judged pages with ``facts``: line, words, ui and fixed (protected whatever the page) of every line, looked at once."""
+    fact = lambda v: F.struct(v.alias("line"), T.word_count(v).alias("words"), is_ui_line(v).alias("ui"), (v.rlike(PROTECT) | v.rlike(DAY_LABEL)).alias("fixed"))
+    return judged.withColumn("facts", F.transform("lines", fact)).withColumn("norm_title", T.norm(F.coalesce("title", F.lit("")))).withColumn("words", T.word_count(F.array_join("lines", " ")))
+
+
+def _protected(v: Column) -> Column:
+    top = (F.col("p_top") > 0) & (v["words"] >= 3) & F.array_contains(F.slice("lines", F.lit(1), F.greatest(F.col("p_top"), F.lit(1))), v["line"])
+    return (v["line"] == F.col("norm_title")) | (v["words"] >= 40) | v["fixed"] | top
 
 
 def cleaned(judged: DataFrame) -> DataFrame:
     """The judged pages with kept_lines, removed_lines, clean (text), word_count, hub; null for dropped pages."""
-    per_job = boilerplate(judged).groupBy("job").agg(F.collect_set("line").alias("boiler"))  # at most lines / threshold a job
-    x = judged.join(per_job, "job", "left").withColumn("boiler", F.coalesce("boiler", F.array().cast("array<string>")))
+    x = judged if "facts" in judged.columns else with_line_facts(judged)
+    per_job = boilerplate(x).groupBy("job").agg(F.collect_set("line").alias("boiler"))  # at most lines / threshold a job
+    x = x.join(per_job, "job", "left").withColumn("boiler", F.coalesce("boiler", F.array().cast("array<string>")))
     x = x.withColumn("hub", F.rlike("url", _any_pattern(F.col("p_keep"))))
-    gone = lambda v: (F.array_contains("boiler", v) | is_ui_line(v)) & ~_protected(v)
-    x = x.withColumn("removed_lines", F.when(F.col("hub"), F.array().cast("array<string>")).otherwise(F.filter("lines", gone)))
-    x = x.withColumn("stay", F.when(F.col("hub"), F.col("lines")).otherwise(F.filter("lines", lambda v: ~gone(v))))
-    x = x.withColumn("kept_lines", F.when(F.col("hub"), F.col("stay")).otherwise(F.filter("stay", lambda v, i: (T.word_count(v) < 4) | (F.array_position("stay", v) == i + 1))))
+    bad = lambda v: (v["ui"] | F.array_contains("boiler", v["line"])) & ~_protected(v)
+    x = x.withColumn("gone", F.transform("facts", lambda v: ~F.col("hub") & bad(v)))
+    pairs = F.arrays_zip("facts", "gone")
+    x = x.withColumn("removed_lines", F.transform(F.filter(pairs, lambda v: v["gone"]), lambda v: v["facts"]["line"]))
+    x = x.withColumn("stay", F.transform(F.filter(pairs, lambda v: ~v["gone"]), lambda v: v["facts"]))
+    x = x.withColumn("names", F.transform("stay", lambda v: v["line"]))
+    x = x.withColumn("kept_lines", F.transform(F.filter("stay", lambda v, i: F.col("hub") | (v["words"] < 4) | (F.array_position("names", v["line"]) == i + 1)), lambda v: v["line"]))
     x = x.withColumn("clean", F.array_join("kept_lines", "\n\n"))
-    x = x.withColumn("word_count", T.word_count(F.col("clean")))
+    x = x.withColumn("word_count", F.aggregate(F.filter("stay", lambda v, i: F.col("hub") | (v["words"] < 4) | (F.array_position("names", v["line"]) == i + 1)), F.lit(0), lambda s, v: s + v["words"]))
     only = F.col("reason").isNull()
-    return x.withColumns({c: F.when(only, F.col(c)) for c in ("removed_lines", "kept_lines", "clean", "word_count")}).drop("stay", "boiler")
+    return x.withColumns({c: F.when(only, F.col(c)) for c in ("removed_lines", "kept_lines", "clean", "word_count")}).drop("stay", "names", "gone", "facts", "boiler")
 
 
 def summary(x: DataFrame) -> DataFrame:
     """One row a job of ``cleaned`` pages: sums, shares rounded to 3, lost terms, and whether cleaning is applied (gates)."""
-    n_lines = T.word_count(F.array_join("lines", " "))
+    n_lines = F.col("words")
     s = x.groupBy("job").agg(
         F.first("p_on").alias("on"), F.first("p_auto").alias("auto"), F.count("*").alias("pages_in"), F.count_if(F.col("reason").isNull()).alias("pages_out"), F.sum(n_lines).alias("words_before"),
         F.coalesce(F.sum(F.when(F.col("reason").isNull(), n_lines)), F.lit(0)).alias("words_kept"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words_after"),
@@ -166,7 +179,7 @@ def clean_pages(pages: DataFrame, profiles: DataFrame | None, **names: str) -> t
     Where a gate refuses, or the profile is switched off, the pages of the job come back untouched and ``applied`` is false.
     Null contents count as empty. An empty table gives empty results. Columns other than those named are ignored.
     """
-    x = cleaned(judged_pages(pages, profiles, **names))
+    x = cleaned(materialize(with_line_facts(judged_pages(pages, profiles, **names)), "judged"))
     s = summary(x)
     y = x.join(s.select("job", "refused"), "job")
     ok = F.col("refused").isNull()
@@ -185,5 +198,5 @@ def sitewide_lines(x: DataFrame, most: int = 200) -> DataFrame:
 
 def retention(x: DataFrame) -> DataFrame:
     """id, before, after, retention (1.0 for pages without words) of every kept page."""
-    before = T.word_count(F.array_join("lines", " "))
+    before = F.col("words")
     return x.where("reason is null").select("job", "id", before.alias("before"), F.col("word_count").alias("after"), F.when(before > 0, F.round(F.try_divide(F.col("word_count"), before), 6)).otherwise(1.0).alias("retention"))
