@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +29,30 @@ SEPARATOR = re.compile(r"\s*[|·»›>•▪●¦]\s*|\s{2,}|\t")
 BREADCRUMB = re.compile(r"\s+[»›>/→]\s+")
 DATED = re.compile(r"\s*\(\d{1,2}\s+\S{3,9}(?:\s+\d{4})?\)\s*$")
 TITLE_WORD = r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
+_letters = regex.compile(r"[\p{L}\p{M}]+").findall
+_title_words = regex.compile(TITLE_WORD).findall
+_not_word = re.compile(r"\W+")
 SENTENCE_END = re.compile(r"[.!?।॥…]['\"”’)\]]*$")
 
 
 def _words(text: str) -> list[str]:
-    import regex
-
-    return regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    return _letters(text.lower())
 
 
 def levelled(text: str, known: frozenset) -> str:
     """Words of a piece, lower-cased; a placeholder stands for those not known and for capitalised ones behind the first, which
     are names. Where nothing but placeholders would be left, the words stay; empty where there is no word."""
-    import regex
-
-    own = regex.findall(r"[\p{L}\p{M}]+", text)
-    ws = [w.lower() if w.lower() in known and (i == 0 or not w[0].isupper()) else "*" for i, w in enumerate(own)]
+    own = _letters(text)
+    if not own:
+        return ""
+    first = own[0].lower()
+    ws = [first if first in known else "*", *[w if w in known else "*" for w in own[1:]]]  # a capitalised word is in no lower-case set
     return " ".join(ws) if any(w != "*" for w in ws) else " ".join(own).lower()
 
 
 def title_shape(text: str, known: frozenset) -> str:
     """A title's frame: its frequent words, and the script of the others."""
-    import regex
-
-    return " ".join(w if w in known else ("L" if w[0] < "ɐ" else "I") for w in regex.findall(TITLE_WORD, text.lower()))
+    return " ".join(w if w in known else ("L" if w[0] < "ɐ" else "I") for w in _title_words(text.lower()))
 
 
 def title_like(line: str, shapes: frozenset, known: frozenset) -> bool:
@@ -67,11 +68,11 @@ def own_titles(title: str | None) -> set[str]:
     out = {x}
     for m in re.finditer(r"\s+[-|–—·:»]\s+", x):
         out |= {x[: m.start()].strip(), x[m.end() :].strip()}
-    return {re.sub(r"\W+", "", t.lower()) for t in out if t}
+    return {_not_word.sub("", t.lower()) for t in out if t}
 
 
 def _same(line: str, names: set[str]) -> bool:
-    return re.sub(r"\W+", "", line.lower()) in names
+    return bool(names) and len(line) <= 400 + max(map(len, names)) and _not_word.sub("", line.lower()) in names
 
 
 def elements(content: str, title: str | None, words: frozenset, shapes: frozenset, title_words: frozenset) -> dict[str, bool]:
@@ -99,7 +100,7 @@ def noise_lines(content: str | None, title: str | None, template: set, heads: se
     for i in at:
         pieces = [p for p in SEPARATOR.split(lines[i]) if p and _words(p)]
         keys = [levelled(p, words) for p in pieces]
-        whole = levelled(lines[i], words)
+        whole = levelled(lines[i], words) if len(pieces) > 1 else ""
         if pieces and (all(k in template for k in keys) or (whole and whole in template)):
             kinds[i] = "head" if len(pieces) == 1 and keys[0] in heads else "template"
         else:

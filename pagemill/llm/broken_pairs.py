@@ -13,6 +13,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +61,14 @@ COURTESY = re.compile(
 )
 _QUOTED = re.compile(r"[\"“”«»][^\"“”«»]{0,200}[\"“”«»]")
 _SENTENCES = re.compile(r"(?<=[.!?।॥])\s+|\n+")
-_NOT_ALNUM = re.compile(r"[\W_]+")
+_other = regex.compile(r"[^\p{L}\p{M}\p{N}]+").sub
 _INDIC_WORD = re.compile(r"[ঀ-৿]+")
 _LATIN_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
 def level(text: str) -> str:
     """Letters, marks and digits of the lower-cased text, as the copy check compares them."""
-    import regex
-
-    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text.lower()).strip()
+    return _other(" ", text.lower()).strip()
 
 
 def body_of(content: str) -> str:

@@ -13,19 +13,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_RUN = r"[\p{L}\p{M}\p{Nd}]+"
+_runs = regex.compile(WORD_RUN)
 OUT = "doc_id bigint, item_id bigint, field string, start int, stop int, words int"
 _built: dict = {}
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters, combining marks and digits."""
-    import regex
-
-    return [w.lower() for w in regex.findall(WORD_RUN, text)] if text else []
+    return [w.lower() for w in _runs.findall(text)] if text else []
 
 
 def build(rows: list[tuple[int, str, list[str]]], n: int):
@@ -63,9 +63,7 @@ def spans(text: str | None, automaton, number: dict[str, int], n: int) -> list[t
                 runs.append([end - n + 1, end])
     if not hits:
         return []
-    import regex
-
-    at = [m.span() for m in regex.finditer(WORD_RUN, text)]
+    at = [m.span() for m in _runs.finditer(text)]
     return [(o[0], o[1], at[a][0], at[b][1], b - a + 1) for o, runs in sorted(hits.items()) for a, b in runs]
 
 
