@@ -94,14 +94,14 @@ def encode_corpus(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     data = compile_lexicon({w.encode(): exact.encode_ordinary(w) for w in frequent_pieces(src, "t", lexicon_words)})
     uri = shared_file(spark, "lexicon.bin", data)
     mapped = local_path(uri)
-    spare = None if mapped else spark.sparkContext.broadcast(data)  # the shared folder is no mounted file system
+    spare = spark.sparkContext.broadcast(data)  # for workers that don't see the shared folder as a file system
     kind = src.schema["doc_id"].dataType
 
     def run(batches):
         key = (uri, vocabulary)
         if key not in _workers:
             _workers.clear()
-            _workers[key] = Encoder(Lexicon(mapped if mapped else spare.value), vocabulary)
+            _workers[key] = Encoder(Lexicon(mapped if mapped and os.path.exists(mapped) else spare.value), vocabulary)
         encode = _workers[key].encode
         for b in batches:
             ids = pa.array([encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
