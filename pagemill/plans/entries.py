@@ -430,7 +430,7 @@ f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY u, c) first_rec_id FROM k)
 SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id""",
 }
 SQL |= {
-    "doc_word_count": f"SELECT doc_id, coalesce({S.wc('text')}, 0) words, len(list_filter(string_split_regex(coalesce(text, ''), {S.q(T.WS)}), lambda x: x <> '')) ws_words FROM documents",
+    "doc_word_count": f"SELECT doc_id, CAST(coalesce({S.wc('text')}, 0) AS INTEGER) words, CAST(len(list_filter(string_split_regex(coalesce(text, ''), {S.q(T.WS)}), lambda x: x <> '')) AS INTEGER) ws_words FROM documents",
     "doc_fingerprint": f"SELECT doc_id, sha256({S.norm('coalesce(text, chr(32))')}) content_hash FROM documents",
     "doc_lines": f"SELECT doc_id, CAST(i - 1 AS INTEGER) pos, l[i] line FROM (SELECT doc_id, {S.lines('text')} l FROM documents), unnest(range(1, len(l) + 1)) u(i)",
     "url_normalize": rf"""
@@ -454,14 +454,14 @@ SELECT page_id, a = b same, array_to_string(string_split(a, '.')[-2:], '.') = ar
     "line_boilerplate": f"WITH {S.JUDGED}, {S.BOILER} SELECT job, md5(line) line, pages, kept FROM bl",
     "ui_lines": f"WITH l AS (SELECT unnest({S.lines('content')}) line FROM raw_pages) SELECT line, count(*) n FROM l WHERE {S.ui('line')} GROUP BY 1",
     "block_pages": f"SELECT DISTINCT page_id, {S.block('content')} block FROM crawl_pages",
-    "clean_pages": f"WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT jd.id page_id, jd.job, md5(CASE WHEN refused IS NULL THEN clean ELSE coalesce(jd.content, '') END) content_md5, CASE WHEN refused IS NULL THEN {S.wc('clean')} ELSE coalesce({S.wc('jd.content')}, 0) END word_count, refused IS NULL applied FROM jd JOIN su USING (job) LEFT JOIN (SELECT id, clean FROM cl) c USING (id) WHERE refused IS NOT NULL OR reason IS NULL",
-    "clean_summary": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT job, CASE WHEN own THEN 'profile' ELSE 'auto' END AS "mode", pages_in, pages_out, coalesce((SELECT count(*) FROM bl WHERE bl.job = su.job), 0) boilerplate_lines, wb words_before, wa words_after,
+    "clean_pages": f"WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT jd.id page_id, jd.job, md5(CASE WHEN refused IS NULL THEN clean ELSE coalesce(jd.content, '') END) content_md5, CAST(CASE WHEN refused IS NULL THEN {S.wc('clean')} ELSE coalesce({S.wc('jd.content')}, 0) END AS INTEGER) word_count, refused IS NULL applied FROM jd JOIN su USING (job) LEFT JOIN (SELECT id, clean FROM cl) c USING (id) WHERE refused IS NOT NULL OR reason IS NULL",
+    "clean_summary": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED} SELECT job, CASE WHEN own THEN 'profile' ELSE 'auto' END AS "mode", pages_in, pages_out, coalesce((SELECT count(*) FROM bl WHERE bl.job = su.job), 0) boilerplate_lines, CAST(wb AS BIGINT) words_before, CAST(wa AS BIGINT) words_after,
   CASE WHEN wb > 0 THEN round(wa / wb, 3) ELSE 1.0 END kept_share, CASE WHEN wk > 0 THEN round(wa / wk, 3) ELSE 1.0 END kept_pages_share, refused FROM su""",
     "sitewide_lines": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, f AS (SELECT job, line, min((idx, id, pos)) o FROM rm WHERE gone GROUP BY 1, 2), p AS (SELECT DISTINCT job, line FROM kk),
 r AS (SELECT job, line, row_number() OVER (PARTITION BY job ORDER BY o) AS n FROM f ANTI JOIN p USING (job, line)) SELECT job, CAST(n AS INTEGER) AS "at", line FROM r WHERE n <= 200""",
     "removed_lines_top": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, g AS (SELECT DISTINCT job, id, line FROM rm ANTI JOIN kk USING (job, id, line)), c AS (SELECT job, line, count(*) n FROM g GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY job ORDER BY n DESC, line) AS INTEGER) r FROM c) SELECT * FROM r WHERE r <= 25""",
-    "page_retention": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, w AS (SELECT job, id, {S.wc("array_to_string(ls, ' ')")} b, {S.wc('clean')} a FROM cl) SELECT id page_id, b AS "before", a AS "after", CASE WHEN b > 0 THEN round(a / b, 6) ELSE 1.0 END retention FROM w""",
+    "page_retention": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, w AS (SELECT job, id, {S.wc("array_to_string(ls, ' ')")} b, {S.wc('clean')} a FROM cl) SELECT id page_id, CAST(b AS INTEGER) AS "before", CAST(a AS INTEGER) AS "after", CASE WHEN b > 0 THEN round(a / b, 6) ELSE 1.0 END retention FROM w""",
     "typical_and_worst_pages": f"""WITH {S.JUDGED}, {S.BOILER}, {S.CLEANED}, w AS (SELECT job, id, {S.wc("array_to_string(ls, ' ')")} b, {S.wc('clean')} a FROM cl), v AS (SELECT job, id, CASE WHEN b > 0 THEN round(a / b, 6) ELSE 1.0 END t FROM w),
 r AS (SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY t, id) r, count(*) OVER (PARTITION BY job) n FROM v) SELECT job, id page_id, CAST(r AS INTEGER) AS "rank", r = n // 2 + 1 typical FROM r WHERE r <= 4 OR r = n // 2 + 1""",
     "copies_only_lines": f"WITH {S.JUDGED}, a AS (SELECT DISTINCT job, url, unnest(ls) line FROM jd WHERE reason IS NOT NULL), b AS (SELECT DISTINCT job, unnest(ls) line FROM jd WHERE reason IS NULL) SELECT job, url, count(*) AS lines FROM a ANTI JOIN b USING (job, line) GROUP BY 1, 2",
@@ -566,17 +566,17 @@ k AS (SELECT l.*, {S.strip('line')} <> '' solid, g.k IS NOT NULL AND {S.strip('l
 m AS (SELECT upload_id, pos, min(i) FILTER (solid AND NOT gone) a, max(i) FILTER (solid AND NOT gone) z FROM k GROUP BY 1, 2),
 f AS (SELECT k.*, NOT gone AND coalesce(i IN (a, z), false) AND length({S.strip('line')}) <= 12 AND regexp_matches({S.strip('line')}, {S.q(intake.PAGE_NO)}) num FROM k JOIN m USING (upload_id, pos)),
 r AS (SELECT upload_id, pos, count(*) FILTER (gone OR num) removed, coalesce(string_agg(CASE WHEN num THEN '' ELSE line END, chr(10) ORDER BY i) FILTER (NOT gone), '') x FROM f GROUP BY 1, 2)
-SELECT upload_id, pos AS "at", md5(CASE WHEN full_ >= 6 THEN {_tidy('x')} ELSE t END) text_md5, CASE WHEN full_ >= 6 THEN removed ELSE 0 END removed FROM r JOIN n USING (upload_id) JOIN up USING (upload_id, pos)""",
-    "upload_list": """SELECT upload_id, file_name, doc_kind, lower(status) status, created_at, coalesce(len(pages), 0) pages, coalesce(len(list_filter(pages, lambda v: coalesce(v.review, false))), 0) review_pages,
+SELECT upload_id, pos AS "at", md5(CASE WHEN full_ >= 6 THEN {_tidy('x')} ELSE t END) text_md5, CAST(CASE WHEN full_ >= 6 THEN removed ELSE 0 END AS INTEGER) removed FROM r JOIN n USING (upload_id) JOIN up USING (upload_id, pos)""",
+    "upload_list": """SELECT upload_id, file_name, doc_kind, lower(status) status, created_at, CAST(coalesce(len(pages), 0) AS INTEGER) pages, CAST(coalesce(len(list_filter(pages, lambda v: coalesce(v.review, false))), 0) AS INTEGER) review_pages,
   coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(pages, lambda v: v.engine), lambda e: e IS NOT NULL AND e <> ''))), ','), '') engines FROM (SELECT DISTINCT ON (upload_id) * FROM uploads ORDER BY upload_id)""",
     "read_summary": f"WITH {_PAGES} SELECT engine, count(*) pages, count(*) FILTER (coalesce(review, false)) review FROM up GROUP BY 1",
     "upload_crawl_pages": f"""WITH {_PAGES}, c AS (SELECT upload_id, count(*) many FROM up GROUP BY 1), f AS (SELECT DISTINCT ON (upload_id) upload_id, file_name FROM uploads ORDER BY upload_id)
-SELECT upload_id, 'https://uploads.invalid/' || upload_id || '#p' || n url, coalesce(file_name, '') || CASE WHEN many > 1 THEN ' - page ' || n ELSE '' END title, md5(t) content_md5, len(list_filter(string_split_regex(t, {_WS}), lambda v: v <> '')) word_count FROM up JOIN c USING (upload_id) JOIN f USING (upload_id) WHERE {S.strip('t')} <> ''""",
+SELECT upload_id, 'https://uploads.invalid/' || upload_id || '#p' || n url, coalesce(file_name, '') || CASE WHEN many > 1 THEN ' - page ' || n ELSE '' END title, md5(t) content_md5, CAST(len(list_filter(string_split_regex(t, {_WS}), lambda v: v <> '')) AS INTEGER) word_count FROM up JOIN c USING (upload_id) JOIN f USING (upload_id) WHERE {S.strip('t')} <> ''""",
     "job_list": "SELECT job_id, lower(status) status, total_pages_crawled, completed_at FROM crawl_jobs ORDER BY completed_at DESC NULLS LAST, job_id",
     "job_page": "SELECT job_id, completed_at FROM crawl_jobs ORDER BY completed_at DESC NULLS LAST, job_id LIMIT 10 OFFSET (SELECT (least(3, greatest(1, CAST(ceil(count(*) / 10) AS INTEGER))) - 1) * 10 FROM crawl_jobs)",
     "job_search": "SELECT job_id, seed_url FROM crawl_jobs WHERE contains(lower(job_id), 'edu') OR contains(lower(seed_url), 'edu')",
-    "job_totals": "SELECT count(*) jobs, sum(total_pages_crawled) pages, count(*) FILTER (lower(status) IN ('queued', 'running')) active FROM crawl_jobs",
-    "job_errors": "SELECT job_id, stats.max_pages_limit max_pages, coalesce(stats.pages_new, 0) pages_new, coalesce(len(stats.errors), 0) errors, total_pages_crawled, least(100, CAST(round(100.0 * total_pages_crawled / nullif(stats.max_pages_limit, 0)) AS INTEGER)) progress FROM crawl_jobs",
+    "job_totals": "SELECT count(*) jobs, CAST(sum(total_pages_crawled) AS BIGINT) pages, count(*) FILTER (lower(status) IN ('queued', 'running')) active FROM crawl_jobs",
+    "job_errors": "SELECT job_id, stats.max_pages_limit max_pages, coalesce(stats.pages_new, 0) pages_new, CAST(coalesce(len(stats.errors), 0) AS INTEGER) errors, total_pages_crawled, least(100, CAST(round(100.0 * total_pages_crawled / nullif(stats.max_pages_limit, 0)) AS INTEGER)) progress FROM crawl_jobs",
     "job_union": "SELECT job_id, CASE WHEN total_pages_crawled % 2 = 0 THEN 'running' ELSE 'saved' END state FROM crawl_jobs",
     "latest_pages": "SELECT job_id, page_id, page_idx, CAST(r AS INTEGER) r FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_idx DESC, page_id DESC) r FROM (SELECT DISTINCT job_id, page_id, page_idx FROM crawl_pages)) WHERE r <= 5",
     "daily_quota": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) n, count(*) > 100 AS over FROM events GROUP BY 1, 2",
