@@ -53,3 +53,28 @@ def letters_key(c: Column) -> Column:
 def alnum_key(c: Column) -> Column:
     """Letters, combining marks and digits of the lower-cased text."""
     return F.regexp_replace(F.lower(c), NOT_ALNUM, "")
+
+
+def sanitize(c: Column, longest: int) -> Column:
+    """Without control characters, trimmed and cut; null is empty."""
+    return F.left(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{00}-\x{1f}\x{7f}]", "")), F.lit(longest))
+
+
+def html_escape(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def simple_markdown(c: Column) -> Column:
+    """Bold, block quotes and line breaks of an answer as HTML; everything else escaped."""
+    x = F.regexp_replace(html_escape(c), r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>")
+    x = F.regexp_replace(x, r"(?m)^&gt; (.*)$", "<blockquote>$1</blockquote>")
+    return F.replace(x, F.lit("\n"), F.lit("<br>"))
+
+
+def time_ago(at: Column, now: Column) -> Column:
+    """How long ago in the largest whole unit: just now, Nm ago, Nh ago, Nd ago; null stays null."""
+    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1_000_000)
+    unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(f"{u} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))

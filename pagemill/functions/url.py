@@ -77,3 +77,13 @@ def crawlable(url: Column) -> Column:
 def storage_path(job_id: Column, seed: Column) -> Column:
     """File name of a job: id and host, with all but letters, digits, dot, dash and underscore replaced."""
     return F.concat(job_id, F.lit("_"), F.regexp_replace(clean_host(seed), r"[^A-Za-z0-9._-]", "_"), F.lit(".json"))
+
+
+def site_label(url: Column) -> Column:
+    """Host without a leading ``www.``."""
+    return F.regexp_replace(authority(url), r"^www\.", "")
+
+
+def brand(url: Column) -> Column:
+    """First label of the site's host, capitalised."""
+    return F.initcap(F.substring_index(site_label(url), ".", 1))

@@ -79,3 +79,27 @@ def type_quota(items: DataFrame, *, site: str, kind: str, order: list[Column], m
     place = F.when(F.col(kind) == "page", 0).when(F.col(kind) == "post", 2).otherwise(1)
     x = items.withColumn("r", F.row_number().over(Window.partitionBy(site, kind).orderBy(*order))).where(F.col("r") <= quota).withColumn("place", place)
     return x.withColumn("rank", F.row_number().over(Window.partitionBy(site).orderBy("place", kind, "r"))).where(F.col("rank") <= most).drop("r", "place")
+
+
+def every_nth(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """A systematic sample: every n-th row of each group, n chosen so that about ``most`` are left; ``step`` is n."""
+    w = Window.partitionBy(group)
+    x = rows.withColumn("r", F.row_number().over(w.orderBy(*order))).withColumn("step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most)).cast("int"))
+    return x.where((F.col("r") - 1) % F.col("step") == 0).drop("r")
+
+
+def schedule(jobs: DataFrame, now: Column, *, seed: str = "seed_url", at: str = "completed_at", every_days: int = 10) -> DataFrame:
+    """seed, last_crawled, next_run, days_remaining (null without a date, 0 at least), due: one row a seed without its last slash."""
+    x = jobs.groupBy(F.rtrim(F.lower(seed), F.lit("/")).alias("seed")).agg(F.max(at).alias("last_crawled"), F.count("*").cast("int").alias("runs"))
+    nxt = F.col("last_crawled") + F.make_dt_interval(F.lit(every_days))
+    left = (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 86_400_000_000
+    return x.select("seed", "runs", "last_crawled", nxt.alias("next_run"), F.greatest(F.lit(0), F.floor(left)).cast("int").alias("days_remaining"), F.coalesce(left <= 0, F.lit(False)).alias("due"))
+
+
+def pieces(chunks: DataFrame, *, session: str, index: str, total: str, data: str) -> DataFrame:
+    """session, complete, bytes: uploads put together from pieces; complete when every index below ``total`` is there. Pieces sent
+    again count once; a session's pieces are bounded by the size of an upload."""
+    x = chunks.groupBy(session, index).agg(F.max(data).alias("d"), F.max(total).alias("t"))
+    y = x.groupBy(session).agg(F.count("*").alias("n"), F.max(index).alias("last"), F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("d")))).alias("parts"))
+    whole = (F.col("n") == F.col("t")) & (F.col("last") == F.col("t") - 1)
+    return y.select(session, whole.alias("complete"), F.when(whole, F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["d"])), ""))).alias("bytes"))

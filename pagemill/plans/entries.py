@@ -400,10 +400,51 @@ def source_quota(spark, d):
 def usable_items(spark, d):
     return sources_api.usable_items(table(spark, d, "source_items")).select("item_id", "kind")
 
+# ---- small functions, schedules, samples
+
+
+def text_utilities(spark, d):
+    x = table(spark, d, "qa_pairs")
+    return x.select("qa_id", T.sanitize(F.col("question"), 40).alias("short"), F.md5(T.html_escape(F.coalesce("content", F.lit("")))).alias("escaped"), F.md5(T.simple_markdown(F.coalesce("content", F.lit("")))).alias("marked"), T.time_ago(F.col("created_at"), F.lit("2026-01-01").cast("timestamp_ntz")).alias("ago"))
+
+
+def site_names(spark, d):
+    x = table(spark, d, "crawl_jobs")
+    return x.select("job_id", U.site_label(F.col("seed_url")).alias("site"), U.brand(F.col("seed_url")).alias("brand"), F.concat(F.lit("Crawl: "), U.site_label(F.col("seed_url"))).alias("title"))
+
+
+def schedules(spark, d):
+    return ops.schedule(table(spark, d, "crawl_jobs"), F.lit("2024-11-15").cast("timestamp_ntz"))
+
+
+def due_schedules(spark, d):
+    x = ops.schedule(table(spark, d, "crawl_jobs"), F.lit("2024-11-15").cast("timestamp_ntz"))
+    return x.where("due").orderBy("next_run", "seed").limit(1).select("seed", "next_run")
+
+
+def systematic_sample(spark, d):
+    return ops.every_nth(table(spark, d, "qa_pairs"), "source_name", ["qa_id"], 5).select("qa_id", "step")
+
+
+def job_status(spark, d):
+    pages = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).groupBy("job_id").agg(F.count("*").alias("pages"), F.max_by("url", F.struct("page_idx", "page_id")).alias("last_url"))
+    x = table(spark, d, "crawl_jobs").select("job_id", F.lower("status").alias("status"), F.coalesce("duration_seconds", F.lit(0.0)).alias("seconds"), "stats.max_depth_limit")
+    return x.join(pages, "job_id", "left").select("job_id", "status", F.round("seconds", 1).alias("seconds"), "max_depth_limit", F.coalesce("pages", F.lit(0)).alias("pages"), "last_url")
+
+
+def p2_groups(spark, d):
+    return similar.similar_groups(table(spark, d, "source_items"), id_col="item_id", text="content", run=3, likeness=0.6, min_words=20).select(F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
+
+
+def p4_records(spark, d):
+    x = canonical.one_each(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
+    return x.select("rec_id", "copies")
+
 QUERIES: dict = {f.__name__: f for f in [
     p2_found, p4_found,
     doc_word_count, doc_fingerprint, doc_lines, url_normalize, url_hosts, url_crawlable, url_same_domain, host_histogram, storage_paths, drop_reasons, drop_histogram, line_boilerplate, ui_lines, block_pages, clean_pages, clean_summary, sitewide_lines, removed_lines_top, page_retention, typical_and_worst_pages, copies_only_lines, report_copies, refetch_candidates, page_names, common_suffixes, content_export, export_documents, change_status, change_counts, catalog_upsert, latest_version,
     chunk_pages, passages, pages_left_whole, valid_questions, qa_rows_to_replace, qa_by_site, pages_with_passages, pages_todo, import_batches, vector_topk, vector_search, rag_prompts, rag_answers, rag_sources, vector_upsert, vector_delete, vector_stats, tidy_pages, layer_quality, page_review, text_agreement, repeated_line_strip, upload_list, read_summary, upload_crawl_pages, job_list, job_page, job_search, job_totals, job_errors, job_union, latest_pages, daily_quota, failure_streaks, lockouts, cleanup_runs, retention_plan, source_quota, usable_items,
+    text_utilities, site_names, schedules, due_schedules, systematic_sample, job_status, p2_groups, p4_records,
 ]}
 
 SQL: dict = {
@@ -590,3 +631,20 @@ SELECT upload_id, CASE WHEN m = 1 THEN age > 30 ELSE r > 1 AND age > 7 END AS "d
 k AS (SELECT *, CASE kind WHEN 'page' THEN 0 WHEN 'post' THEN 2 ELSE 1 END pl FROM r WHERE r <= CASE kind WHEN 'post' THEN 6 WHEN 'page' THEN 2 ELSE 3 END), q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY pl, kind, r) rank FROM k)
 SELECT item_id, host, kind, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 6""",
 }
+
+_ESC5 = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
+_SITE = f"regexp_replace(lower({S.part('seed_url', 2)}), '^www\\.', '')"
+_AGO = "(epoch_us(TIMESTAMP '2026-01-01') - epoch_us(created_at)) // 1000000"
+_SCHED = "s0 AS (SELECT rtrim(lower(seed_url), '/') seed, max(completed_at) c, CAST(count(*) AS INTEGER) runs FROM crawl_jobs GROUP BY 1), s1 AS (SELECT *, c + INTERVAL 10 DAY nx, (epoch_us(c + INTERVAL 10 DAY) - epoch_us(TIMESTAMP '2024-11-15')) / 86400000000 lf FROM s0)"
+SQL |= {
+    "text_utilities": rf"""SELECT qa_id, left({S.strip(r"regexp_replace(coalesce(question, ''), '[\x{00}-\x{1f}\x{7f}]', '', 'g')")}, 40) short, md5({_ESC5("coalesce(content, '')")}) escaped,
+  md5(replace(regexp_replace(regexp_replace({_ESC5("coalesce(content, '')")}, '\*\*([^*\n]+)\*\*', '<strong>\1</strong>', 'g'), '(?m)^&gt; (.*)$', '<blockquote>\1</blockquote>', 'g'), chr(10), '<br>')) marked,
+  CASE WHEN created_at IS NULL THEN NULL WHEN {_AGO} < 60 THEN 'just now' WHEN {_AGO} < 3600 THEN ({_AGO}) // 60 || 'm ago' WHEN {_AGO} < 86400 THEN ({_AGO}) // 3600 || 'h ago' ELSE ({_AGO}) // 86400 || 'd ago' END ago FROM qa_pairs""",
+    "site_names": f"SELECT job_id, {_SITE} site, upper(left(split_part({_SITE}, '.', 1), 1)) || substr(split_part({_SITE}, '.', 1), 2) brand, 'Crawl: ' || {_SITE} title FROM crawl_jobs",
+    "schedules": f"WITH {_SCHED} SELECT seed, runs, c last_crawled, nx next_run, CAST(CASE WHEN lf IS NULL THEN 0 ELSE greatest(0, floor(lf)) END AS INTEGER) days_remaining, coalesce(lf <= 0, false) due FROM s1",
+    "due_schedules": f"WITH {_SCHED} SELECT seed, nx next_run FROM s1 WHERE lf <= 0 ORDER BY nx, seed LIMIT 1",
+    "systematic_sample": "WITH x AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY qa_id) r, CAST(greatest(1, count(*) OVER (PARTITION BY source_name) // 5) AS INTEGER) AS step FROM qa_pairs) SELECT qa_id, step FROM x WHERE (r - 1) % step = 0",
+    "job_status": """WITH p AS (SELECT job_id, count(*) pages, arg_max(url, (page_idx, page_id)) last_url FROM (SELECT DISTINCT ON (page_id) * FROM crawl_pages ORDER BY page_id) GROUP BY 1)
+SELECT job_id, lower(status) status, round(coalesce(duration_seconds, 0), 1) AS "seconds", stats.max_depth_limit max_depth_limit, coalesce(pages, 0) pages, last_url FROM crawl_jobs LEFT JOIN p USING (job_id)""",
+    "p4_records": SQL["p4_found"].replace("SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id", "SELECT i.rec_id, coalesce(n, 1) copies FROM import_records i LEFT JOIN (SELECT first_rec_id, count(*) n FROM f GROUP BY 1) g ON g.first_rec_id = i.rec_id WHERE i.rec_id NOT IN (SELECT rec_id FROM f WHERE rec_id <> first_rec_id)"),
+}
