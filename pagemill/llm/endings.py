@@ -27,7 +27,7 @@ CLOSING_LINE = re.compile(
     r"|(?:#[^\s#]+\s*)+"  # tags
     r"|(?:see\s+|more:\s*|source:\s*|link:\s*)?(?:https?://|www\.)\S+"
     r"|ref(?:erence)?\b[.:]?.{0,60}"
-    r"|[^\s:\uff1a][^:\uff1a.\u0964]{0,28}[:\uff1a]\s*\S.{0,120}"  # Contact: ..., Price: ..., Tags: ...
+    r"|(?:contact|price|tags?|fare|rates?|cost|tel|ph|phone|mobile|call|e-?mail|fax|address|desk|office|source|author|by|written by|posted|published|filed(?: under)?|categor(?:y|ies)|keywords?|topics?|date|updated|hours|timings?|photos?|credits?|signed|editor|ref(?:erence)?|যোগাযোগ|মূল্য|টেগ|ট্যাগ|ঠিকনা|ঠিকানা|লেখক|উৎস|संपर्क|मूल्य|टैग|पता|लेखक|स्रोत)\s*[:：]\s*\S.{0,120}"
     r"|(?:tel|ph|phone|call|email|e-mail|fax)\b.*|\S+@\S+\.\S+"
     r"|(?:rs\.?|\u20b9|\$|\u20ac)\s*[\d,.]+(?:/-)?"
     r")$",
