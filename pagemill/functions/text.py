@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split and str.strip see it (Java's \s alone misses no-break and ideographic spaces).
 WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+#: The same, one by one: trimming by characters is linear, a pattern anchored at the end is not.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word as Python's \w+ sees it, without combining marks.
 WORD = r"[\p{L}\p{N}_]+"
 #: All but letters and combining marks.
@@ -22,7 +24,7 @@ def norm(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(c, f"^{WS}|{WS}$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def word_count(c: Column) -> Column:

@@ -5,7 +5,7 @@ don't make the first digits useless) and then the canonical url and content them
 
 1. Each map task makes canonical bytes in the JVM and combines equal ones of a batch, with the ids they stand for; the
    combined rows are written to the shared folder. A group that holds a third of all rows shrinks here to a row a batch.
-2. Buckets are the values of the first byte. A bucket with more than ``bucket_rows`` combined rows is split by its next byte,
+2. Buckets are the values of the first byte, or of as many as the number of rows asks for. A bucket with more than ``bucket_rows`` combined rows is split by its next byte,
    and again, until each fits or holds a single key. The histograms read only the narrow column with the mixing bytes; two
    digits are counted in a pass, and only oversized buckets (at most rows / bucket_rows of them) reach the driver.
 3. The combined rows are shuffled by bucket; each bucket is put into a trie with path compression, whose terminals count the
@@ -113,11 +113,19 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array([r[2] for r in rows], pa.binary()), "first": pa.array([r[0] for r in rows], table.column("first").type), "copies": pa.array([r[1] for r in rows], pa.int64())})
 
 
-def oversized(heads: DataFrame, bucket_rows: int, most_digits: int = 8) -> list[set[str]]:
-    """For each depth from 1 byte on, the prefixes (hex) of the mixing bytes whose buckets must be split by the next byte."""
+def first_digits(rows: int, bucket_rows: int) -> int:
+    """Bytes to begin with: mixed rows fill the buckets of so many bytes evenly, so only uneven ones are split further."""
+    k = 1
+    while k < 7 and rows > bucket_rows * 256**k:
+        k += 1
+    return k
+
+
+def oversized(heads: DataFrame, bucket_rows: int, start: int = 1, most_digits: int = 8) -> list[set[str]]:
+    """For each depth from ``start`` bytes on, the prefixes (hex) of the mixing bytes whose buckets must be split by the next byte."""
     split: list[set[str]] = []
     live = heads
-    for depth in range(2, most_digits + 1, 2):
+    for depth in range(start + 1, most_digits + 1, 2):
         h = live.select(F.hex(F.substring("head", 1, depth - 1)).alias("p1"), F.hex(F.substring("head", 1, depth)).alias("p2"), "head")
         # the second digit's counts, combined in the map tasks; oversized first digits are sums of them
         counts = h.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min("head").alias("lo"), F.max("head").alias("hi"))
@@ -145,8 +153,9 @@ def canonical_copies(rows: DataFrame, *, id_col: str, url: str, content: str, bu
     src = _canonical(rows, id_col, url, content)
     kind = src.schema["id"].dataType.simpleString()
     pre = materialize(src.mapInArrow(_combine, f"key binary, digest binary, ids array<{kind}>").select("*", F.substring("key", 1, 8).alias("head")), "canonical")
-    bucket = F.hex(F.substring("head", 1, 1))
-    for depth, prefixes in enumerate(oversized(pre.select("head"), bucket_rows), 1):
+    start = first_digits(pre.count(), bucket_rows)
+    bucket = F.hex(F.substring("head", 1, start))
+    for depth, prefixes in enumerate(oversized(pre.select("head"), bucket_rows, start), start):
         bucket = F.when(F.hex(F.substring("head", 1, depth)).isin(sorted(prefixes)), F.hex(F.substring("head", 1, depth + 1))).otherwise(bucket) if prefixes else bucket
     keyed = pre.select(bucket.alias("bucket"), "key", "digest", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("n"))
     ends = keyed.groupBy("bucket").applyInArrow(_count, f"digest binary, first {kind}, copies bigint")
