@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 SEPARATOR = re.compile(r"\s*[|·»›>•▪●¦]\s*|\s{2,}|\t")
-BREADCRUMB = re.compile(r"\s+[»›>/→]\s+")
+BREADCRUMB = re.compile(r"(?<!\s)\s++[»›>/→]\s+")
 DATED = re.compile(r"\s*\(\d{1,2}\s+\S{3,9}(?:\s+\d{4})?\)\s*$")
 TITLE_WORD = r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
 _letters = regex.compile(r"[\p{L}\p{M}]+").findall
@@ -56,6 +56,8 @@ def title_shape(text: str, known: frozenset) -> str:
 
 
 def title_like(line: str, shapes: frozenset, known: frozenset) -> bool:
+    if len(line) > 400:
+        return False
     x = DATED.sub("", line.strip())
     return bool(x) and len(x) <= 160 and "|" not in x and not SENTENCE_END.search(x) and not re.match(r"^[\d\-•*#]", x) and title_shape(x, known) in shapes
 

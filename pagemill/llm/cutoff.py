@@ -22,7 +22,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import endings
 
-_LAST_WORD = re.compile(r"[^\ẁ-ͯऀ-ॣ॰-ঃ়-ৗั-๎਀-෿]+$")
+_IN_WORD = re.compile(r"[\wऀ-ःऺ-ॏ॑-ॣঁ-ঃ়-্ৗৢৣ]")
+
+
+def until_last_word(text: str) -> str:
+    """The text without what follows its last word."""
+    n = len(text)
+    while n and not _IN_WORD.match(text[n - 1]):
+        n -= 1
+    return text[:n]
 
 
 def continued(rows: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def ends(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         for b in batches:
             ts = b.column(2).to_pylist()
             cut = pa.array([endings.cut(t, shared.value) for t in ts])
-            key = pa.array([_LAST_WORD.sub("", t) if t else "" for t in ts], pa.string())
+            key = pa.array([until_last_word(t) if t else "" for t in ts], pa.string())
             yield pa.record_batch([b.column(0), b.column(1), cut, key], names=["doc_id", "source", "cut", "k"])
 
     kind = src.schema["doc_id"].dataType.simpleString()

@@ -13,8 +13,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WS_CHARS
+
 # Marks that someone puts after a cut.
-AFTER_CUT = re.compile(r"(?:\s|\u200b|\ufeff|\ufffd|\u2026|\.{2,}|[\[(<{]\s*(?:\u2026|\.{2,}|more|read more|continued?|cont(?:inue)?d?\.?|truncated|cut(?: off)?|snip(?:ped)?)\s*[\])>}]|[\[({<]$|(?:read|see|show|view) more\s*[\u00bb\u203a>\u2192]*$|continue reading\s*[\u00bb\u203a>\u2192]*$|[\u2192\u00bb\u203a]$|<[a-z/][^<>]{0,40}$|&[a-z#0-9]{0,8};?$)+$", re.I)
+AFTER_CUT = re.compile(r"(?:\s|\u200b|\ufeff|\ufffd|\u2026|\.{2,}+|[\[(<{]\s*(?:\u2026|\.{2,}|more|read more|continued?|cont(?:inue)?d?\.?|truncated|cut(?: off)?|snip(?:ped)?)\s*[\])>}]|[\[({<]$|(?:read|see|show|view) more\s*[\u00bb\u203a>\u2192]*$|continue reading\s*[\u00bb\u203a>\u2192]*$|[\u2192\u00bb\u203a]$|<[a-z/][^<>]{0,40}$|&[a-z#0-9]{0,8};?$)+$", re.I)
 # Marks that end a sentence, and what may follow them.
 STOPS = ".!?\u0964\u0965\u3002\uff01\uff1f\u061f\u06d4"
 CLOSERS = "\"'\u201d\u2019\u00bb\u203a)]}*_`\u201c\u2018"
@@ -46,7 +48,7 @@ def closing_lines(rows: DataFrame, text: str, *, least: int = 5, share: float =
     Counted over all texts; a line needs ``least`` texts and ``share`` of all. At most ``most`` lines reach the driver; with a
     share of 0.001 there can't be more than 1000.
     """
-    x = rows.select(F.regexp_replace(F.col(text).cast("string"), r"\s+$", "").alias("t")).where("t is not null and t <> ''")
+    x = rows.select(F.rtrim(F.col(text).cast("string"), F.lit(WS_CHARS)).alias("t")).where("t is not null and t <> ''")
     last = x.select(F.substring_index("t", "\n", -1).alias("l"), (F.instr("t", "\n") > 0).alias("many"), F.xxhash64("t").alias("h"))
     total = x.count()
     counts = last.where(F.col("many") & (F.length("l") <= 60)).select(skeleton(F.col("l")).alias("l"), "h").distinct().groupBy("l").count()
