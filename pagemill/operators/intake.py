@@ -100,3 +100,9 @@ def kind_of_bytes(data: Column) -> Column:
     """pdf, png, jpeg, webp, heic, tiff or null by the first bytes."""
     h = F.hex(F.substring(data, 1, 16))
     return F.when(F.startswith(h, F.lit("25504446")), "pdf").when(F.startswith(h, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(h, F.lit("FFD8FF")), "jpeg").when(F.startswith(h, F.lit("52494646")) & (F.substring(h, 17, 8) == "57454250"), "webp").when(F.substring(h, 9, 8) == "66747970", "heic").when(F.startswith(h, F.lit("49492A00")) | F.startswith(h, F.lit("4D4D002A")), "tiff")
+
+
+def picture_pixels(pictures: DataFrame) -> DataFrame:
+    """doc, page, pixels, heavy: what the pictures of each page add up to, masks left out. ``pictures`` has doc, page, kind, width, height."""
+    x = pictures.where("kind is null or kind <> 'smask'").groupBy("doc", "page").agg(F.sum(F.col("width").cast("bigint") * F.col("height")).alias("pixels"))
+    return x.withColumn("heavy", F.col("pixels") >= PICTURE_PIXELS)

@@ -217,3 +217,25 @@ def test_api_items(spark):
     assert value(spark, api.content_type(F.col("s")), s="tour") is True
     assert value(spark, api.plain(F.col("s")), s="<b>A</b> &amp; B&#8217;s") == "A & B’s"
     assert value(spark, api.article_text(F.col("t"), F.col("x")), t="T", x="T and on") == "T and on"
+
+
+def test_files_and_pictures(spark, tmp_path):
+    from pagemill.sources import files
+
+    (tmp_path / "db-20240101-0300").mkdir()
+    (tmp_path / "db-20240101-0300" / "a").write_bytes(b"12345")
+    (tmp_path / "db-20240101-0300" / "b").write_bytes(b"123")
+    (tmp_path / "notes.txt").write_bytes(b"1")
+    got = {r["entry"]: r["size"] for r in files.by_entry(files.entries(spark, str(tmp_path)), str(tmp_path)).collect()}
+    assert got == {"db-20240101-0300": 8, "notes.txt": 1}
+    assert value(spark, files.backup_kind(F.col("n")), n="db-20240101-0300") == "db"
+    p = spark.createDataFrame([("d", 1, "image", 500, 300), ("d", 1, "smask", 500, 300), ("d", 2, None, 10, 10)], "doc string, page int, kind string, width int, height int")
+    assert {r["page"]: (r["pixels"], r["heavy"]) for r in intake.picture_pixels(p).collect()} == {1: (150_000, True), 2: (100, False)}
+
+
+def test_pieces_and_schedule(spark):
+    c = spark.createDataFrame([("s", 0, 2, b"ab"), ("s", 1, 2, b"c"), ("s", 1, 2, b"c"), ("t", 0, 2, b"x")], "sid string, i int, total int, data binary")
+    assert {r["sid"]: (r["complete"], r["bytes"] and bytes(r["bytes"])) for r in ops.pieces(c, session="sid", index="i", total="total", data="data").collect()} == {"s": (True, b"abc"), "t": (False, None)}
+    j = spark.createDataFrame([("https://S/", "2024-01-01 00:00:00"), ("https://s", "2024-01-05 00:00:00"), ("https://t", None)], "seed_url string, t string").select("seed_url", F.to_timestamp("t").alias("completed_at"))
+    got = {r["seed"]: (r["days_remaining"], r["due"]) for r in ops.schedule(j, F.lit("2024-01-10").cast("timestamp")).collect()}
+    assert got == {"https://s": (5, False), "https://t": (0, False)}
