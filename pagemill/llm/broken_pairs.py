@@ -10,7 +10,6 @@ the terminal context (``endings.py``) with the closing lines that the corpus use
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -36,6 +35,9 @@ FUNCTION_WORDS = {
     "bn": "ebong hoy kore korche korbe ache chilo nei ami apni tumi ekta theke sathe pore age jodi tobe kintu keno kokhon kothay".split(),
 }
 FUNCTION_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+WORD_LANGUAGES = {w: tuple(k for k in FUNCTION_WORDS if w in FUNCTION_SETS[k]) for ws in FUNCTION_WORDS.values() for w in ws}
+_BENGALI, _DEVANAGARI, _LATIN = re.compile("[ঀ-৿]"), re.compile("[ऀ-ॣ०-ॿ]"), re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ]")
+_ELSE = re.compile("[\\x00-ɏḀ-ỿऀ-৿]+")
 # Words that tell Assamese from Bengali where the letters don't.
 AS_WORDS = frozenset("আৰু কিমান কিয় কেতিয়া কি চাব পাৰি আছে বুলি সকলোৱে হয় তেন্তে যদি কিন্তু মই মোৰ নাই এই".split())
 BN_WORDS = frozenset("এবং কেন কখন কত কোথায় কী বলে সবাই তবে আছে আমি আমার নেই করে এই".split())
@@ -45,7 +47,8 @@ _DIFFERENT_AS, _DIFFERENT_BN = AS_WORDS - BN_WORDS, BN_WORDS - AS_WORDS
 _SELF = r"(?:\bI\b|\bI['’](?:m|d|ll|ve)\b|\bme\b|\bmy\b|\bwe\b|\bour\b|\bthis (?:assistant|bot|model|system)\b)"
 _ANSWER = r"(?:answer\w*|help\w*|assist\w*|discuss\w*|provid\w*|shar\w*|say\w*|respond\w*|repl\w*|comment\w*|tell\w*|talk\w*|disclos\w*|compl(?:y|ete)\w*|fulfil\w*|address\w*|offer\w* (?:advice|information)|give\w*|speak\w*|request\w*|information|details|question\w*)"
 _NOT = r"(?:can(?:no|['’])t|can not|could(?:n['’]t| not)|won['’]t|will not|would(?:n['’]t| not)|unable|not able|not (?:be )?(?:allowed|permitted|possible|comfortable|in a position|going)|isn['’]t possible|(?:do|does)(?:n['’]t| not) (?:feel|have|allow|permit|know)|must (?:decline|refuse)|(?:have|need) to (?:decline|refuse)|decline|refuse|rather not|no permission|not have permission|against (?:my|our))"
-REFUSAL = re.compile(rf"(?=.*{_SELF})(?=.*{_NOT}).*{_ANSWER}|against (?:my|our) (?:guidelines|rules|polic)|something I must decline", re.I | re.S)
+_SELF_RE, _NOT_RE, _ANSWER_RE = (re.compile(x, re.I) for x in (_SELF, _NOT, _ANSWER))
+_PLAIN_REFUSAL = re.compile(r"against (?:my|our) (?:guidelines|rules|polic)|something I must decline", re.I)
 REFUSAL_OTHER = re.compile(
     r"(?:उत्तर|जवाब|सहायता|मदद|जानकारी|बता|अनुमति|टिप्पणी).*(?:नहीं|असमर्थ|अक्षम|इनकार|मना)|(?:असमर्थ|अनुमति नहीं)"
     r"|(?:উত্তৰ|সহায়|ক['’]বলৈ|কবলৈ|তথ্য|মন্তব্য|জনাব).*(?:নোৱাৰ|অক্ষম|অপাৰগ|অনুমতি নাই|অস্বীকাৰ)"
@@ -118,30 +121,27 @@ def copies_question(question: str | None, body: str, most_added: int = 40) -> bo
     return a == q or (len(q) > 20 and a == q + " " + q)
 
 
-def language(text: str) -> tuple[str | None, Counter]:
+def language(text: str) -> tuple[str | None, dict[str, int]]:
     """The language of most of a text, or None where it can't be told, and the letters of each script."""
-    n: Counter = Counter()
-    for ch in text:
-        o = ord(ch)
-        if 0x0980 <= o <= 0x09FF:
-            n["beng"] += 1
-        elif 0x0900 <= o <= 0x097F:
-            n["hi"] += ch not in "।॥"
-        elif ch.isalpha():
-            n["latn" if o < 0x250 or 0x1E00 <= o <= 0x1EFF else "other"] += 1
-    if not n or sum(n.values()) < 8:
+    n = {"beng": len(_BENGALI.findall(text)), "hi": len(_DEVANAGARI.findall(text)), "latn": len(_LATIN.findall(text))}
+    n["other"] = sum(map(str.isalpha, _ELSE.sub("", text)))
+    top = max(n, key=n.get)
+    if sum(n.values()) < 8:
         return None, n
-    top = n.most_common(1)[0][0]
     if top == "beng":
         ws = _INDIC_WORD.findall(text)
         a = text.count("ৰ") + text.count("ৱ") + 2 * sum(w in _DIFFERENT_AS for w in ws)
         b = text.count("র") + 2 * sum(w in _DIFFERENT_BN for w in ws)
         return ("as" if a > b else "bn" if b > a else None), n
     if top == "latn":
-        ws = [w.lower() for w in _LATIN_WORD.findall(text)]
+        ws = _LATIN_WORD.findall(text.lower())
         if len(ws) < 4:
             return None, n
-        score = {k: sum(w in v for w in ws) / len(ws) for k, v in FUNCTION_SETS.items()}
+        score = dict.fromkeys(FUNCTION_SETS, 0)
+        for w in ws:
+            for k in WORD_LANGUAGES.get(w, ()):
+                score[k] += 1
+        score = {k: v / len(ws) for k, v in score.items()}
         best = max(score, key=score.get)
         if score[best] >= 0.12 and score[best] > score["en"] + 0.04:
             return best, n
@@ -166,6 +166,13 @@ def other_language(question: str | None, body: str) -> bool:
     return not (len(n) >= 20 and n in level(question))
 
 
+def declines(sentence: str) -> bool:
+    """Whether a sentence speaks of the speaker, of not being able or willing, and of answering; or declines in another language."""
+    if _NOT_RE.search(sentence) and _SELF_RE.search(sentence) and _ANSWER_RE.search(sentence):
+        return True
+    return bool(_PLAIN_REFUSAL.search(sentence) or REFUSAL_OTHER.search(sentence))
+
+
 def refuses(body: str) -> bool:
     """Whether every sentence of the answer declines or is a courtesy around it, and one declines."""
     if len(body) > 700:
@@ -176,7 +183,7 @@ def refuses(body: str) -> bool:
     for s in _SENTENCES.split(x):
         if not level(s):
             continue
-        if REFUSAL.search(s) or REFUSAL_OTHER.search(s):
+        if declines(s):
             found = True
         elif not COURTESY.match(s.strip()):
             return False
