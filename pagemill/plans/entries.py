@@ -381,7 +381,7 @@ def failure_streaks(spark, d):
 
 def lockouts(spark, d):
     x = table(spark, d, "events").where("event_type in ('error', 'signup')")
-    return ops.lockouts(x.withColumn("ok", F.col("event_type") == "signup"), key="user_id", at="ts", ok="ok")
+    return ops.lockouts(x.withColumn("ok", F.col("event_type") == "signup"), key="user_id", at="ts", ok="ok").select("user_id", F.col("locked_at").cast("timestamp_ntz").alias("locked_at"), F.col("until").cast("timestamp_ntz").alias("until"))
 
 
 def cleanup_runs(spark, d):
@@ -648,3 +648,60 @@ SQL |= {
 SELECT job_id, lower(status) status, round(coalesce(duration_seconds, 0), 1) AS "seconds", stats.max_depth_limit max_depth_limit, coalesce(pages, 0) pages, last_url FROM crawl_jobs LEFT JOIN p USING (job_id)""",
     "p4_records": SQL["p4_found"].replace("SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id", "SELECT i.rec_id, coalesce(n, 1) copies FROM import_records i LEFT JOIN (SELECT first_rec_id, count(*) n FROM f GROUP BY 1) g ON g.first_rec_id = i.rec_id WHERE i.rec_id NOT IN (SELECT rec_id FROM f WHERE rec_id <> first_rec_id)"),
 }
+
+SQL |= {
+    "passages": f"""WITH RECURSIVE {S.NAMED},
+pa AS (SELECT id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda v: {S.strip('v')}), lambda v: v <> '') l FROM nm),
+pw AS (SELECT id, i, l[i] p, len(list_filter(string_split_regex(l[i], {_WS}), lambda v: v <> '')) w FROM pa, unnest(range(1, len(l) + 1)) u(i)),
+rc AS (SELECT id, i, w, w n, 1 g FROM pw WHERE i = 1
+       UNION ALL SELECT x.id, x.i, x.w, CASE WHEN rc.n >= {chunks.TARGET} OR rc.n + x.w > {chunks.MOST} THEN x.w ELSE rc.n + x.w END, CASE WHEN rc.n >= {chunks.TARGET} OR rc.n + x.w > {chunks.MOST} THEN rc.g + 1 ELSE rc.g END FROM rc JOIN pw x ON x.id = rc.id AND x.i = rc.i + 1),
+gs AS (SELECT id, g, sum(w) s, max(g) OVER (PARTITION BY id) m FROM rc GROUP BY 1, 2),
+gm AS (SELECT id, g, CASE WHEN g = m AND m > 1 AND s < {chunks.LAST} THEN g - 1 ELSE g END h FROM gs),
+ps AS (SELECT id, h, string_agg(p, chr(10) || chr(10) ORDER BY i) x, sum(w) s FROM rc JOIN gm USING (id, g) JOIN (SELECT id, i, p FROM pw) q USING (id, i) GROUP BY 1, 2),
+pn AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY h) n FROM ps WHERE s >= {chunks.TINY})
+SELECT job, split_part(url, '#', 1) || '#c' || n url, left(trim(short || ': ' || array_to_string(list_filter(string_split_regex(x, {_WS}), lambda v: v <> '')[1:12], ' ')), {chunks.QUESTION[1]}) title, md5(short || chr(10) || chr(10) || x) content_md5 FROM pn JOIN nm USING (id)""",
+    "lockouts": """WITH RECURSIVE x AS (SELECT user_id, epoch_us(ts) t, event_type = 'signup' ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_type = 'signup') r FROM events WHERE event_type IN ('error', 'signup')),
+a(user_id, r, n, until, lk, t) AS (SELECT user_id, r, CASE WHEN ok THEN 0 ELSE 1 END, CAST(-1 AS BIGINT), false, t FROM x WHERE r = 1
+  UNION ALL SELECT x.user_id, x.r, CASE WHEN x.t < a.until THEN a.n WHEN x.ok THEN 0 WHEN a.n + 1 >= 3 THEN 0 ELSE a.n + 1 END, CASE WHEN x.t >= a.until AND NOT x.ok AND a.n + 1 >= 3 THEN x.t + 86400000000 ELSE a.until END, x.t >= a.until AND NOT x.ok AND a.n + 1 >= 3, x.t
+  FROM a JOIN x ON x.user_id = a.user_id AND x.r = a.r + 1)
+SELECT user_id, make_timestamp(t) locked_at, make_timestamp(until) AS until FROM a WHERE lk""",
+}
+_SEP = "chr(10) || chr(10)"
+SQL["chunk_pages"] = rf"""WITH RECURSIVE
+c0 AS (SELECT DISTINCT ON (page_id) page_id, job_id, page_idx, url, {S.strip("coalesce(content, '')")} t FROM crawl_pages ORDER BY page_id),
+c1 AS (SELECT page_id, k, {S.strip('p')} p FROM (SELECT page_id, unnest(string_split_regex(t, '\n+')) p, unnest(range(1, len(string_split_regex(t, '\n+')) + 1)) k FROM c0 WHERE length(t) > {chunks.CHUNK})),
+c2 AS (SELECT page_id, k, CASE WHEN length(p) > {chunks.CHUNK} THEN string_split(regexp_replace(p, '([.!?।])' || {_WS}, '\1' || chr(1), 'g'), chr(1)) ELSE [p] END l, length(p) > {chunks.CHUNK} big FROM c1 WHERE p <> ''),
+c3 AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k, j) u, l[j] x, CASE WHEN NOT big THEN 'p' WHEN j = 1 THEN 'f' ELSE 's' END kind FROM c2, unnest(range(1, len(l) + 1)) v(j)),
+rc AS (SELECT page_id, CAST(0 AS BIGINT) u, '' AS cur, CAST([] AS VARCHAR[]) done FROM c0 WHERE length(t) > {chunks.CHUNK}
+  UNION ALL SELECT rc.page_id, c3.u,
+    CASE WHEN kind = 'f' THEN x WHEN length(cur) + length(x) + 1 <= {chunks.CHUNK} THEN CASE WHEN cur = '' THEN x WHEN kind = 's' THEN cur || ' ' || x ELSE cur || {_SEP} || x END
+         WHEN kind = 's' THEN x WHEN cur <> '' THEN right({S.strip('cur')}, {chunks.OVERLAP}) || ' ' || x WHEN len(done) > 0 THEN right(done[-1], {chunks.OVERLAP}) || ' ' || x ELSE x END,
+    CASE WHEN cur <> '' AND (kind = 'f' OR length(cur) + length(x) + 1 > {chunks.CHUNK}) THEN list_append(done, CASE WHEN kind = 's' THEN cur ELSE {S.strip('cur')} END) ELSE done END
+  FROM rc JOIN c3 ON c3.page_id = rc.page_id AND c3.u = rc.u + 1),
+fin AS (SELECT page_id, arg_max(cur, u) cur, arg_max(done, u) done FROM rc GROUP BY 1),
+ch AS (SELECT page_id, CASE WHEN cur <> '' AND NOT list_contains(done, cur) THEN list_append(done, {S.strip('cur')}) ELSE done END l FROM fin
+  UNION ALL SELECT page_id, [t] FROM c0 WHERE t <> '' AND length(t) <= {chunks.CHUNK}),
+o AS (SELECT job_id, page_idx, url, CAST(i - 1 AS INTEGER) n, l[i] x FROM ch JOIN c0 USING (page_id), unnest(range(1, len(l) + 1)) v(i))
+SELECT job_id || '_p' || page_idx || '_c' || n chunk_id, job_id, url, n chunk_index, md5(x) text_md5, CAST(length(x) AS INTEGER) char_count FROM o"""
+_PASS = SQL["passages"]
+SQL["pages_left_whole"] = (
+    _PASS[: _PASS.rindex("SELECT job, split_part")].rstrip()
+    + """,
+nc AS (SELECT job, nm.id, idx, coalesce(c, 0) c, row_number() OVER (PARTITION BY job ORDER BY idx) r FROM nm LEFT JOIN (SELECT id, count(*) c FROM pn GROUP BY 1) k USING (id)),
+bu AS (SELECT job, id, r, CASE WHEN c > 0 AND c <= 20 THEN c ELSE 0 END used, c > 0 AND c <= 20 fits FROM nc WHERE r = 1
+  UNION ALL SELECT n.job, n.id, n.r, CASE WHEN n.c > 0 AND bu.used + n.c <= 20 THEN bu.used + n.c ELSE bu.used END, n.c > 0 AND bu.used + n.c <= 20 FROM bu JOIN nc n ON n.job = bu.job AND n.r = bu.r + 1)
+SELECT id page_id FROM bu WHERE NOT fits"""
+)
+_SIM = SQL["p2_found"]
+SQL["p2_groups"] = (
+    "WITH RECURSIVE "
+    + _SIM[_SIM.index("w AS (") : _SIM.index("s AS (")]
+    + """k AS (SELECT item_id, w, min(item_id) OVER (PARTITION BY array_to_string(w, ' ')) rep FROM w WHERE len(w) >= 20),
+s AS (SELECT DISTINCT item_id, concat_ws(chr(31), w[i], w[i + 1], w[i + 2]) g FROM k, unnest(range(1, len(w) - 1)) u(i) WHERE item_id = rep),
+n AS (SELECT item_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.item_id a, b.item_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.item_id <> b.item_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k * 10 >= 6 * (x.n + y.n - k)),
+r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+c AS (SELECT x, min(y) g FROM r GROUP BY 1), l AS (SELECT a, count(*) links FROM e GROUP BY 1)
+SELECT item_id, coalesce(g, rep) group_id, coalesce(links, 0) links FROM (SELECT DISTINCT item_id, rep FROM k) k LEFT JOIN c ON c.x = rep LEFT JOIN l ON l.a = rep"""
+)
