@@ -39,9 +39,28 @@ def _words(text: str) -> list[str]:
     return _letters(text.lower())
 
 
+class Words(frozenset):
+    """Known words that remember the short pieces they levelled: menus come back on page after page."""
+
+    def level(self, text: str) -> str:
+        if len(text) > 60:
+            return _level(text, self)
+        memo = self.__dict__.setdefault("memo", {})
+        x = memo.get(text)
+        if x is None:
+            if len(memo) >= 100_000:
+                memo.clear()
+            x = memo[text] = _level(text, self)
+        return x
+
+
 def levelled(text: str, known: frozenset) -> str:
     """Words of a piece, lower-cased; a placeholder stands for those not known and for capitalised ones behind the first, which
     are names. Where nothing but placeholders would be left, the words stay; empty where there is no word."""
+    return known.level(text) if isinstance(known, Words) else _level(text, known)
+
+
+def _level(text: str, known: frozenset) -> str:
     own = _letters(text)
     if not own:
         return ""
@@ -56,7 +75,7 @@ def title_shape(text: str, known: frozenset) -> str:
 
 
 def title_like(line: str, shapes: frozenset, known: frozenset) -> bool:
-    if len(line) > 400:
+    if len(line) > 400 or line.endswith((".", "।")):
         return False
     x = DATED.sub("", line.strip())
     return bool(x) and len(x) <= 160 and "|" not in x and not SENTENCE_END.search(x) and not re.match(r"^[\d\-•*#]", x) and title_shape(x, known) in shapes
@@ -100,8 +119,8 @@ def noise_lines(content: str | None, title: str | None, template: set, heads: se
     at = [i for i, x in enumerate(lines) if x]
     kinds: dict[int, str] = {}
     for i in at:
-        pieces = [p for p in SEPARATOR.split(lines[i]) if p and _words(p)]
-        keys = [levelled(p, words) for p in pieces]
+        pieces = [(p, k) for p, k in ((p, levelled(p, words)) for p in SEPARATOR.split(lines[i]) if p) if k]
+        keys = [k for _, k in pieces]
         whole = levelled(lines[i], words) if len(pieces) > 1 else ""
         if pieces and (all(k in template for k in keys) or (whole and whole in template)):
             kinds[i] = "head" if len(pieces) == 1 and keys[0] in heads else "template"
@@ -172,6 +191,7 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
 
     def emit(batches):
         words, shapes, known = shared.value
+        words = Words(words)
         for b in batches:
             hosts, keys, heads = [], [], []
             for h, title_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -196,6 +216,7 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
 
     def label(batches):
         words, shapes, known = shared.value
+        words = Words(words)
         for b in batches:
             ids, nos = [], []
             for i, ti, t, tm, hd in zip(*(b.column(c).to_pylist() for c in range(5))):
