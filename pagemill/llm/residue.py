@@ -1,16 +1,20 @@
 """Template residue, filler text, error pages and script notices (problem 6).
 
 * Slots. Lines with a placeholder (``PLACEHOLDER``: the delimiters of template languages and form letters) are aligned: what
-  stands before and behind the placeholder is the frame of a template's slot, and the names in the placeholders are the
-  template's variables. Frames and variables are counted over all pages. A line of a frame whose slot holds a bare variable,
-  a default or nothing is residue as well. One unfilled slot in title or content is enough.
+  stands before and behind each placeholder is the frame of a template's slot, and the names in the placeholders are the
+  template's variables. Frames and variables are counted over all pages first; then all pages are judged against them, also
+  those without any placeholder. A frame whose slot holds a bare variable, a default or nothing is residue as well. One
+  unfilled slot in title or content is enough.
 * Whole pages. The lines that the page's site repeats (``site_lines.excessive_lines``, at a lower threshold) and its own
   heading are taken off. What is left is compared with the notices of servers, programs, firewalls, checks and missing pages,
   with stand-in texts and with script notices, and with the lines that keep company with them on such pages all over the
   corpus (``companions``). A page is one of them when no content of its own is left.
+  Levelled whole bodies are counted over urls and sites: those that recur are looked at too, whatever their words, and a short
+  one that opens with a notice is a notice as a whole.
 
 Cost: one scan that keeps the few pages with a suspicious word, one scan for the repeated lines of the sites (see
-``site_lines``), and narrow joins of what is left. Frames, variables and companions sent to the workers are at most 3000 strings.
+``site_lines``), one that hashes the whole bodies (four numbers a page are written), one for the learnt frames, and narrow joins
+of what is left. Frames, variables and companions sent to the workers are at most 3000 strings.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_key
@@ -105,36 +109,94 @@ _PLACEHOLDER = re.compile(PLACEHOLDER)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
-def frame_of(line: str) -> tuple[str, str] | None:
-    """What stands before and behind a line's only placeholder, if the frame is short and not empty."""
-    m = _PLACEHOLDER.search(line)
-    if not m or _PLACEHOLDER.search(line, m.end()):
-        return None
-    head, tail = line[: m.start()].strip(), line[m.end() :].strip()
-    return (head, tail) if head and len(head) <= 24 and len(tail) <= 12 else None
+def slots_of(line: str) -> list[tuple[str, str, str]]:
+    """(head, tail, edges) of each placeholder of a line: the text back to the placeholder before and on to the next one. ``edges`` tells whether these reach the line's start (^) and end ($)."""
+    ms = list(_PLACEHOLDER.finditer(line))
+    ends = [0, *(m.end() for m in ms)]
+    starts = [*(m.start() for m in ms[1:]), len(line)]
+    out = [(line[a : m.start()].strip(), line[m.end() : b].strip(), "^" * (i == 0) + "$" * (i == len(ms) - 1)) for i, (m, a, b) in enumerate(zip(ms, ends, starts))]
+    # a part of a line is only a frame if it has some words
+    return [x for x in out if x[0] and (x[2] == "^$" or len(_WORD.findall(f"{x[0]} {x[1]}")) >= 3)]
 
 
 def variable_of(placeholder: str) -> str:
     return " ".join(w.lower() for w in re.findall(r"[^\W\d_]+", placeholder))
 
 
-def slot_left(text: str, frames: frozenset, variables: frozenset) -> bool:
+_GAP = r"[ \t\r\u00a0]*"
+
+
+def _trie(texts) -> str:
+    """A pattern, for Java and Python, of any of the texts, common beginnings once. ``\\0`` in a text stands for a gap."""
+    root: dict = {}
+    for t in texts:
+        at = root
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def write(at: dict) -> str:
+        run = ""
+        while len(at) == 1 and "" not in at:  # no branch: one literal
+            c, at = next(iter(at.items()))
+            run += _GAP if c == "\0" else re.escape(c)
+        rest = [(_GAP if c == "\0" else re.escape(c)) + write(x) for c, x in sorted(at.items()) if c]
+        return run + (f"(?:{'|'.join(rest)}){'?' if '' in at else ''}" if rest else "")
+
+    return write(root)
+
+
+class Slots:
+    """The learnt frames around a bare variable, a default or nothing. Nothing only counts where a sign parts head and tail, as "Dear ,".
+
+    ``gate`` is a pattern, for Java and Python, that any text with such a slot has; ``left`` decides, line by line.
+    """
+
+    def __init__(self, frames, variables):
+        values = {x for v in variables for x in (v, v.replace(" ", ""), v.replace(" ", "_"), v.replace(" ", "-"), v.replace(" ", "."))} | DEFAULTS - {""}
+        self.frames, self._value, self._made = sorted(frames), _trie(values), {}
+        starts = {"^": rf"^{_GAP}", "": ""}
+        heads, blanks = [], []
+        for edge, start in starts.items():
+            of = [(h, t) for h, t, e in self.frames if ("^" in e) == (edge == "^")]
+            if of:
+                heads.append(f"{start}(?:{_trie({h for h, _ in of})})")
+            if closed := {f"{h}\0{t}" for h, t in of if self._blank(h, t)}:
+                blanks.append(f"{start}(?:{_trie(closed)})")
+        self.gate = r"(?m)(?<!\w)(?:" + "|".join([f"(?:{'|'.join(heads)}){_GAP}(?iu:{self._value})", *blanks]) + ")" if heads else None
+        self._gate = re.compile(self.gate) if heads else None
+
+    @staticmethod
+    def _blank(head: str, tail: str) -> bool:
+        return bool(tail) and not (head[-1].isalnum() and tail[0].isalnum())
+
+    def __reduce__(self):
+        return Slots._of, (self.frames, self._value, self.gate)
+
+    @staticmethod
+    def _of(frames, value, gate):
+        x = Slots.__new__(Slots)
+        x.frames, x._value, x._made, x.gate, x._gate = frames, value, {}, gate, re.compile(gate) if gate else None
+        return x
+
+    def _pattern(self, frame) -> re.Pattern:
+        if frame not in self._made:
+            head, tail, edges = frame
+            start = rf"^{_GAP}" if "^" in edges else r"(?<!\w)"
+            end = rf"{_GAP}$" if "$" in edges else r"(?!\w)" if tail[-1:].isalnum() else ""
+            value = rf"(?<!\w)(?iu:{self._value})(?!\w)"
+            self._made[frame] = re.compile(f"{start}{re.escape(head)}{_GAP}(?:{value}{_GAP}){'?' if self._blank(head, tail) else ''}{re.escape(tail)}{end}")
+        return self._made[frame]
+
+    def left(self, text: str) -> bool:
+        if not self._gate or not self._gate.search(text):
+            return False
+        return any(self._pattern(f).search(x) for x in text.split("\n") if self._gate.search(x) for f in self.frames if f[0] in x)
+
+
+def slot_left(text: str, slots: Slots) -> bool:
     """Whether a text has an unfilled slot: a placeholder, or a known frame around a bare variable, a default or nothing."""
-    if _PLACEHOLDER.search(text):
-        return True
-    if not frames:
-        return False
-    for line in text.split("\n"):
-        x = line.strip()
-        if len(x) > 80:
-            continue
-        for head, tail in frames:
-            if x.startswith(head) and x.endswith(tail) and len(x) >= len(head) + len(tail):
-                inner = x[len(head) : len(x) - len(tail)].strip()
-                # a blank slot only counts where the frame closes behind it
-                if inner.lower() in variables or (inner.lower() in DEFAULTS and (inner or tail)):
-                    return True
-    return False
+    return bool(_PLACEHOLDER.search(text)) or slots.left(text)
 
 
 def _lorem(line: str) -> bool:
@@ -181,10 +243,12 @@ def own_lines(title: str | None, lines: list[str], repeated: list[bool]) -> list
     return out
 
 
-def page_kind(lines: list[str], companions: frozenset = frozenset()) -> str | None:
-    """script, error or filler where the lines hold no content of the page's own, else None."""
+def page_kind(lines: list[str], companions: frozenset = frozenset(), again: bool = False) -> str | None:
+    """script, error or filler where the lines hold no content of the page's own, else None. ``again``: the whole body recurs on other urls; one that opens with a notice and is short is a template as a whole."""
     if not lines:
         return None
+    if again and line_kind(lines[0]) and sum(len(x.split()) for x in lines) <= 100:
+        return line_kind(lines[0])
     words: dict[str, int] = {}
     other, marked, unmarked = 0, 0, 0
     for x in lines:
@@ -201,10 +265,52 @@ def page_kind(lines: list[str], companions: frozenset = frozenset()) -> str | No
     return "script" if "script" in words and words["script"] >= words.get("filler", 0) else max(words, key=lambda k: (words[k], k))
 
 
-def _candidates(pages: DataFrame, page_id: str, site: str, title: str, content: str, url: str) -> DataFrame:
-    x = pages.select(F.col(page_id).alias("id"), F.coalesce(site_of(F.col(site).cast("string")), F.lit("")).alias("s"), F.col(title).cast("string").alias("title"), F.col(content).cast("string").alias("t")).where("id is not null and (title is not null or t is not null)")
+def _source(pages: DataFrame, page_id: str, site: str, title: str, content: str, url: str) -> DataFrame:
+    return pages.select(F.col(page_id).alias("id"), F.coalesce(site_of(F.col(site).cast("string")), F.lit("")).alias("s"), F.col(title).cast("string").alias("title"), F.col(content).cast("string").alias("t"), F.col(url).cast("string").alias("u")).where("id is not null and (title is not null or t is not null)")
+
+
+def _gated() -> Column:
     both = F.concat_ws("\n", "title", "t")
-    return x.where((both.rlike(MARKS) & both.rlike(PLACEHOLDER)) | F.col("t").rlike(SUSPICIOUS))
+    return (both.rlike(MARKS) & both.rlike(PLACEHOLDER)) | F.col("t").rlike(SUSPICIOUS)
+
+
+def _learnt_slots(marked: DataFrame) -> tuple[list, list]:
+    """The frames and the variables of the placeholders of all pages that have any."""
+
+    def learn(batches):
+        for b in batches:
+            kinds, values = [], []
+            for ti, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                both = (ti or "") + "\n" + (t or "")
+                for line in both.split("\n"):
+                    fs = ["\t".join(f) for f in slots_of(line.replace("\t", " "))]
+                    kinds += ["frame"] * len(fs)
+                    values += fs
+                vs = [variable_of(m) for m in _PLACEHOLDER.findall(both)]
+                kinds += ["variable"] * len(vs)
+                values += vs
+            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
+
+    counts = marked.select("title", "t").mapInArrow(learn, "kind string, value string").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    counts = materialize(counts.where("n >= 3 and value <> ''"), "learnt-slots")
+    top = lambda kind: [r["value"] for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(500).collect()]
+    return [tuple(v.split("\t")) for v in top("frame")], top("variable")
+
+
+def _bodies_again(src: DataFrame, of_site: DataFrame, small: bool) -> DataFrame:
+    """ids of the pages whose levelled body, title and blank lines aside, stands on at least 3 urls: whole on urls of its site, or without the sites' repeated lines on urls of 2 sites."""
+    x = src.where("t is not null and u is not null").withColumn("sh", F.xxhash64("s")).join(F.broadcast(of_site) if small else of_site, "sh", "left")
+    name = letters_key(F.coalesce("title", F.lit("")))
+    x = x.select("id", "sh", F.xxhash64("u").alias("h"), "keys", F.filter(F.transform(F.split("t", "\n"), letters_key), lambda v: (v != "") & (v != name)).alias("ls"))
+    x = x.select("id", "sh", "h", "keys", F.transform("ls", lambda v: F.xxhash64(v)).alias("ls"))
+    # the lines without those of the site; a body of nothing else is compared within its site only
+    known = F.coalesce("keys", F.array().cast("array<bigint>"))
+    x = x.select("id", "sh", "h", "ls", F.filter("ls", lambda v: ~F.array_contains(known, v)).alias("own"))
+    x = materialize(x.where(F.size("ls") > 0).select("id", "sh", "h", F.xxhash64("sh", "ls").alias("whole"), F.when(F.size("own") > 0, F.xxhash64("own")).alias("own")), "bodies")
+    # on (body, url) first, so that no frequent body ends in one task
+    whole = x.select("whole", "h").distinct().groupBy("whole").agg(F.count("*").alias("n")).where("n >= 3").select("whole")
+    own = x.where("own is not null").groupBy("own", "h").agg(F.min("sh").alias("least"), F.max("sh").alias("most")).groupBy("own").agg(F.count("*").alias("n"), (F.min("least") < F.max("most")).alias("sites")).where("n >= 3 and sites").select("own")
+    return materialize(x.join(whole, "whole", "left_semi").select("id").union(x.join(own, "own", "left_semi").select("id")).distinct(), "bodies-again")
 
 
 def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "seed_url", url: str = "url", title: str = "title", content: str = "content", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -215,30 +321,31 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
     empty table gives an empty result.
     """
     spark = pages.sparkSession
-    cand = materialize(_candidates(pages, page_id, site, title, content, url).dropDuplicates(["id"]), "suspicious")
-    hits = excessive_lines(pages, page_id=page_id, site=site, url=url, content=content, min_urls=3, min_share=0.1, min_site_urls=3)
-    of_site = materialize(hits.join(cand.select(F.xxhash64("s").alias("sh")).distinct(), "sh", "left_semi").groupBy("sh").agg(F.collect_list("k").alias("keys")), "repeated")
-    small = (of_site.select(F.sum(F.size("keys")).alias("n")).first()["n"] or 0) <= broadcast_rows
+    src = _source(pages, page_id, site, title, content, url)
+    gated = materialize(src.where(_gated()).dropDuplicates(["id"]), "suspicious")
+    frames, variables = _learnt_slots(gated)
+    slots = Slots(frames, variables)
+    hits = materialize(excessive_lines(pages, page_id=page_id, site=site, url=url, content=content, min_urls=3, min_share=0.1, min_site_urls=3).select("sh", "k"), "repeated-lines")
+    of_site = materialize(hits.groupBy("sh").agg(F.collect_list("k").alias("keys")), "repeated")
+    small = hits.count() <= broadcast_rows
+    again = _bodies_again(src, of_site, small)
+    again = again.withColumn("again", F.lit(True))
+    few = again.count() <= broadcast_rows
+    again = F.broadcast(again) if few else again
+    # what the fixed gate leaves out: pages with a learnt frame or with a body that recurs
+    rest = src.join(again, "id", "left")
+    rest = rest.where(F.col("again") | (F.concat_ws("\n", "title", "t").rlike(slots.gate) if slots.gate else F.lit(False))).drop("again")
+    cand = gated.unionByName(rest).dropDuplicates(["id"]).join(again, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     x = cand.withColumn("sh", F.xxhash64("s")).join(F.broadcast(of_site) if small else of_site, "sh", "left")
     lines = F.split(F.coalesce("t", F.lit("")), "\n")
     known = F.coalesce("keys", F.array().cast("array<bigint>"))
-    x = x.select("id", "s", "title", "t", lines.alias("lines"), F.transform(lines, lambda v: F.array_contains(known, F.xxhash64(letters_key(v)))).alias("repeated"))
+    x = x.select("id", "s", "title", "t", "again", lines.alias("lines"), F.transform(lines, lambda v: F.array_contains(known, F.xxhash64(letters_key(v)))).alias("repeated"))
     x = materialize(x, "candidates")
 
     def learn(batches):
         for b in batches:
             kinds, values, sites = [], [], []
-            for s, ti, t, ls, rep in zip(*(b.column(c).to_pylist() for c in ("s", "title", "t", "lines", "repeated"))):
-                for line in ls:
-                    f = frame_of(line)
-                    if f:
-                        kinds.append("frame")
-                        values.append("\t".join(f))
-                        sites.append(s)
-                for m in _PLACEHOLDER.findall((ti or "") + "\n" + (t or "")):
-                    kinds.append("variable")
-                    values.append(variable_of(m))
-                    sites.append(s)
+            for s, ti, ls, rep in zip(*(b.column(c).to_pylist() for c in ("s", "title", "lines", "repeated"))):
                 own = own_lines(ti, ls, rep)
                 notices = [v for v in own if line_kind(v)]
                 for v in own:
@@ -248,30 +355,28 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
                         sites.append(s)
             yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(sites, pa.string())], names=["kind", "value", "site"])
 
-    seen = x.select("s", "title", "t", "lines", "repeated").mapInArrow(learn, "kind string, value string, site string")
+    seen = x.select("s", "title", "lines", "repeated").mapInArrow(learn, "kind string, value string, site string")
     counts = seen.groupBy("kind", "value").agg(F.count("*").alias("n"), F.approx_count_distinct("site").alias("sites"))
     counts = materialize(counts.where("n >= 3 and value <> ''"), "learnt")
-    frames = [tuple(r["value"].split("\t")) for r in counts.where("kind = 'frame'").orderBy(F.desc("n"), "value").limit(500).collect()]
-    variables = [r["value"] for r in counts.where("kind = 'variable'").orderBy(F.desc("n"), "value").limit(500).collect()]
     alone = counts.where("kind = 'without'").select("value", F.col("n").alias("m"))
     company = counts.where("kind = 'with' and sites >= 2").join(alone, "value", "left").where("n >= 9 * coalesce(m, 0)").orderBy(F.desc("n"), "value").limit(2000)
-    shared = spark.sparkContext.broadcast((frozenset(frames), frozenset(variables), frozenset(r["value"] for r in company.collect())))
+    shared = spark.sparkContext.broadcast((slots, frozenset(r["value"] for r in company.collect())))
 
     def judge(batches):
-        frames, variables, companions = shared.value
+        slots, companions = shared.value
         for b in batches:
             out = []
-            for ti, t, ls, rep in zip(*(b.column(c).to_pylist() for c in ("title", "t", "lines", "repeated"))):
+            for ti, t, ls, rep, again in zip(*(b.column(c).to_pylist() for c in ("title", "t", "lines", "repeated", "again"))):
                 kind = None
-                if slot_left(ti or "", frames, variables) or (t and slot_left(t, frames, variables)):
+                if slot_left(ti or "", slots) or (t and slot_left(t, slots)):
                     kind = "template"
                 elif t and t.strip():
-                    kind = page_kind(own_lines(ti, ls, rep), companions)
+                    kind = page_kind(own_lines(ti, ls, rep), companions, again)
                 out.append(kind)
             yield pa.record_batch([b.column("id"), pa.array(out, pa.string())], names=["id", "defect"])
 
     kind = cand.schema["id"].dataType.simpleString()
-    out = x.select("id", "title", "t", "lines", "repeated").mapInArrow(judge, f"id {kind}, defect string").where("defect is not null")
+    out = x.select("id", "title", "t", "again", "lines", "repeated").mapInArrow(judge, f"id {kind}, defect string").where("defect is not null")
     return out.groupBy("id").agg(F.min("defect").alias("defect")).withColumnRenamed("id", page_id)
 
 

@@ -101,6 +101,24 @@ def test_residue_kinds(spark):
     assert residue.residue_pages(crawl(spark, [])).collect() == []
 
 
+def test_residue_without_placeholder_or_word(spark):
+    real = "The mill opens at seven and closes at nine. " * 4
+    greet = "We thank our guest {{ first_name }} for the visit on {{ day }}"
+    rows = [(i, f"https://s{i}.example", f"https://s{i}.example/", f"Title {i}", f"{x}\n{real}{chr(97 + i)}") for i, x in enumerate(["Dear {{ first_name }},"] * 3 + [greet] * 3)]
+    want = dict.fromkeys(range(6), "template")
+    for i, x in enumerate(["Dear first_name,", "Dear ,", "We thank our guest firstName for the visit on Monday", "Dear Rina,", "We thank our guest Rina for the visit on Monday"], 20):
+        rows.append((i, "https://t.example", f"https://t.example/{i}", f"Title {i}", f"{x}\n{real}{i}"))
+        if i < 23:
+            want[i] = "template"
+    # one body on four sites, without any suspicious word, and real ones that recur
+    for i in range(4):
+        rows.append((40 + i, f"https://e{i}.example", f"https://e{i}.example/x", f"Page {i}", "One more step\nRay 8\nThis page of the gate stays open for a short while and then sends you on to the place that you came from."))
+        rows.append((50 + i, f"https://e{i}.example", f"https://e{i}.example/y", f"Page {i}", "One more story\nThe mill opens at seven and closes at nine."))
+        want[40 + i] = "error"
+    for limit in (0, 10**6):
+        assert {r["page_id"]: r["defect"] for r in residue.residue_pages(crawl(spark, rows), broadcast_rows=limit).collect()} == want
+
+
 PAGES = "upload_id bigint, pages array<struct<n:int,text:string,engine:string,review:boolean,reason:string,image:string>>, id string, kind string"
 
 
