@@ -228,16 +228,16 @@ def level(line: str) -> str:
 
 
 def own_lines(title: str | None, lines: list[str], repeated: list[bool]) -> list[str]:
-    """The page's lines without those of its site and without its heading."""
+    """The page's lines without those of its site and without its heading. A notice stays: a site that answers with one page on many urls repeats it."""
     names = set()
     if title:
         t = re.sub(r"\W+", "", title.lower())
         names = {t} | {re.sub(r"\W+", "", p.lower()) for p in re.split(r"\s+[-|–—]\s+", title)}
     out = []
     for x, r in zip(lines, repeated):
-        if not x.strip() or r:
+        if not x.strip():
             continue
-        if re.sub(r"\W+", "", x.lower()) in names and line_kind(x) is None:
+        if (r or re.sub(r"\W+", "", x.lower()) in names) and line_kind(x) is None:
             continue
         out.append(x.strip())
     return out

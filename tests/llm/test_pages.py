@@ -119,6 +119,21 @@ def test_residue_without_placeholder_or_word(spark):
         assert {r["page_id"]: r["defect"] for r in residue.residue_pages(crawl(spark, rows), broadcast_rows=limit).collect()} == want
 
 
+def test_residue_repeated_on_its_site(spark):
+    foot = "All fares include tax\nScan the code at the gate"
+    notices = {"error": "404 Not Found\nThe requested address was not found on this server.", "script": "Please enable JavaScript in your browser to see this page.", "filler": "Lorem ipsum dolor sit amet"}
+    rows, want = [], {}
+    for k, (kind, x) in enumerate(notices.items()):
+        for i in range(30):
+            own = x if i < 3 else f"The mill of {chr(97 + i)}ora opens at seven and closes at nine, and nobody there remembers who built the small bridge next to it."
+            rows.append((100 * k + i, f"https://n{k}.example", f"https://n{k}.example/{i}", f"Page {chr(97 + i)}", f"{own}\n{foot}"))
+            if i < 3:
+                want[100 * k + i] = kind
+    # a notice in the footer of a site of real pages is no case
+    rows += [(900 + i, "https://r.example", f"https://r.example/{i}", f"Page {chr(97 + i)}", f"{rows[10 + i][4]}\nPlease enable JavaScript in your browser to see this page.") for i in range(10)]
+    assert {r["page_id"]: r["defect"] for r in residue.residue_pages(crawl(spark, rows)).collect()} == want
+
+
 PAGES = "upload_id bigint, pages array<struct<n:int,text:string,engine:string,review:boolean,reason:string,image:string>>, id string, kind string"
 
 
