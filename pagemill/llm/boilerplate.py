@@ -2,10 +2,11 @@
 
 A page is read as a tree of two levels: its lines, and the pieces of a line that menu marks separate. Each piece is levelled
 (rare words, which are names, become a placeholder) and hashed; that is the element's hash, and a line's is that of its pieces.
-Spark counts for every host on how many pages each element stands and from that, over all hosts, how likely an element that
-one page of a host has stands on another page of the same host as well (sum of m(m-1) over sum of m(n-1)). A template's
-elements do, a paragraph's or a timetable's do not, and hosts of a few pages profit from what all others show. Elements above
-``recurs`` are deleted from the hosts that have them. Two kinds of element change from page to page and hang below one that
+Spark counts for every host on how many pages each element stands and from that how likely an element that one page of the host
+has stands on another page of it as well, (m-1) over (n-1). A template's elements do, a paragraph's or a timetable's do not. The
+host's own count decides; on hosts of fewer than ``few_pages`` pages, what all hosts show does: the mean of that over the pages
+that have the element, where no host weighs more than ``few_pages`` times the share of its pages. Elements above
+``recurs`` are deleted. Two kinds of element change from page to page and hang below one that
 does not: the links of a sidebar below its heading, and the page's name at the end of a breadcrumb. A heading is an element
 whose next line is mostly a title of another page; its run of title-like lines goes with it. Page tools vary as well; like
 everything above the page's own heading they belong to the subtree that precedes the main content and go with it.
@@ -178,7 +179,7 @@ def _vocabulary(src: DataFrame, most: int) -> tuple[frozenset, frozenset, frozen
     return words, shapes, known
 
 
-def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str = "seed_url", title: str = "title", content: str = "content", recurs: float = 0.4, most_words: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str = "seed_url", title: str = "title", content: str = "content", recurs: float = 0.4, few_pages: int = 20, most_words: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """page_id, line_no: every line that belongs to the page's site, once. Line numbers count from 1 at each line feed.
 
     Null ids and null or blank contents give no row; blank lines are never one. A null title is no obstacle: a page's heading
@@ -207,10 +208,15 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
     per_host = materialize(found.groupBy("host", F.xxhash64("k").alias("k")).agg(F.count("*").alias("m"), F.sum("head").alias("heads")), "elements")
     totals = one.groupBy("host").agg(F.count("*").alias("n"))
     x = per_host.join(totals, "host")
-    score = x.groupBy("k").agg(F.try_divide(F.sum(F.col("m") * (F.col("m") - 1)), F.sum(F.col("m") * (F.col("n") - 1))).alias("again"), F.sum("m").alias("pages"), (F.sum("heads") / F.sum("m")).alias("head"))
-    score = score.where((F.col("again") >= recurs) & (F.col("pages") > 1)).select("k", (F.col("head") >= 0.5).alias("head"))
+    # a host of few pages says little: its elements are scored over all hosts, where one of many pages weighs as one of few_pages
+    x = x.withColumn("own", F.try_divide(F.col("m") - 1, F.col("n") - 1)).withColumn("weight", F.least(F.lit(1.0), F.lit(few_pages) / F.col("n")) * F.col("m"))
+    x = x.withColumn("weight", F.when(F.col("n") > 1, F.col("weight")).otherwise(0.0))
+    score = x.groupBy("k").agg(F.try_divide(F.sum(F.col("weight") * F.col("own")), F.sum("weight")).alias("again"), F.sum("m").alias("pages"), (F.sum("heads") / F.sum("m")).alias("head"))
+    score = score.where("pages > 1").select("k", "again", (F.col("head") >= 0.5).alias("head"))
+    # a host's own count decides where it has enough pages; on fewer, a timetable that it shows twice would pass
+    decided = F.when(F.col("n") >= few_pages, F.col("own")).otherwise(F.col("again")) >= recurs
     # elements of each host; a host's are few, as each stands on a good part of its pages or of those of others
-    of_host = materialize(per_host.join(score, "k").groupBy("host").agg(F.collect_list("k").alias("template"), F.collect_list(F.when(F.col("head"), F.col("k"))).alias("heads")), "templates")
+    of_host = materialize(x.join(score, "k").where(decided).groupBy("host").agg(F.collect_list("k").alias("template"), F.collect_list(F.when(F.col("head"), F.col("k"))).alias("heads")), "templates")
     small = of_host.select(F.sum(F.size("template")).alias("n")).first()["n"] or 0
     joined = src.join(F.broadcast(of_host) if small <= broadcast_rows else of_host, "host", "left")
 

@@ -37,6 +37,21 @@ def test_boilerplate_of_small_sites(spark):
     assert set(body) == {0}
 
 
+def test_boilerplate_is_decided_per_host(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    rows = []
+    body = lambda i: f"Title {letters(i)}\n{letters(i)}ora {letters(i)}ina {letters(i)}upa."
+    # on all pages of small hosts and on one page of a hot one
+    for i in range(300):
+        hot = i >= 60
+        rows.append((i, "https://hot.example" if hot else f"https://h{i // 12}.example", f"Title {letters(i)}", body(i) + ("" if 60 < i else "\nSearch this site")))
+    got = {tuple(r) for r in boilerplate.boilerplate_lines(raw(spark, rows)).collect()}
+    assert got == {(i, 3) for i in range(60)}
+    # on a part of the pages of a hot host under 40 %, as much as hides it in a pooled count
+    rows = [(i, "https://hot.example" if i >= 60 else f"https://h{i // 12}.example", f"Title {letters(i)}", body(i) + ("\nSearch this site" if i < 60 or i % 6 == 0 else "")) for i in range(600)]
+    assert {tuple(r) for r in boilerplate.boilerplate_lines(raw(spark, rows)).collect()} == {(i, 3) for i in range(60)}
+
+
 def crawl(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], CRAWL)
 
