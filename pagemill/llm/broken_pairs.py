@@ -49,16 +49,27 @@ _ANSWER = r"(?:answer\w*|help\w*|assist\w*|discuss\w*|provid\w*|shar\w*|say\w*|r
 _NOT = r"(?:can(?:no|['’])t|can not|could(?:n['’]t| not)|won['’]t|will not|would(?:n['’]t| not)|unable|not able|not (?:be )?(?:allowed|permitted|possible|comfortable|in a position|going)|isn['’]t possible|(?:do|does)(?:n['’]t| not) (?:feel|have|allow|permit|know)|must (?:decline|refuse)|(?:have|need) to (?:decline|refuse)|decline|refuse|rather not|no permission|not have permission|against (?:my|our))"
 _SELF_RE, _NOT_RE, _ANSWER_RE = (re.compile(x, re.I) for x in (_SELF, _NOT, _ANSWER))
 _PLAIN_REFUSAL = re.compile(r"against (?:my|our) (?:guidelines|rules|polic)|something I must decline", re.I)
-REFUSAL_OTHER = re.compile(
-    r"(?:उत्तर|जवाब|सहायता|मदद|जानकारी|बता|अनुमति|टिप्पणी).*(?:नहीं|असमर्थ|अक्षम|इनकार|मना)|(?:असमर्थ|अनुमति नहीं)"
-    r"|(?:উত্তৰ|সহায়|ক['’]বলৈ|কবলৈ|তথ্য|মন্তব্য|জনাব).*(?:নোৱাৰ|অক্ষম|অপাৰগ|অনুমতি নাই|অস্বীকাৰ)"
-    r"|(?:উত্তর|সাহায্য|সহায়তা|তথ্য|বলার|বলতে|মন্তব্য|জানাতে).*(?:পারব না|পারছি না|পারি না|অক্ষম|অপারগ|অনুমতি নেই|অস্বীকার)"
-    r"|je ne (?:peux|puis|suis).*(?:répondre|aider|réponse|information|autoris)|no (?:puedo|me es posible|estoy autorizad).*(?:responder|ayudar|información|contestar)"
-    r"|(?:jawab|uttar|madad|sahayata|jaankari|jankari).*(?:nahi|nahin|asamarth)",
-    re.I | re.S,
-)
+# Parts of refusals in other languages, that follow each other in a sentence; searched one after the other, as sentences can be long.
+REFUSAL_OTHER = [
+    tuple(re.compile(x, re.I) for x in xs)
+    for xs in [
+        (r"उत्तर|जवाब|सहायता|मदद|जानकारी|बता|अनुमति|टिप्पणी", r"नहीं|असमर्थ|अक्षम|इनकार|मना"),
+        (r"असमर्थ|अनुमति नहीं",),
+        (r"উত্তৰ|সহায়|ক['’]বলৈ|কবলৈ|তথ্য|মন্তব্য|জনাব", r"নোৱাৰ|অক্ষম|অপাৰগ|অনুমতি নাই|অস্বীকাৰ"),
+        (r"উত্তর|সাহায্য|সহায়তা|তথ্য|বলার|বলতে|মন্তব্য|জানাতে", r"পারব না|পারছি না|পারি না|অক্ষম|অপারগ|অনুমতি নেই|অস্বীকার"),
+        (r"je ne (?:peux|puis|suis)", r"répondre|aider|réponse|information|autoris"),
+        (r"no (?:puedo|me es posible|estoy autorizad)", r"responder|ayudar|información|contestar"),
+        (r"\b(?:ich|wir)\b", r"\b(?:nicht|keine?n?)\b", r"beantworten|antworten|helfen|auskunft|antwort\b|information|äußern"),
+        (r"não (?:posso|podemos|consigo|estou autorizad|me é possível|tenho permissão)", r"responder|ajudar|informaç|resposta|comentar"),
+        (r"non (?:posso|possiamo|sono (?:in grado|autorizzat)|mi è (?:possibile|permesso|consentito))", r"rispond|aiutar|informazion|risposta|comment"),
+        (r"uttor|xohai|tothyo|kobo", r"nuwar"),
+        (r"uttor|sahajyo|tothyo|bolte", r"parbo na|parchi na|pari na"),
+        (r"jawab|uttar|madad|sahayata|jaankari|jankari", r"nahi|nahin|asamarth"),
+    ]
+]
 COURTESY = re.compile(
     r"^\W*(?:(?:i['’]?m |i am |we are )?(?:very |so )?sorry\b[^.]{0,20}|unfortunately|regrettably|i apologi[sz]e|apologies|thank(?:s| you)\b.{0,40}|please\b.{0,80}|is there (?:any|some)thing else\b.{0,60}|(?:you|one) (?:may|might|could|can)\b.{0,80}|(?:try|ask|contact|feel free)\b.{0,80}|let me know\b.{0,60}|topic\b.*"
+    r"|(?:es tut mir|tut mir) leid|entschuldigung|leider|desculpe|lamento|mi dispiace|purtroppo|lo siento|(?:je suis )?désolée?"
     r"|क्षमा.{0,20}|माफ़?.{0,20}|कृपया.{0,80}|कार्यालय.{0,60}|धन्यवाद.{0,40}|অনুগ্ৰহ.{0,80}|ক্ষমা.{0,20}|দুঃখিত.{0,20}|ধন্যবাদ.{0,40}|কাৰ্যালয়.{0,60}|অনুগ্রহ.{0,80}|দয়া করে.{0,80}|মাফ.{0,20}|কার্যালয়.{0,60}|অফিচ.{0,60})\W*$",
     re.I | re.S,
 )
@@ -104,10 +115,10 @@ def copies_question(question: str | None, body: str, most_added: int = 40) -> bo
     if not question:
         return False
     q = level(LABEL.sub("", question) or question)
-    if len(q) < 8 or len(body) > 3 * len(question) + 80:
+    if not q or len(body) > 3 * len(question) + 80:
         return False
     a = level(body)
-    if len(q) >= 8 and added(q, a) > most_added:
+    if len(q) >= 8 and added(q, a) > most_added:  # a shorter dictionary finds nothing
         return False
     if q == a or level(question) == a:
         return True
@@ -166,17 +177,25 @@ def other_language(question: str | None, body: str) -> bool:
     return not (len(n) >= 20 and n in level(question))
 
 
+def _in_order(parts: tuple[re.Pattern, ...], text: str) -> bool:
+    at = 0
+    for p in parts:
+        m = p.search(text, at)
+        if not m:
+            return False
+        at = m.end()
+    return True
+
+
 def declines(sentence: str) -> bool:
     """Whether a sentence speaks of the speaker, of not being able or willing, and of answering; or declines in another language."""
     if _NOT_RE.search(sentence) and _SELF_RE.search(sentence) and _ANSWER_RE.search(sentence):
         return True
-    return bool(_PLAIN_REFUSAL.search(sentence) or REFUSAL_OTHER.search(sentence))
+    return bool(_PLAIN_REFUSAL.search(sentence) or any(_in_order(x, sentence) for x in REFUSAL_OTHER))
 
 
 def refuses(body: str) -> bool:
     """Whether every sentence of the answer declines or is a courtesy around it, and one declines."""
-    if len(body) > 700:
-        return False
     x = re.sub(r"\(\s*(?:topic|re|subject|question|विषय|বিষয়)\s*[:：].*?\)?\s*$", " ", body.strip(), flags=re.I | re.S)
     x = _QUOTED.sub(" ", x)
     found = False

@@ -72,3 +72,12 @@ def test_prefixes_against_brute_force(spark):
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "h bigint, k string").repartition(7)
     got = {keys[x["h"]] for x in cutoff.continued(df).collect()}
     assert got == {k for k in keys if any(v != k and v.startswith(k) and v[len(k) :].strip() for v in keys)}
+
+
+def test_pairs_long_refusals_short_questions_and_languages():
+    assert B.defect("Where is it?", "I'm sorry, but I cannot help with that request. " * 20) == "refusal"
+    assert B.defect("Where is it?", "I'm sorry, but I cannot help with that request. " * 20 + "The mill stands at the pier.") is None
+    assert B.defect("Fees?", "Fees?") == "copies_question" and B.defect("Fees?", "Q: FEES") == "copies_question"
+    assert B.defect("Fees?", "Fees are due.") is None
+    for x in ("Es tut mir leid. Ich kann diese Frage leider nicht beantworten.", "Desculpe. Não posso responder a essa pergunta.", "Mi dispiace. Non posso rispondere a questa domanda."):
+        assert B.defect("How much does the boat to the pier cost?", x) == "refusal", x
