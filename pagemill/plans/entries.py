@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import canonical, catalog, chunks, cleaning, export, intake, ops, similar, vectors
+from ..operators import catalog, chunks, cleaning, export, intake, ops, vectors
 from ..session import table
 from ..sources import api as sources_api
 from . import sql as S
 
 
-def p2_found(spark, d):
-    x = similar.similar_pairs(table(spark, d, "source_items"), id_col="item_id", text="content", run=3, likeness=0.6, min_words=20)
-    return x.select(F.col("id_a").alias("item_id_a"), F.col("id_b").alias("item_id_b")).distinct()
-
-
-def p4_found(spark, d):
-    x = canonical.canonical_members(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
-    return x.select(F.col("first").alias("first_rec_id"), F.col("id").alias("rec_id"))
-
 # ---- text, urls
 
 
@@ -432,45 +423,13 @@ def job_status(spark, d):
     return x.join(pages, "job_id", "left").select("job_id", "status", F.round("seconds", 1).alias("seconds"), "max_depth_limit", F.coalesce("pages", F.lit(0)).alias("pages"), "last_url")
 
 
-def p2_groups(spark, d):
-    return similar.similar_groups(table(spark, d, "source_items"), id_col="item_id", text="content", run=3, likeness=0.6, min_words=20).select(F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
-
-
-def p4_records(spark, d):
-    x = canonical.one_each(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
-    return x.select("rec_id", "copies")
-
 QUERIES: dict = {f.__name__: f for f in [
-    p2_found, p4_found,
     doc_word_count, doc_fingerprint, doc_lines, url_normalize, url_hosts, url_crawlable, url_same_domain, host_histogram, storage_paths, drop_reasons, drop_histogram, line_boilerplate, ui_lines, block_pages, clean_pages, clean_summary, sitewide_lines, removed_lines_top, page_retention, typical_and_worst_pages, copies_only_lines, report_copies, refetch_candidates, page_names, common_suffixes, content_export, export_documents, change_status, change_counts, catalog_upsert, latest_version,
     chunk_pages, passages, pages_left_whole, valid_questions, qa_rows_to_replace, qa_by_site, pages_with_passages, pages_todo, import_batches, vector_topk, vector_search, rag_prompts, rag_answers, rag_sources, vector_upsert, vector_delete, vector_stats, tidy_pages, layer_quality, page_review, text_agreement, repeated_line_strip, upload_list, read_summary, upload_crawl_pages, job_list, job_page, job_search, job_totals, job_errors, job_union, latest_pages, daily_quota, failure_streaks, lockouts, cleanup_runs, retention_plan, source_quota, usable_items,
-    text_utilities, site_names, schedules, due_schedules, systematic_sample, job_status, p2_groups, p4_records,
+    text_utilities, site_names, schedules, due_schedules, systematic_sample, job_status,
 ]}
 
 SQL: dict = {
-    "p2_found": r"""
-WITH w AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(content), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda x: x <> '') w FROM source_items WHERE content IS NOT NULL),
-s AS (SELECT DISTINCT item_id, concat_ws(chr(31), w[i], w[i + 1], w[i + 2]) g FROM w, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 20),
-n AS (SELECT item_id, count(*) n FROM s GROUP BY 1),
-p AS (SELECT a.item_id a, b.item_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.item_id < b.item_id GROUP BY 1, 2)
-SELECT a AS item_id_a, b AS item_id_b FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k * 10 >= 6 * (x.n + y.n - k)""",
-    "p4_found": r"""
-WITH r AS (SELECT DISTINCT rec_id, url, content c, regexp_replace(content, '^[\s\p{Z}\p{Cf}]+', '') b FROM import_records
-           WHERE rec_id IS NOT NULL AND url IS NOT NULL AND content IS NOT NULL AND regexp_replace(content, '[\s\p{Z}\p{Cf}\p{Cc}]+', '', 'g') <> ''),
-j AS (SELECT rec_id, list_transform(json_keys(b), lambda k: regexp_replace(lower(k || coalesce(json_extract_string(b, '$."' || k || '"'), '')), '[^\p{L}\p{M}\p{N}]+', '', 'g')) f
-      FROM r WHERE b LIKE '{%' AND json_valid(b)),
-l AS (SELECT rec_id, list_filter(string_split_regex(c, '[\r\n\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g') <> '') f FROM r),
-k AS (SELECT rec_id, regexp_replace(lower(split_part(url, '?', 1)), '[^\p{L}\p{M}\p{N}]+', '', 'g') || '?' ||
-        CASE WHEN instr(url, '?') > 0 THEN array_to_string(list_sort(list_filter(list_transform(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g')), lambda x: x <> '')), '&') ELSE '' END u,
-        CASE WHEN len(j.f) > 0 THEN array_to_string(list_sort(j.f), chr(30))
-             WHEN len(l.f) > 1 AND len(list_filter(l.f, lambda x: NOT regexp_matches(x, '^[^:\n]{1,60}:'))) = 0
-             THEN array_to_string(list_sort(list_transform(l.f, lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g'))), chr(30))
-             ELSE regexp_replace(lower(c), '[^\p{L}\p{M}\p{N}]+', '', 'g') END c
-      FROM r JOIN l USING (rec_id) LEFT JOIN j USING (rec_id)),
-f AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY u, c) first_rec_id FROM k)
-SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id""",
-}
-SQL |= {
     "doc_word_count": f"SELECT doc_id, CAST(coalesce({S.wc('text')}, 0) AS INTEGER) words, CAST(len(list_filter(string_split_regex(coalesce(text, ''), {S.q(T.WS)}), lambda x: x <> '')) AS INTEGER) ws_words FROM documents",
     "doc_fingerprint": f"SELECT doc_id, sha256({S.norm('coalesce(text, chr(32))')}) content_hash FROM documents",
     "doc_lines": f"SELECT doc_id, CAST(i - 1 AS INTEGER) pos, l[i] line FROM (SELECT doc_id, {S.lines('text')} l FROM documents), unnest(range(1, len(l) + 1)) u(i)",
@@ -646,7 +605,6 @@ SQL |= {
     "systematic_sample": "WITH x AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY qa_id) r, CAST(greatest(1, count(*) OVER (PARTITION BY source_name) // 5) AS INTEGER) AS step FROM qa_pairs) SELECT qa_id, step FROM x WHERE (r - 1) % step = 0",
     "job_status": """WITH p AS (SELECT job_id, count(*) pages, arg_max(url, (page_idx, page_id)) last_url FROM (SELECT DISTINCT ON (page_id) * FROM crawl_pages ORDER BY page_id) GROUP BY 1)
 SELECT job_id, lower(status) status, round(coalesce(duration_seconds, 0), 1) AS "seconds", stats.max_depth_limit max_depth_limit, coalesce(pages, 0) pages, last_url FROM crawl_jobs LEFT JOIN p USING (job_id)""",
-    "p4_records": SQL["p4_found"].replace("SELECT first_rec_id, rec_id FROM f WHERE rec_id <> first_rec_id", "SELECT i.rec_id, coalesce(n, 1) copies FROM import_records i LEFT JOIN (SELECT first_rec_id, count(*) n FROM f GROUP BY 1) g ON g.first_rec_id = i.rec_id WHERE i.rec_id NOT IN (SELECT rec_id FROM f WHERE rec_id <> first_rec_id)"),
 }
 
 SQL |= {
@@ -692,16 +650,3 @@ bu AS (SELECT job, id, r, CASE WHEN c > 0 AND c <= 20 THEN c ELSE 0 END used, c
   UNION ALL SELECT n.job, n.id, n.r, CASE WHEN n.c > 0 AND bu.used + n.c <= 20 THEN bu.used + n.c ELSE bu.used END, n.c > 0 AND bu.used + n.c <= 20 FROM bu JOIN nc n ON n.job = bu.job AND n.r = bu.r + 1)
 SELECT id page_id FROM bu WHERE NOT fits"""
 )
-_SIM = SQL["p2_found"]
-SQL["p2_groups"] = (
-    "WITH RECURSIVE "
-    + _SIM[_SIM.index("w AS (") : _SIM.index("s AS (")]
-    + """k AS (SELECT item_id, w, min(item_id) OVER (PARTITION BY array_to_string(w, ' ')) rep FROM w WHERE len(w) >= 20),
-s AS (SELECT DISTINCT item_id, concat_ws(chr(31), w[i], w[i + 1], w[i + 2]) g FROM k, unnest(range(1, len(w) - 1)) u(i) WHERE item_id = rep),
-n AS (SELECT item_id, count(*) n FROM s GROUP BY 1),
-p AS (SELECT a.item_id a, b.item_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.item_id <> b.item_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k * 10 >= 6 * (x.n + y.n - k)),
-r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
-c AS (SELECT x, min(y) g FROM r GROUP BY 1), l AS (SELECT a, count(*) links FROM e GROUP BY 1)
-SELECT item_id, coalesce(g, rep) group_id, coalesce(links, 0) links FROM (SELECT DISTINCT item_id, rep FROM k) k LEFT JOIN c ON c.x = rep LEFT JOIN l ON l.a = rep"""
-)
