@@ -43,36 +43,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    """Words and their hashes; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Runs:
     """Texts as sorted distinct hashes of their word runs; words are hashed once. Texts of fewer than ``least`` words have none."""
 
     def __init__(self, run: int, least: int = 0):
-        self.run, self.least, self.memo = run, max(run, least), {}
+        self.run, self.least, self.memo = run, max(run, least), Hashes()
 
     def of(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        if len(words) < self.least:
-            return np.empty(0, dtype=np.uint64)
-        memo, out = self.memo, np.empty(len(words), dtype=np.uint64)
-        if len(memo) > 500_000:
-            memo.clear()
-        for i, w in enumerate(words):
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        n = len(words) - self.run + 1
+        return self.sets([words])[1]
+
+    def sets(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, all hashes one after the other) of texts given as words; a whole batch is hashed at once."""
+        size = np.fromiter((len(w) if len(w) >= self.least else 0 for w in texts), dtype=np.int64, count=len(texts))
+        flat = [w for ws in texts if len(ws) >= self.least for w in ws]
+        x = np.fromiter(map(self.memo.__getitem__, flat), dtype=np.uint64, count=len(flat))
+        if not len(x):
+            return size, x
+        n = len(x) - self.run + 1
         with np.errstate(over="ignore"):
-            x = out[:n]
+            h = x[:n]
             for k in range(1, self.run):
-                x = _mix(x) * _GOLD + out[k : n + k]
-        return np.unique(_mix(x))
+                h = _mix(h) * _GOLD + x[k : n + k]
+        h = _mix(h)
+        stop = np.cumsum(size)
+        parts = [np.sort(h[e - s : e - self.run + 1]) for s, e in zip(size.tolist(), stop.tolist()) if s]
+        h = np.concatenate(parts)
+        size[size > 0] -= self.run - 1
+        doc = np.repeat(np.arange(len(size)), size)
+        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+        return np.bincount(doc[new], minlength=len(size)), h[new]
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, all hashes one after the other)."""
-        sets = [self.of(words_of(t)) for t in texts]
-        return np.array([len(s) for s in sets], dtype=np.int64), np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        return self.sets([words_of(t) for t in texts])
 
 
 def words_of(text: str) -> list[str]:
@@ -110,7 +124,8 @@ def _rows(run: int, least: int, t: float, counts):
                 if len(keys) and len(key):
                     k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     n = np.where(keys[k] == key, ns[k], 0)
-                by = np.lexsort((key, n, doc))
+                # keys are in order in each record already, so a stable sort by count is enough
+                by = np.argsort(doc * (int(n.max(initial=0)) + 1) + n, kind="stable")
                 place = np.arange(len(key)) - (np.cumsum(sizes) - sizes)[doc]
                 first = place <= np.floor((1 - t) * sizes + 1e-9)[doc]
                 key, doc, place = key[by][first], doc[first], place[first]
@@ -130,9 +145,7 @@ def _sketches(run: int, least: int):
         for b in batches:
             words = [words_of(t) for t in b.column(1).to_pylist()]
             keep = [i for i, w in enumerate(words) if len(w) >= runs.least]
-            sets = [runs.of(words[i]) for i in keep]
-            sizes = np.array([len(x) for x in sets], dtype=np.int64)
-            u = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+            sizes, u = runs.sets([words[i] for i in keep])
             at = np.cumsum(sizes) - sizes
             word, one = (u >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (u & np.uint64(63))
             s = [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), at).view(np.int64) if len(u) else np.empty(0, dtype=np.int64) for w in range(4)]
@@ -152,7 +165,9 @@ def _verify(run: int):
             for ids, texts in ((a, x.column(2)), (b, x.column(3))):
                 for i, t in zip(ids, texts):
                     if i not in sets:
-                        sets[i] = runs.of(words_of(t.as_py()))
+                        sets[i] = t.as_py()
+            sizes, flat = runs.batch(list(sets.values()))
+            sets = dict(zip(sets, np.split(flat, np.cumsum(sizes)[:-1])))
             both = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)]
             either = [len(sets[i]) + len(sets[j]) - n for i, j, n in zip(a, b, both)]
             yield pa.record_batch([x.column(0), x.column(1), pa.array(both, pa.int32()), pa.array(either, pa.int32())], names=["a", "b", "n", "u"])
@@ -203,8 +218,9 @@ def similar_classes(rows: DataFrame, *, id_col: str, text: str, run: int = 5, li
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "key")) - 1  # the positions of one record
         found = found.withColumn("place", place).where(F.col("place") <= F.floor((1 - t) * F.col("size") + 1e-9)).select("key", "id", "size", "place")
     # l is the smaller one, by size and then id
-    l, r = found.where(F.col("place") <= F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - 1e-9)).alias("l"), found.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.struct("l.size", "l.id") < F.struct("r.size", "r.id")) & (F.col("l.size") >= t * F.col("r.size") - 1e-9)
+    l, r = found.alias("l"), found.alias("r")
+    near = F.col("l.place") <= F.col("l.size") - F.ceil(2 * t / (1 + t) * F.col("l.size") - 1e-9)
+    near &= (F.col("l.key") == F.col("r.key")) & (F.struct("l.size", "l.id") < F.struct("r.size", "r.id")) & (F.col("l.size") >= t * F.col("r.size") - 1e-9)
     least_both = t / (1 + t) * (F.col("l.size") + F.col("r.size")) - 1e-9
     near &= (F.col("l.size") - F.col("l.place") >= least_both) & (F.col("r.size") - F.col("r.place") >= least_both)
     cand = l.join(r, near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
