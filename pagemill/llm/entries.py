@@ -58,6 +58,10 @@ def p7_found(spark, d):
     return site_lines.flagged_lines(table(spark, d, "crawl_pages")).select("page_id", "line_no")
 
 
+def p7_pages(spark, d):
+    return site_lines.without_lines(table(spark, d, "crawl_pages")).select("page_id", F.md5("content").alias("content_md5")).distinct()
+
+
 def p8_ids(spark, d):
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -66,7 +70,7 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in [p1_found, p2_found, p2_groups, p3_found, p4_found, p4_records, p5_found, p5_paragraphs, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_sources]}
+QUERIES = {f.__name__: f for f in [p1_found, p2_found, p2_groups, p3_found, p4_found, p4_records, p5_found, p5_paragraphs, p6_found, p7_found, p7_pages, p8_ids, p9_found, p10_found, p10_sources]}
 
 SQL = {
     "p2_found": r"""
@@ -119,3 +123,13 @@ r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a =
 c AS (SELECT x, min(y) g FROM r GROUP BY 1), l AS (SELECT a, count(*) links FROM e GROUP BY 1)
 SELECT item_id, coalesce(g, rep) group_id, coalesce(links, 0) links FROM (SELECT DISTINCT item_id, rep FROM k) k LEFT JOIN c ON c.x = rep LEFT JOIN l ON l.a = rep"""
 )
+
+_SITE_LINES = SQL["p7_found"]
+SQL["p7_pages"] = (
+    _SITE_LINES[: _SITE_LINES.rindex("SELECT DISTINCT page_id, line_no")].rstrip()
+    + """,
+g AS (SELECT DISTINCT page_id, line_no FROM l JOIN c USING (s, k) JOIN t USING (s) WHERE n >= 10 AND m >= 5 AND m * 5 >= n),
+a AS (SELECT DISTINCT page_id, content FROM crawl_pages),
+v AS (SELECT page_id, CAST(i AS INTEGER) line_no, string_split(content, chr(10))[i] x FROM a, unnest(range(1, len(string_split(content, chr(10))) + 1)) u(i))
+SELECT page_id, md5(CASE WHEN content IS NULL THEN NULL ELSE coalesce((SELECT string_agg(x, chr(10) ORDER BY v.line_no) FROM v WHERE v.page_id = a.page_id AND NOT EXISTS (SELECT 1 FROM g WHERE g.page_id = v.page_id AND g.line_no = v.line_no)), '') END) content_md5 FROM a"""
+)

@@ -90,6 +90,26 @@ def test_site_lines_by_definition(spark):
     assert site_lines.flagged_lines(crawl(spark, [])).collect() == []
 
 
+def test_line_test_over_all_lines(spark):
+    import math
+
+    rows, n = [], 0
+    for site, own, common in (("https://a.example", 30, 6), ("https://b.example", 0, 6), ("https://c.example", 0, 6)):
+        for i in range(30):
+            lines = [f"body {site[8]} " + chr(97 + i % 26) + chr(97 + i // 26)] + (["Only here"] if i < own else []) + (["Everywhere the same"] if i < common else [])
+            rows.append((n := n + 1, site, f"{site}/{i}", "t", "\n".join(lines)))
+    df = crawl(spark, rows)
+    got = {(r["s"][8], r["urls"]): r for r in site_lines.tested_lines(df).where("urls > 1").collect()}
+    a = got["a", 30]
+    assert (a["site_urls"], a["other_urls"], a["significant"]) == (30, 0, True)
+    want = 2 * (30 * math.log(1) - 30 * math.log(1 / 3) - 60 * math.log(2 / 3))
+    assert abs(a["llr"] - want) < 1e-9
+    for k in "abc":  # on a fifth of the urls of every site: in excess by its share alone
+        assert (got[k, 6]["other_urls"], got[k, 6]["significant"]) == (12, False) and got[k, 6]["share"] == 0.2
+    assert site_lines.flagged_lines(df).count() == 30 + 18
+    assert site_lines.flagged_lines(df, require_significance=True).count() == 30
+
+
 def test_residue_kinds(spark):
     foot = "All fares include tax.\nScan the code at the gate"
     real = "The mill opens at seven and closes at nine. " * 4
