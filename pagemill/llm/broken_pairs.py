@@ -1,15 +1,16 @@
 """Broken prompt and response pairs (problem 1).
 
 Each pair is judged on its own, in one pass without a shuffle, in this order: ``empty``, ``copies_question``, ``refusal``,
-``other_language``, ``truncated``. Copies are found by compressing the response with its prompt as a zstandard dictionary: what
-the response adds to the prompt is the size of the frame, and a response that adds next to nothing is compared letter by
-letter. Languages are told by script and dictionaries of function words, refusals by dictionaries of phrases, cut answers by
-the terminal context (``endings.py``) with the closing lines that the corpus uses.
+``other_language``, ``truncated``. Copies are found by compressing the response with its prompt as a zstandard dictionary, and the
+prompt with the response as its dictionary: what one adds to the other is the size of the frame beyond that of a frame of the
+dictionary itself. Where both add next to nothing, few words may differ. Languages are told by script and dictionaries of function words, refusals by dictionaries of phrases, cut answers by
+the terminal context (``endings.py``) as learnt from all answers.
 """
 
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 import regex
@@ -101,35 +102,45 @@ def is_empty(content: str | None) -> bool:
     return not x or x.replace(" ", "") in NOTHING
 
 
-def added(question: str, answer: str) -> int:
-    """Bytes of the zstandard frame of the answer with the question as its dictionary, less those of an empty frame."""
+def frame(dictionary: str, text: str) -> int:
+    """Bytes of the zstandard frame of a text with another one as its dictionary."""
     import zstandard as z
 
-    d = z.ZstdCompressionDict(question.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+    d = z.ZstdCompressionDict(dictionary.encode("utf-8", "surrogatepass"), dict_type=z.DICT_TYPE_RAWCONTENT)
     c = z.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(c.compress(answer.encode()))
+    return len(c.compress(text.encode("utf-8", "surrogatepass")))
 
 
-def copies_question(question: str | None, body: str, most_added: int = 40) -> bool:
-    """Whether the body is only the question again. The compressed size finds the candidates, an exact comparison decides."""
+def added(dictionary: str, text: str) -> int:
+    """Bytes that a text adds to its dictionary: its frame beyond that of the dictionary itself."""
+    return frame(dictionary, text) - frame(dictionary, dictionary)
+
+
+def copies_question(question: str | None, body: str, most_added: int = 24) -> bool:
+    """Whether the body is only the question again, labels and form aside. What the frames add decides; of eight words one may then
+    be another, as a turned-round question ("is it open" - "it is open") adds no more than that."""
     if not question:
         return False
     q = level(LABEL.sub("", question) or question)
-    if not q or len(body) > 3 * len(question) + 80:
+    if not q or len(body) > 4 * len(question) + 80:
         return False
-    a = level(body)
-    if len(q) >= 8 and added(q, a) > most_added:  # a shorter dictionary finds nothing
-        return False
-    if q == a or level(question) == a:
-        return True
-    x = body
+    forms, x = {level(body)}, body
     for _ in range(3):
         shorter = LABEL.sub("", x)
         if shorter == x:
             break
         x = shorter
-    a = level(x)
-    return a == q or (len(q) > 20 and a == q + " " + q)
+        forms.add(level(x))
+    for known in {q, level(question)}:
+        for a in forms:
+            while len(a) > len(known) and a.startswith(known + " " + known[: len(a) - len(known) - 1]):
+                a = a[len(known) + 1 :]  # the question over and over
+            if not a or abs(len(a) - len(known)) > most_added + len(known) // 8 or added(known, a) > most_added or added(a, known) > most_added:
+                continue
+            p, w = known.split(), a.split()
+            if p == w or SequenceMatcher(None, p, w, autojunk=False).ratio() * (len(p) + len(w)) / 2 >= max(len(p), len(w)) - min(len(p), len(w)) // 8:
+                return True
+    return False
 
 
 def language(text: str) -> tuple[str | None, dict[str, int]]:
@@ -209,7 +220,7 @@ def refuses(body: str) -> bool:
     return found
 
 
-def defect(question: str | None, content: str | None, closing=frozenset()) -> str | None:
+def defect(question: str | None, content: str | None, learnt: endings.Terminal = endings.NOTHING_LEARNT) -> str | None:
     """The one defect of a pair, or None."""
     if is_empty(content):
         return "empty"
@@ -220,7 +231,7 @@ def defect(question: str | None, content: str | None, closing=frozenset()) -> st
         return "refusal"
     if other_language(question, body):
         return "other_language"
-    if endings.cut(content, closing):
+    if endings.cut(content, learnt):
         return "truncated"
     return None
 
@@ -232,12 +243,12 @@ def broken_pairs(pairs: DataFrame, *, pair_id: str = "qa_id", question: str = "q
     language. Null ids give no row, a pair delivered twice gives one row. Texts are taken whole. Other columns are ignored.
     """
     src = pairs.select(F.col(pair_id).alias("id"), F.col(question).cast("string").alias("q"), F.col(content).cast("string").alias("c")).where("id is not null")
-    closing = src.sparkSession.sparkContext.broadcast(endings.closing_lines(src, "c"))
+    learnt = src.sparkSession.sparkContext.broadcast(endings.learn(src, "c"))  # bounded, see there
     kind = src.schema["id"].dataType.simpleString()
 
     def judge(batches):
         for b in batches:
-            d = pa.array([defect(q, c, closing.value) for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.string())
+            d = pa.array([defect(q, c, learnt.value) for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.string())
             yield pa.record_batch([b.column(0), d], names=["id", "defect"])
 
     found = src.mapInArrow(judge, f"id {kind}, defect string").where("defect is not null")

@@ -2,13 +2,16 @@
 
 Two kinds of evidence, both over whole texts and all documents:
 
-* Copies: the distinct texts, without what follows their last word, are sorted over the cluster. A text that is a strict prefix
-  of a longer one is a prefix of its successor in that order, so one look at the next text decides it, and no group of texts
-  with a common beginning is ever joined or collected. If the longer copy goes on before a sentence ends, the text was cut.
-* Terminal context (``endings.py``): marks after the cut, closing lines of their own, sentence marks. Most cut texts have no
-  longer copy anywhere, so this decides them.
-
-Cost: one pass for the closing lines (combined counts), one shuffle of the distinct texts for the sort, one narrow join.
+* Copies: a text that is a strict prefix of a longer one shares with it the hash of its first ``HEAD`` characters. Texts (without
+  what follows their last word) whose head no other text has are done with; the others are sorted over the cluster, where a
+  strict prefix stands right before a text that goes on from it, so that one look at the next text decides it and no group of texts
+  with a common beginning is ever joined or collected. Texts shorter than a head are looked up in the beginnings of all others.
+  If the longer copy goes on before a sentence ends, the text was cut.
+* Terminal context (``endings.py``), learnt from all texts: closing lines, words that sentences go on from, marks after the cut. Most
+  cut texts have no longer copy anywhere, so this decides them.
+
+Cost: two passes to learn (combined counts), one to judge that writes a few numbers for each text, one over the texts with a head in
+common, which alone are shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import endings
 
+_GOES_ON = re.compile(r"[\wऀ-ॣঀ-৿,;:-]")
 _IN_WORD = re.compile(r"[\wऀ-ःऺ-ॏ॑-ॣঁ-ঃ়-্ৗৢৣ]")
 
 
@@ -33,15 +37,21 @@ def until_last_word(text: str) -> str:
     return text[:n]
 
 
+#: Characters of a text's beginning that are hashed.
+HEAD = 64
+
+
+def inside(k: str, longer: str) -> bool:
+    """Whether a longer text that begins with k goes on there inside its sentence."""
+    rest = longer[len(k) :].lstrip()
+    return bool(rest) and rest[0] not in endings.STOPS + endings.CLOSERS + "…" and bool(_GOES_ON.match(rest))
+
+
 def continued(rows: DataFrame) -> DataFrame:
     """Of a table (h, k) of distinct texts k with a hash h: h of each k that is a strict prefix of another one which goes on
     inside the sentence, once. Empty texts are left out."""
     by = rows.where("k <> ''").select("h", "k").repartitionByRange("k").sortWithinPartitions("k")
 
-    def inside(k: str, longer: str) -> bool:
-        rest = longer[len(k) :].lstrip()
-        return bool(rest) and rest[0] not in endings.STOPS + endings.CLOSERS + "…" and bool(re.match(r"[\wऀ-ॣঀ-৿,;:-]", rest))
-
     def walk(batches):
         from pyspark import TaskContext
 
@@ -70,7 +80,14 @@ def continued(rows: DataFrame) -> DataFrame:
     return got.where("kind = 'in'").select("h").unionByName(edge.select("h")).distinct()
 
 
-def ends(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
+def _hash(text: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def ends(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str | None = "source", broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, source, cut, reason: one row for every row of ``docs``; reason is ``context`` or ``copy`` where cut is true.
 
     Null, empty and blank texts are not cut. Texts that end with a full sentence or a closing line of their own are whole.
@@ -78,20 +95,47 @@ def ends(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"), F.col(text).cast("string").alias("t"))
-    closing = endings.closing_lines(src, "t")
-    shared = spark.sparkContext.broadcast(closing)  # at most 2000 short lines
+    learnt = spark.sparkContext.broadcast(endings.learn(src, "t"))  # bounded, see there
 
     def judge(batches):
         for b in batches:
             ts = b.column(2).to_pylist()
-            cut = pa.array([endings.cut(t, shared.value) for t in ts])
-            key = pa.array([until_last_word(t) if t else "" for t in ts], pa.string())
-            yield pa.record_batch([b.column(0), b.column(1), cut, key], names=["doc_id", "source", "cut", "k"])
+            cut = pa.array([endings.cut(t, learnt.value) for t in ts], pa.bool_())
+            keys = [until_last_word(t) if t else "" for t in ts]
+            h, head = pa.array([_hash(k) for k in keys], pa.int64()), pa.array([_hash(k[:HEAD]) if len(k) >= HEAD else None for k in keys], pa.int64())
+            short = pa.array([k if 0 < len(k) < HEAD else None for k in keys], pa.string())
+            yield pa.record_batch([b.column(0), b.column(1), cut, h, head, short], names=["doc_id", "source", "cut", "h", "head", "short"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    judged = src.mapInArrow(judge, f"doc_id {kind}, source string, cut boolean, k string").withColumn("h", F.xxhash64("k"))
-    copies = continued(judged.select("h", "k").distinct()).withColumn("copy", F.lit(True))
-    return judged.drop("k").join(copies, "h", "left").select("doc_id", "source", (F.col("cut") | F.coalesce("copy", F.lit(False))).alias("cut"), F.when(F.col("cut"), "context").when(F.col("copy"), "copy").alias("reason"))
+    judged = materialize(src.mapInArrow(judge, f"doc_id {kind}, source string, cut boolean, h bigint, head bigint, short string"), "judged")
+    heads = materialize(judged.where("head is not null").groupBy("head").agg((F.min("h") < F.max("h")).alias("several")).where("several").select("head"), "heads")
+    shorts = materialize(judged.where("short is not null").groupBy("short").agg(F.first("h").alias("h")), "shorts")
+    common = spark.sparkContext.broadcast(frozenset(r["head"] for r in heads.toLocalIterator()) if heads.count() <= broadcast_rows else None)
+    known = spark.sparkContext.broadcast({r["short"]: r["h"] for r in shorts.toLocalIterator()} if shorts.count() <= broadcast_rows else None)
+
+    def gather(batches):
+        """The texts to be sorted, and the hashes of the short ones that others go on from."""
+        heads, shorts = common.value, known.value
+        lengths = sorted({len(k) for k in shorts}) if shorts is not None else []
+        for b in batches:
+            hs, ks, found = [], [], set()
+            for t in b.column(0).to_pylist():
+                k = until_last_word(t)
+                for n in lengths:
+                    if n >= len(k):
+                        break
+                    h = shorts.get(k[:n])
+                    if h is not None and h not in found and inside(k[:n], k):
+                        found.add(h)
+                if k and (heads is None or shorts is None or (len(k) >= HEAD and _hash(k[:HEAD]) in heads)):
+                    hs.append(_hash(k))
+                    ks.append(k)
+            yield pa.record_batch([pa.array([*hs, *found], pa.int64()), pa.array([*ks, *[None] * len(found)], pa.string())], names=["h", "k"])
+
+    got = src.select("t").where("t is not null and t <> ''").mapInArrow(gather, "h bigint, k string").groupBy("h").agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("short"))
+    got = materialize(got, "to-sort")
+    copies = continued(got.where("k is not null").select("h", "k")).union(got.where("short > 0").select("h")).distinct().withColumn("copy", F.lit(True))
+    return judged.join(copies, "h", "left").select("doc_id", "source", (F.col("cut") | F.coalesce("copy", F.lit(False))).alias("cut"), F.when(F.col("cut"), "context").when(F.col("copy"), "copy").alias("reason"))
 
 
 def cut_documents(docs: DataFrame, **kw) -> DataFrame:

@@ -81,3 +81,34 @@ def test_pairs_long_refusals_short_questions_and_languages():
     assert B.defect("Fees?", "Fees are due.") is None
     for x in ("Es tut mir leid. Ich kann diese Frage leider nicht beantworten.", "Desculpe. Não posso responder a essa pergunta.", "Mi dispiace. Non posso rispondere a questa domanda."):
         assert B.defect("How much does the boat to the pier cost?", x) == "refusal", x
+
+
+def test_copies_with_small_changes_are_found_by_what_the_frame_adds():
+    q = "How much does a boat to the eastern pier cost on the first day of the year?"
+    assert B.copies_question(q, "Well, how much does a boat to the eastern pier cost on the first day of the year?")
+    assert B.copies_question(q, q.replace("eastern", "western")) and B.copies_question(q, "Q: " + q + "\n" + q)
+    assert not B.copies_question(q, "A boat to the eastern pier costs Rs. 20 on the first day of the year.")
+    assert not B.copies_question("Is the ferry running today?", "The ferry is running today.")
+    assert not B.copies_question("", "x") and not B.copies_question("Who?", "Nobody.") and B.copies_question("Who?", "Who?")
+
+
+@pytest.mark.parametrize(("text", "cut"), [("Dear all,\nPlease come.\nRegards\nAnita", False), ("Please come.\nWith best wishes,\nR. Bora\nSecretary", False), ("Please come.\nRegards from the\nmayor of the", True), ("It ends." + "." * 2000, False), ("It goes on and" + "…" * 2000, True)])
+def test_signatures_and_many_marks(text, cut):
+    assert endings.cut(text) is cut
+
+
+def test_words_that_go_on_are_learnt(spark):
+    rows = [(i, f"the boat number {i} leaves from the pier. it comes back to the mill\nthe end", "a") for i in range(300)]
+    learnt = endings.Terminal(endings.closing_lines(docs(spark, rows), "text"), endings.going_on(docs(spark, rows), "text", least=200))
+    assert {"the", "from", "to"} <= learnt.goes_on and not {"pier", "mill", "end"} & learnt.goes_on
+    assert "the end" in learnt.closing
+    assert endings.cut("It leaves from the.", learnt) and not endings.cut("It leaves from the pier.", learnt) and not endings.cut("It leaves from the.")
+    assert endings.learn(docs(spark, []), "text") == endings.NOTHING_LEARNT
+
+
+def test_prefixes_with_heads_in_common(spark):
+    long = "The ferry leaves at seven and comes back at nine, but on the first day of the year it rests for the whole night at the eastern pier."
+    rows = [(1, long, "a"), (2, long[:80] + ".", "a"), (3, long[:48] + ".", "a"), (4, long[:20] + ".", "a"), (5, "x", "a"), (6, long + " And so on.", "a")]
+    for limit in (1_000_000, 0):
+        got = {r["doc_id"]: r["reason"] for r in cutoff.ends(docs(spark, rows).repartition(3), broadcast_rows=limit).collect()}
+        assert got == {1: None, 2: "copy", 3: "copy", 4: "copy", 5: "context", 6: None}, limit
