@@ -14,22 +14,25 @@
 
 Cost: one scan that keeps the few pages with a suspicious word, one scan for the repeated lines of the sites (see
 ``site_lines``), one that hashes the whole bodies (four numbers a page are written), one for the learnt frames, and narrow joins
-of what is left. Frames, variables and companions sent to the workers are at most 3000 strings.
+of what is left. Frames, variables and companions sent to the workers are at most 9000
+strings, as each has a share of all.
 """
 
 from __future__ import annotations
 
 import re
+from operator import eq
+from unicodedata import category
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_key
 from ..session import materialize
 from .site_lines import excessive_lines, site_of
 
-# The delimiters of placeholders. The same text is used by Java and Python.
+# The delimiters of placeholders.
 PLACEHOLDER = "|".join(
     [
         r"\{\{\{?\s*[^{}\n]{1,40}\}\}\}?",
@@ -50,28 +53,71 @@ PLACEHOLDER = "|".join(
         r"<[a-z]{2,20}_[a-z_]{2,20}>",
         r"&lt;[a-z][a-z_. ]{1,30}&gt;",
         r"\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Pp]ut)\s[^\[\]\n]{1,40}\]",
+        r"\[(?:First|Last|Full|Given|Family|Your|Company|Customer|Client|Recipient|Sender|User|Guest|Product|Event|Contact|Street|Phone|Email|Order|Account) (?:Name|Names|Address|Email|Number|Title|City|Date|Phone|Company|ID|Here)\]",
         r"\((?:enter|insert|your|type|add) [a-z ]{2,30}\)",
         r"\b(?:TODO|FIXME)\b\s*:?\s*(?:write|add|insert|fill)\b[ \t]?[a-z ]{0,20}",
         r"\[[^\[\]\n]{1,30}(?:लिखें|भरें|डालें|লিখক|লিখুন|ভৰাওক|দিয়ক)\]",
     ]
 )
-#: What any placeholder has: a cheap look before the full pattern.
-MARKS = r"[{}\[\]<>%@$&_]|\((?:enter|insert|your|type|add) |TODO|FIXME"
-# Beginnings of words that any error page, stand-in text or script notice has; they only choose the pages to look
-# at. Tried at the start of words alone, as this is what the scan of all pages costs.
-SUSPICIOUS = (
-    r"(?i)(?:^|[^\p{L}\p{M}])(?:"
-    r"java\s?script|scripts?\b|scripting|noscript|js\b|lorem|dolor|ipsum|your heading|goes here|body text|sample (?:page|text)|placeholder|dummy|short blurb|caption text|coming soon|added later|this block|about yourself|description of your|asdf|qwerty|xxxx|under construction|text to follow"
-    r"|not found|errors?\b|forbidden|bad gateway|gateway time|time-?out|timed out|expired|unavailable|denied|refused|too many requests|suspended|maintenance|unusual traffic|human\b|captcha|traceback|exception|failed to open|does not exist|could not find|valid answer|too long to respond|invalid request|undefined|null\b|object (?:object|moved)|been moved|sign in again|unexpected condition|permission to"
-    r"|জাভাস্ক্ৰিপ্ট|জাভাস্ক্রিপ্ট|जावास्क्रिप्ट|स्क्रिप्ट|স্ক্ৰিপ্ট|ত্ৰুটি|ত্রুটি|त्रुटि|सर्वर|চাৰ্ভাৰ|সার্ভার|পৃষ্ঠাখন|পৃষ্ঠাটি|माँगा गया|पृष्ठ नहीं|উপলব্ধ|उपलब्ध|আৰ্হি পাঠ|नमूना पाठ|নমুনা পাঠ|निर्माणाधीन|নিৰ্মাণাধীন|নির্মাণাধীন"
-    r"|([a-z]{2,12})(?: \1){4})"
+# What any placeholder has, a cheap look before the full pattern.
+MARKS = list("{}[]<>%@$&_") + ["(enter ", "(insert ", "(your ", "(type ", "(add ", "todo", "fixme"]
+# Beginnings of words, and whole words, that any error page, stand-in text or script notice has; they only choose the
+# pages to look at.
+BEGINNINGS = (
+    ["javascript", "java script", "scripting", "noscript", "lorem", "dolor", "ipsum", "your heading", "goes here", "body text", "sample page", "sample text", "placeholder", "dummy", "short blurb", "caption text"]
+    + ["coming soon", "added later", "this block", "about yourself", "description of your", "asdf", "qwerty", "xxxx", "under construction", "text to follow"]
+    + ["not found", "forbidden", "bad gateway", "gateway time", "timeout", "time-out", "timed out", "expired", "unavailable", "denied", "refused", "too many requests", "suspended", "maintenance", "unusual traffic", "captcha", "traceback"]
+    + ["exception", "failed to open", "does not exist", "could not find", "valid answer", "too long to respond", "invalid request", "undefined", "object object", "object moved", "been moved", "sign in again", "unexpected condition", "permission to"]
+    + ["isn't working", "isn’t working", "is not working", "went wrong", "can't be reached", "can’t be reached", "cannot be reached", "be displayed"]
+    + ["জাভাস্ক্ৰিপ্ট", "জাভাস্ক্রিপ্ট", "जावास्क्रिप्ट", "स्क्रिप्ट", "স্ক্ৰিপ্ট", "ত্ৰুটি", "ত্রুটি", "त्रुटि", "सर्वर", "চাৰ্ভাৰ", "সার্ভার", "পৃষ্ঠাখন", "পৃষ্ঠাটি", "माँगा गया", "पृष्ठ नहीं", "উপলব্ধ", "उपलब्ध", "আৰ্হি পাঠ", "नमूना पाठ", "নমুনা পাঠ", "निर्माणाधीन", "নিৰ্মাণাধীন", "নির্মাণাধীন"]
 )
+WHOLE_WORDS = ["script", "scripts", "js", "error", "errors", "human", "null"]
+_AGAIN = re.compile(r"(?<![^\W\d_])([a-z]{2,12})(?: \1){4}")
+
+
+class Gate:
+    """Which pages to look at: one automaton finds the words of all lists in a text at once."""
+
+    def __init__(self):
+        import ahocorasick
+
+        self.marks, self.words = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for m in MARKS:
+            self.marks.add_word(m, 1)
+        for w in BEGINNINGS:
+            self.words.add_word(w, (len(w), False))
+        for w in WHOLE_WORDS:
+            self.words.add_word(w, (len(w), True))
+        self.marks.make_automaton()
+        self.words.make_automaton()
+
+    def __call__(self, title: str | None, text: str | None) -> bool:
+        both = f"{title or ''}\n{text or ''}"
+        low = both.lower()
+        if next(self.marks.iter(low), None) and _PLACEHOLDER.search(both):
+            return True
+        if not text:
+            return False
+        low = low[len(low) - len(text.lower()) :] if title else low[1:]
+        for end, (n, whole) in self.words.iter(low):
+            at = end - n + 1
+            if (not at or not _letter(low[at - 1])) and (not whole or end + 1 == len(low) or not _letter(low[end + 1])):
+                return True
+        ws = low.split()
+        return any(map(eq, ws, ws[1:])) and bool(_AGAIN.search(low))
+
+
+def _letter(c: str) -> bool:
+    return c.isalpha() or category(c)[0] == "M"
+
+
 _SCRIPT_WORD = r"(?:java\s?script|\bjs\b|scripts?|scripting)"
 # Whole lines that are script notices.
 SCRIPT = re.compile(
     rf"^\W*(?:(?:please|you (?:need|have) to|allow it|to (?:see|view|use) .{{0,60}})?\s*,?\s*(?:please )?(?:enable|activate|turn on|switch on|allow) {_SCRIPT_WORD}.{{0,80}}"
     rf"|.{{0,60}}\b(?:needs?|requires?|relies on|depends on|works? (?:only )?with|necessary to enable|need to enable|have to enable|must enable|must allow) {_SCRIPT_WORD}.{{0,80}}"
     rf"|(?:we.{{0,25}}(?:detected|noticed) that )?{_SCRIPT_WORD} (?:is|are|must|needs? to|has|have|seems?)\b.{{0,30}}(?:disabled|turned off|switched off|off|blocked|run|required|enabled|necessary|needed)\b.{{0,100}}"
+    rf"|.{{0,80}}\b(?:doesn.t|does not|won.t|will not|can.t|cannot) (?:work|run|load|function|display|be (?:shown|displayed)).{{0,40}}\b(?:without|unless)\b.{{0,30}}{_SCRIPT_WORD}.{{0,60}}"
     rf"|.{{0,40}}browser (?:does not|doesn.t|has) (?:support|run|block\w*|disabled?)\s*{_SCRIPT_WORD}.{{0,80}}"
     rf"|noscript\b.{{0,100}}|how to (?:allow|enable|turn on) {_SCRIPT_WORD}.{{0,40}}|if nothing appears.{{0,60}}{_SCRIPT_WORD}.{{0,60}}|turn {_SCRIPT_WORD} on.{{0,60}}"
     r"|.{0,60}(?:জাভাস্ক্ৰিপ্ট|জাভাস্ক্রিপ্ট|जावास्क्रिप्ट|স্ক্ৰিপ্ট|स्क्रिप्ट).{0,60}(?:সক্ৰিয়|সক্রিয়|চালু|অন|অনুমতি|चालू|सक्षम|सक्रिय|अनुमति|ज़रूरी).{0,30})\W*$",
@@ -83,6 +129,7 @@ ERROR = re.compile(
     rf"^\W*(?:(?:http |error |status )?(?:error )?(?:\d{{3}}\b)?\W*{_STATUS}\W*(?:\d{{3}})?|sorry|oops\W*|error|warning|(?:http )?error:? ?\d{{3}}|undefined|null|nan|\[?object object\]?|reference:? [\w.#-]+|ray id:? [\w.-]+"
     r"|(?:http )?error:? ?\d{3}\b.{0,80}|\d{3}\W+(?:you have )?\w+.{0,20}(?:requests|error).{0,60}|.{0,30}took too long to respond.{0,20}|upstream .{0,60}|.{0,40}sent too many requests.{0,60}"
     r"|(?:oops\W*)?(?:we|sorry,? we)? ?(?:could|can)(?:n.t| ?not) (?:find|be found).{0,60}|the (?:page|link|file|address|url|resource).{0,40}(?:may|might|does|could|cannot|is|was)\b.{0,20}(?:moved|old|exist|removed|found|available|changed|deleted|broken)\.?(?: or .{0,60})?"
+    r"|(?:this|the) (?:page|site|website|app|address) (?:isn.t|is not|can.t be|cannot be|could not be) (?:working|available|reached|displayed|found|loaded)\b.{0,80}"
     r"|the requested (?:address|url|page|file|resource|document)\b.{0,160}|.{0,20}server (?:met|encountered|ran into|has)\b.{0,120}|(?:object|document|page|resource) moved\b.{0,60}|(?:request|incident|event|trace) id\W.{0,40}|ray\b\W?[\w-]{1,24}|reference\W{0,3}[\w.#-]{1,40}"
     r"|.{0,40}unusual traffic.{0,80}|.{0,40}(?:solve the puzzle|complete the (?:captcha|puzzle)|captcha).{0,60}|(?:checking|verifying|verify|please confirm|confirm).{0,40}(?:human|browser|connection|robot).{0,60}|(?:attention required|just a moment|one more step)\W*.{0,40}"
     r"|traceback .{0,60}|file \"[^\"]+\", line \d+.{0,40}|\w*(?:error|exception): .{0,100}|(?:warning|notice|fatal error|parse error|deprecated): .{0,20}(?:\w+\(|syntax|undefined|uncaught|call to|failed|cannot).{0,120}|at [\w.$]+\([\w.]+:\d+\)"
@@ -127,7 +174,7 @@ _GAP = r"[ \t\r\u00a0]*"
 
 
 def _trie(texts) -> str:
-    """A pattern, for Java and Python, of any of the texts, common beginnings once. ``\\0`` in a text stands for a gap."""
+    """A pattern of any of the texts, common beginnings once."""
     root: dict = {}
     for t in texts:
         at = root
@@ -139,8 +186,8 @@ def _trie(texts) -> str:
         run = ""
         while len(at) == 1 and "" not in at:  # no branch: one literal
             c, at = next(iter(at.items()))
-            run += _GAP if c == "\0" else re.escape(c)
-        rest = [(_GAP if c == "\0" else re.escape(c)) + write(x) for c, x in sorted(at.items()) if c]
+            run += re.escape(c)
+        rest = [re.escape(c) + write(x) for c, x in sorted(at.items()) if c]
         return run + (f"(?:{'|'.join(rest)}){'?' if '' in at else ''}" if rest else "")
 
     return write(root)
@@ -149,49 +196,49 @@ def _trie(texts) -> str:
 class Slots:
     """The learnt frames around a bare variable, a default or nothing. Nothing only counts where a sign parts head and tail, as "Dear ,".
 
-    ``gate`` is a pattern, for Java and Python, that any text with such a slot has; ``left`` decides, line by line.
+    One automaton finds the heads of all frames in a text; the line around a head decides.
     """
 
     def __init__(self, frames, variables):
         values = {x for v in variables for x in (v, v.replace(" ", ""), v.replace(" ", "_"), v.replace(" ", "-"), v.replace(" ", "."))} | DEFAULTS - {""}
-        self.frames, self._value, self._made = sorted(frames), _trie(values), {}
-        starts = {"^": rf"^{_GAP}", "": ""}
-        heads, blanks = [], []
-        for edge, start in starts.items():
-            of = [(h, t) for h, t, e in self.frames if ("^" in e) == (edge == "^")]
-            if of:
-                heads.append(f"{start}(?:{_trie({h for h, _ in of})})")
-            if closed := {f"{h}\0{t}" for h, t in of if self._blank(h, t)}:
-                blanks.append(f"{start}(?:{_trie(closed)})")
-        self.gate = r"(?m)(?<!\w)(?:" + "|".join([f"(?:{'|'.join(heads)}){_GAP}(?iu:{self._value})", *blanks]) + ")" if heads else None
-        self._gate = re.compile(self.gate) if heads else None
+        self.frames, self._value = sorted(frames), _trie(values)
+        self._heads = None
 
     @staticmethod
     def _blank(head: str, tail: str) -> bool:
         return bool(tail) and not (head[-1].isalnum() and tail[0].isalnum())
 
-    def __reduce__(self):
-        return Slots._of, (self.frames, self._value, self.gate)
+    def __getstate__(self):
+        return {"frames": self.frames, "_value": self._value, "_heads": None}
 
-    @staticmethod
-    def _of(frames, value, gate):
-        x = Slots.__new__(Slots)
-        x.frames, x._value, x._made, x.gate, x._gate = frames, value, {}, gate, re.compile(gate) if gate else None
-        return x
-
-    def _pattern(self, frame) -> re.Pattern:
-        if frame not in self._made:
-            head, tail, edges = frame
-            start = rf"^{_GAP}" if "^" in edges else r"(?<!\w)"
-            end = rf"{_GAP}$" if "$" in edges else r"(?!\w)" if tail[-1:].isalnum() else ""
-            value = rf"(?<!\w)(?iu:{self._value})(?!\w)"
-            self._made[frame] = re.compile(f"{start}{re.escape(head)}{_GAP}(?:{value}{_GAP}){'?' if self._blank(head, tail) else ''}{re.escape(tail)}{end}")
-        return self._made[frame]
+    def _pattern(self, head: str, tail: str, edges: str) -> re.Pattern:
+        start = rf"^{_GAP}" if "^" in edges else r"(?<!\w)"
+        end = rf"{_GAP}$" if "$" in edges else r"(?!\w)" if tail[-1:].isalnum() else ""
+        value = rf"(?<!\w)[\[({{<]?(?iu:{self._value})[\])}}>]?(?!\w)"
+        return re.compile(f"{start}{re.escape(head)}{_GAP}(?:{value}{_GAP}){'?' if self._blank(head, tail) else ''}{re.escape(tail)}{end}")
 
     def left(self, text: str) -> bool:
-        if not self._gate or not self._gate.search(text):
+        if not self.frames:
             return False
-        return any(self._pattern(f).search(x) for x in text.split("\n") if self._gate.search(x) for f in self.frames if f[0] in x)
+        if self._heads is None:
+            import ahocorasick
+
+            of: dict[str, list] = {}
+            for head, tail, edges in self.frames:
+                of.setdefault(head, []).append((self._pattern(head, tail, edges), "^" in edges))
+            self._heads = ahocorasick.Automaton()
+            for head, patterns in of.items():
+                self._heads.add_word(head, (len(head), [p for p, _ in patterns], all(at_start for _, at_start in patterns)))
+            self._heads.make_automaton()
+        for end, (n, patterns, at_start) in self._heads.iter(text):
+            first = text.rfind("\n", 0, end - n + 1) + 1
+            if at_start and text[first : end - n + 1].strip(" \t\r\u00a0"):
+                continue
+            last = text.find("\n", end)
+            line = text[first : last if last >= 0 else len(text)]
+            if any(p.search(line) for p in patterns):
+                return True
+        return False
 
 
 def slot_left(text: str, slots: Slots) -> bool:
@@ -212,7 +259,7 @@ def _repeats(line: str) -> bool:
 def line_kind(line: str) -> str | None:
     """script, error or filler of one line, or None."""
     x = line.strip()
-    if len(x) > 700:
+    if len(x) > 700:  # no notice's shape is longer; stand-in text may be
         return "filler" if _lorem(x) or _repeats(x) else None
     if SCRIPT.match(x):
         return "script"
@@ -269,9 +316,10 @@ def _source(pages: DataFrame, page_id: str, site: str, title: str, content: str,
     return pages.select(F.col(page_id).alias("id"), F.coalesce(site_of(F.col(site).cast("string")), F.lit("")).alias("s"), F.col(title).cast("string").alias("title"), F.col(content).cast("string").alias("t"), F.col(url).cast("string").alias("u")).where("id is not null and (title is not null or t is not null)")
 
 
-def _gated() -> Column:
-    both = F.concat_ws("\n", "title", "t")
-    return (both.rlike(MARKS) & both.rlike(PLACEHOLDER)) | F.col("t").rlike(SUSPICIOUS)
+def _gated(batches):
+    gate = Gate()
+    for b in batches:
+        yield b.filter(pa.array([gate(ti, t) for ti, t in zip(b.column("title").to_pylist(), b.column("t").to_pylist())], pa.bool_()))
 
 
 def _learnt_slots(marked: DataFrame) -> tuple[list, list]:
@@ -293,7 +341,9 @@ def _learnt_slots(marked: DataFrame) -> tuple[list, list]:
 
     counts = marked.select("title", "t").mapInArrow(learn, "kind string, value string").groupBy("kind", "value").agg(F.count("*").alias("n"))
     counts = materialize(counts.where("n >= 3 and value <> ''"), "learnt-slots")
-    top = lambda kind: [r["value"] for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(500).collect()]
+    # of all placeholders 1 in 2000, so that there can't be more than 2000 of either
+    total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    top = lambda kind: [r["value"] for r in counts.where((F.col("kind") == kind) & (F.col("n") >= 0.0005 * total.get(kind, 0))).orderBy("value").collect()]
     return [tuple(v.split("\t")) for v in top("frame")], top("variable")
 
 
@@ -322,7 +372,7 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
     """
     spark = pages.sparkSession
     src = _source(pages, page_id, site, title, content, url)
-    gated = materialize(src.where(_gated()).dropDuplicates(["id"]), "suspicious")
+    gated = materialize(src.mapInArrow(_gated, src.schema).dropDuplicates(["id"]), "suspicious")
     frames, variables = _learnt_slots(gated)
     slots = Slots(frames, variables)
     hits = materialize(excessive_lines(pages, page_id=page_id, site=site, url=url, content=content, min_urls=3, min_share=0.1, min_site_urls=3).select("sh", "k"), "repeated-lines")
@@ -332,9 +382,17 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
     again = again.withColumn("again", F.lit(True))
     few = again.count() <= broadcast_rows
     again = F.broadcast(again) if few else again
-    # what the fixed gate leaves out: pages with a learnt frame or with a body that recurs
-    rest = src.join(again, "id", "left")
-    rest = rest.where(F.col("again") | (F.concat_ws("\n", "title", "t").rlike(slots.gate) if slots.gate else F.lit(False))).drop("again")
+    # what the fixed words leave out: pages with a learnt frame or with a body that recurs
+    known_slots = spark.sparkContext.broadcast(slots)
+
+    def framed(batches):
+        slots = known_slots.value
+        for b in batches:
+            keep = [bool(a) or (ti is not None and slots.left(ti)) or (t is not None and slots.left(t)) for ti, t, a in zip(*(b.column(c).to_pylist() for c in ("title", "t", "again")))]
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    names = src.columns
+    rest = src.join(again, "id", "left").select(*names, "again").mapInArrow(framed, src.schema)
     cand = gated.unionByName(rest).dropDuplicates(["id"]).join(again, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     x = cand.withColumn("sh", F.xxhash64("s")).join(F.broadcast(of_site) if small else of_site, "sh", "left")
     lines = F.split(F.coalesce("t", F.lit("")), "\n")
@@ -349,7 +407,7 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
                 own = own_lines(ti, ls, rep)
                 notices = [v for v in own if line_kind(v)]
                 for v in own:
-                    if not line_kind(v) and len(v) <= 200:
+                    if not line_kind(v):
                         kinds.append("with" if notices and sum(map(len, notices)) > len(v) and sum(map(len, own)) < 800 else "without")
                         values.append(level(v))
                         sites.append(s)
@@ -359,7 +417,9 @@ def residue_pages(pages: DataFrame, *, page_id: str = "page_id", site: str = "se
     counts = seen.groupBy("kind", "value").agg(F.count("*").alias("n"), F.approx_count_distinct("site").alias("sites"))
     counts = materialize(counts.where("n >= 3 and value <> ''"), "learnt")
     alone = counts.where("kind = 'without'").select("value", F.col("n").alias("m"))
-    company = counts.where("kind = 'with' and sites >= 2").join(alone, "value", "left").where("n >= 9 * coalesce(m, 0)").orderBy(F.desc("n"), "value").limit(2000)
+    # of all lines beside notices 1 in 5000, so that there can't be more than 5000
+    beside = counts.where("kind = 'with'").agg(F.sum("n")).first()[0] or 0
+    company = counts.where("kind = 'with' and sites >= 2").join(alone, "value", "left").where((F.col("n") >= 9 * F.coalesce("m", F.lit(0))) & (F.col("n") >= 0.0002 * beside))
     shared = spark.sparkContext.broadcast((slots, frozenset(r["value"] for r in company.collect())))
 
     def judge(batches):

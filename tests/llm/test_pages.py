@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pagemill.llm import boilerplate, residue, scans, site_lines
 
 RAW = "raw_id bigint, seed_url string, title string, content string, host string, k string"
@@ -90,6 +92,22 @@ def test_site_lines_by_definition(spark):
     assert site_lines.flagged_lines(crawl(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize(("text", "kind"), [("We're sorry but this app doesn't work properly without JavaScript enabled.", "script"), ("This page isn't working", "error"), ("This site can’t be reached right now.", "error"), ("The mill doesn't work without water.", None)])
+def test_common_notices(text, kind):
+    assert residue.line_kind(text) == kind
+    assert kind is None or residue.Gate()(None, "Some page\n" + text)
+
+
+def test_title_case_placeholders_and_slots():
+    assert residue.slot_left("Dear [First Name],", residue.Slots([], []))
+    assert not residue.slot_left("The ferry [Photo] leaves.", residue.Slots([], []))
+    slots = residue.Slots([("Dear", ",", "^$"), ("Welcome to the town of", "and its mills", "")], ["first name", "town name"])
+    for x in ("Hello\nDear first_name,\nmore", "Dear ,", "  Dear [first name] ,", "So: Welcome to the town of town-name and its mills."):
+        assert slots.left(x), x
+    for x in ("Dear Anita,", "Oh Dear first_name, yes", "Welcome to the town of Roli and its mills."):
+        assert not slots.left(x), x
+
+
 def test_line_test_over_all_lines(spark):
     import math
 
