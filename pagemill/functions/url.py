@@ -10,7 +10,10 @@ TRACKING = ("m", "ref", "source", "showcomment", "fbclid", "gclid")
 # Second-level labels under which a registrable name has three labels.
 SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac", "res", "mil", "ind", "gen", "firm", "or", "ne", "go")
 # Extensions of paths that hold no page.
-BINARY = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "mp3", "mp4", "avi", "mov", "zip", "tar", "gz", "7z", "rar", "bz2", "exe", "msi", "bin", "dmg", "apk", "css", "js", "json", "xml", "woff", "woff2", "ttf", "eot")
+BINARY = (
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico", "mp3", "mp4", "wav", "avi", "mkv", "mov", "flv", "zip", "tar", "gz", "7z", "rar", "bz2",
+    "exe", "msi", "bin", "dmg", "apk", "css", "js", "json", "xml", "woff", "woff2", "ttf", "eot",
+)
 
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -79,6 +82,16 @@ def storage_path(job_id: Column, seed: Column) -> Column:
     return F.concat(job_id, F.lit("_"), F.regexp_replace(clean_host(seed), r"[^A-Za-z0-9._-]", "_"), F.lit(".json"))
 
 
+def stored_name(name: Column, longest: int = 120) -> Column:
+    """Name of a stored upload: its last path part, all but word characters, blanks, dots, brackets and dashes replaced, cut."""
+    return F.left(F.regexp_replace(F.substring_index(F.coalesce(name, F.lit("")), "/", -1), r"[^\p{L}\p{N}_ .()-]", "_"), F.lit(longest))
+
+
+def backup_name(seed: Column, stamp: Column) -> Column:
+    """File name of a backup of a site's replaced rows."""
+    return F.concat(F.lit("qa-replaced-"), F.regexp_replace(site_label(seed), "[^a-z0-9.]+", "-"), F.lit("-"), stamp, F.lit(".json"))
+
+
 def site_label(url: Column) -> Column:
     """Host without a leading ``www.``."""
     return F.regexp_replace(authority(url), r"^www\.", "")

@@ -46,3 +46,14 @@ def latest_versions(rows: DataFrame, key: Column, order: list[Column], columns:
 def by_priority(ranked: DataFrame, key: str, rank: str) -> DataFrame:
     """One row for each key: the one with the smallest rank."""
     return ranked.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(rank))).where("__r = 1").drop("__r")
+
+
+def delete_rows(store: DataFrame, gone: Column) -> tuple[DataFrame, int]:
+    """(rest, deleted): the rows for which ``gone`` does not hold (null keeps a row), and how many went."""
+    rest = store.where(~F.coalesce(gone, F.lit(False)))
+    return rest, store.count() - rest.count()
+
+
+def truncate(store: DataFrame) -> tuple[DataFrame, int]:
+    """(empty, rows): an empty table of the same columns, and how many rows the old one had."""
+    return store.limit(0), store.count()

@@ -43,6 +43,7 @@ UI_PATTERNS = (
     r"^[^\p{L}\p{N}]{1,6}$",
 )
 UI_PATTERN = "|".join(f"(?:{p})" for p in UI_PATTERNS)
+# Lines that are kept wherever they stand.
 DAY_LABEL = r"(?i)^(day|दिन|দিন)\s*\p{Nd}+\s*[:.\-–]?\s*$"
 PROTECT = r"(₹|(^|[^\p{L}\p{N}_])Rs\.?\s?\p{Nd}|(^|[^\p{L}\p{N}_])INR([^\p{L}\p{N}_]|$)|\$\s?\p{Nd}|€\s?\p{Nd}|@[\p{L}\p{N}_]+\.[\p{L}\p{N}_]|\+\p{Nd}{2}[\s\p{Nd}-]{8,}|(^|[^\p{L}\p{N}_])\p{Nd}{10}([^\p{L}\p{N}_]|$))"
 # What is junk on every site, and the page that is a list by nature.
@@ -136,10 +137,10 @@ def _protected(v: Column) -> Column:
     return (v["line"] == F.col("norm_title")) | (v["words"] >= 40) | v["fixed"] | top
 
 
-def cleaned(judged: DataFrame) -> DataFrame:
+def cleaned(judged: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """The judged pages with kept_lines, removed_lines, clean (text), word_count, hub; null for dropped pages."""
     x = judged if "facts" in judged.columns else with_line_facts(judged)
-    per_job = boilerplate(x).groupBy("job").agg(F.collect_set("line").alias("boiler"))  # at most lines / threshold a job
+    per_job = (frequent if frequent is not None else boilerplate(x)).groupBy("job").agg(F.collect_set("line").alias("boiler"))  # at most lines / threshold a job
     x = x.join(per_job, "job", "left").withColumn("boiler", F.coalesce("boiler", F.array().cast("array<string>")))
     x = x.withColumn("hub", F.rlike("url", _any_pattern(F.col("p_keep"))))
     bad = lambda v: (v["ui"] | F.array_contains("boiler", v["line"])) & ~_protected(v)
@@ -148,14 +149,17 @@ def cleaned(judged: DataFrame) -> DataFrame:
     x = x.withColumn("removed_lines", F.transform(F.filter(pairs, lambda v: v["gone"]), lambda v: v["facts"]["line"]))
     x = x.withColumn("stay", F.transform(F.filter(pairs, lambda v: ~v["gone"]), lambda v: v["facts"]))
     x = x.withColumn("names", F.transform("stay", lambda v: v["line"]))
-    x = x.withColumn("kept_lines", F.transform(F.filter("stay", lambda v, i: F.col("hub") | (v["words"] < 4) | (F.array_position("names", v["line"]) == i + 1)), lambda v: v["line"]))
+    # where no line comes again, which an unordered set tells at once, no line needs its place looked up
+    again = ~F.col("hub") & (F.size(F.array_distinct("names")) < F.size("names"))
+    x = x.withColumn("kept", F.when(again, F.filter("stay", lambda v, i: (v["words"] < 4) | (F.array_position("names", v["line"]) == i + 1))).otherwise(F.col("stay")))
+    x = x.withColumn("kept_lines", F.transform("kept", lambda v: v["line"]))
     x = x.withColumn("clean", F.array_join("kept_lines", "\n\n"))
-    x = x.withColumn("word_count", F.aggregate(F.filter("stay", lambda v, i: F.col("hub") | (v["words"] < 4) | (F.array_position("names", v["line"]) == i + 1)), F.lit(0), lambda s, v: s + v["words"]))
+    x = x.withColumn("word_count", F.aggregate("kept", F.lit(0), lambda s, v: s + v["words"]))
     only = F.col("reason").isNull()
-    return x.withColumns({c: F.when(only, F.col(c)) for c in ("removed_lines", "kept_lines", "clean", "word_count")}).drop("stay", "names", "gone", "facts", "boiler")
+    return x.withColumns({c: F.when(only, F.col(c)) for c in ("removed_lines", "kept_lines", "clean", "word_count")}).drop("stay", "kept", "names", "gone", "facts", "boiler")
 
 
-def summary(x: DataFrame) -> DataFrame:
+def summary(x: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """One row a job of ``cleaned`` pages: sums, shares rounded to 3, lost terms, and whether cleaning is applied (gates)."""
     n_lines = F.col("words")
     s = x.groupBy("job").agg(
@@ -165,7 +169,7 @@ def summary(x: DataFrame) -> DataFrame:
     t = x.select("job", "lines", "clean", F.posexplode("p_terms").alias("at", "term"))
     has = t.groupBy("job", "at", "term").agg(F.bool_or(F.contains(F.lower(F.array_join("lines", "\n")), F.lower("term"))).alias("before"), F.bool_or(F.coalesce(F.contains(F.lower("clean"), F.lower("term")), F.lit(False))).alias("after"))
     lost = has.where("before and not after").groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda v: v["term"]).alias("lost_terms"))
-    b = boilerplate(x).groupBy("job").agg(F.count("*").alias("boilerplate_lines"))
+    b = (frequent if frequent is not None else boilerplate(x)).groupBy("job").agg(F.count("*").alias("boilerplate_lines"))
     s = s.join(lost, "job", "left").join(b, "job", "left").withColumn("boilerplate_lines", F.coalesce("boilerplate_lines", F.lit(0)))
     share = lambda a, w: F.when(F.col(w) > 0, F.round(F.try_divide(F.col(a), F.col(w)), 3)).otherwise(1.0)
     gate = F.when(~F.col("on"), "switched off").when(F.col("lost_terms").isNotNull(), F.concat(F.lit("must-keep phrases would be lost: "), F.array_join(F.slice("lost_terms", 1, 10), ", ")))
@@ -179,8 +183,10 @@ def clean_pages(pages: DataFrame, profiles: DataFrame | None, **names: str) -> t
     Where a gate refuses, or the profile is switched off, the pages of the job come back untouched and ``applied`` is false.
     Null contents count as empty. An empty table gives empty results. Columns other than those named are ignored.
     """
-    x = cleaned(materialize(with_line_facts(judged_pages(pages, profiles, **names)), "judged"))
-    s = summary(x)
+    judged = materialize(with_line_facts(judged_pages(pages, profiles, **names)), "judged")
+    frequent = materialize(boilerplate(judged), "frequent-lines")
+    x = materialize(cleaned(judged, frequent).drop("removed_lines", "kept_lines"), "cleaned")
+    s = materialize(summary(x, frequent), "summaries")
     y = x.join(s.select("job", "refused"), "job")
     ok = F.col("refused").isNull()
     out = y.where(~ok | F.col("reason").isNull()).select("id", "job", "idx", "url", "title", F.when(ok, F.col("clean")).otherwise(F.col("content")).alias("content"), F.when(ok, F.col("word_count")).otherwise(T.word_count(F.col("content"))).alias("word_count"), ok.alias("applied"))
@@ -200,3 +206,50 @@ def retention(x: DataFrame) -> DataFrame:
     """id, before, after, retention (1.0 for pages without words) of every kept page."""
     before = F.col("words")
     return x.where("reason is null").select("job", "id", before.alias("before"), F.col("word_count").alias("after"), F.when(before > 0, F.round(F.try_divide(F.col("word_count"), before), 6)).otherwise(1.0).alias("retention"))
+
+
+def report_lines(judged: DataFrame) -> DataFrame:
+    """The kept pages of a dry run with kept_lines, removed_lines, before and after: lines on max(3, ceil(threshold * kept)) pages go
+    in crawls of any size, but for protected ones; the first lines of a page are always protected and lines that come again stay."""
+    kept = judged.where("reason is null")
+    need = kept.groupBy("job").agg(F.greatest(F.lit(3), F.ceil(F.lit(THRESHOLD) * F.count("*"))).alias("need"))
+    boiler = line_frequency(judged).join(need, "job").where("pages >= need").groupBy("job").agg(F.collect_set("line").alias("boiler"))
+    x = with_line_facts(kept).join(boiler, "job", "left").withColumn("boiler", F.coalesce("boiler", F.array().cast("array<string>"))).withColumn("p_top", F.lit(TOP_LINES))
+    x = x.withColumn("removed", F.filter("facts", lambda v: F.array_contains("boiler", v["line"]) & ~_protected(v)))
+    x = x.withColumn("removed_lines", F.transform("removed", lambda v: v["line"]))
+    x = x.withColumn("kept_lines", F.filter("lines", lambda v: ~F.array_contains("removed_lines", v)))
+    return x.withColumn("before", F.col("words")).withColumn("after", F.col("words") - F.aggregate("removed", F.lit(0), lambda s, v: s + v["words"])).drop("facts", "removed", "boiler")
+
+
+def report(judged: DataFrame, *, min_words: int = 100) -> DataFrame:
+    """One row a job of ``judged`` pages (``check_blocks=False, empty_copies=True``): pages_in, dropped, kept, words_before, words_after,
+    flagged, unique_removed, sitewide_lines, sitewide_words and dropped_with_own_lines. Nothing is changed.
+
+    A page is flagged when it is left with under ``min_words`` words or 60 % of them. Lines removed from every page they were on
+    count once in words_after. ``unique_removed`` are removed lines that stand on one page only; it must be 0.
+    """
+    x = materialize(report_lines(judged), "report-lines")
+    pages = judged.groupBy("job").agg(F.count("*").alias("pages_in"), F.count_if(F.col("reason").isNotNull()).alias("dropped"), F.sum(T.word_count(F.array_join("lines", " "))).alias("words_before"))
+    keep = (F.col("before") == 0) | (F.col("after") >= 0.60 * F.col("before"))
+    sums = x.groupBy("job").agg(F.count("*").alias("kept"), F.sum("after").alias("after"), F.count_if((F.col("after") < min_words) | ~keep).alias("flagged"))
+    gone = x.select("job", "id", F.explode(F.array_distinct("removed_lines")).alias("line")).groupBy("job", "line").agg(F.count("*").alias("removed"))
+    on = line_frequency(judged)
+    present = x.select("job", F.explode(F.array_distinct("kept_lines")).alias("line")).distinct()
+    unique = gone.join(on.where("pages = 1"), ["job", "line"], "left_semi").groupBy("job").agg(F.count("*").alias("unique_removed"))
+    left = gone.join(present, ["job", "line"], "left_anti").groupBy("job").agg(F.count("*").alias("sitewide_lines"), F.sum(T.word_count(F.col("line"))).alias("sitewide_words"))
+    lines = lambda v: v.select("job", "url", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    lost = lines(judged.where("reason is not null")).join(lines(judged.where("reason is null")).select("job", "line").distinct(), ["job", "line"], "left_anti").groupBy("job").agg(F.countDistinct("url").alias("dropped_with_own_lines"))
+    s = pages
+    for t in (sums, unique, left, lost):
+        s = s.join(t, "job", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return s.select("job", "pages_in", "dropped", zero("kept").alias("kept"), "words_before", (zero("after") + zero("sitewide_words")).alias("words_after"), *[zero(c).alias(c) for c in ("flagged", "unique_removed", "sitewide_lines", "sitewide_words", "dropped_with_own_lines")])
+
+
+def report_samples(x: DataFrame, *, worst: int = 2, more: int = 3) -> DataFrame:
+    """job, id, worst: of each job the pages that lose the most, and some others in the order of a hash of their urls, to be read."""
+    share = F.when(F.col("before") > 0, F.try_divide(F.col("after"), F.col("before"))).otherwise(1.0)
+    by = Window.partitionBy("job")
+    y = x.select("job", "id", F.row_number().over(by.orderBy(share, "id")).alias("a"), F.md5("url").alias("u")).withColumn("worst", F.col("a") <= worst)
+    y = y.withColumn("b", F.row_number().over(Window.partitionBy("job", "worst").orderBy("u", "id")))
+    return y.where(F.col("worst") | (F.col("b") <= more)).select("job", "id", "worst")

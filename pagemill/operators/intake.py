@@ -106,3 +106,23 @@ def picture_pixels(pictures: DataFrame) -> DataFrame:
     """doc, page, pixels, heavy: what the pictures of each page add up to, masks left out. ``pictures`` has doc, page, kind, width, height."""
     x = pictures.where("kind is null or kind <> 'smask'").groupBy("doc", "page").agg(F.sum(F.col("width").cast("bigint") * F.col("height")).alias("pixels"))
     return x.withColumn("heavy", F.col("pixels") >= PICTURE_PIXELS)
+
+
+def valid_id(c: Column) -> Column:
+    """Whether an upload's id is one; null is none."""
+    return F.coalesce(c.rlike("^[a-f0-9]{12}$"), F.lit(False))
+
+
+def valid_session(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-f0-9]{16}$"), F.lit(False))
+
+
+def has_picture(pages: Column, name: Column) -> Column:
+    """Whether one of the pages was read from the picture; null pages and names give false."""
+    return F.coalesce(F.exists(pages, lambda p: p["image"] == name), F.lit(False))
+
+
+def read_path(text: Column, engine: Column) -> Column:
+    """How a page came to its text: blank, text_layer, garbled_layer (read from the picture as its layer was no text) or pictures."""
+    layer = engine == "pdf-text"
+    return F.when(T.strip(F.coalesce(text, F.lit(""))) == "", "blank").when(layer & (layer_quality(text) == "garbled"), "garbled_layer").when(layer, "text_layer").otherwise("pictures")

@@ -93,7 +93,7 @@ def schedule(jobs: DataFrame, now: Column, *, seed: str = "seed_url", at: str =
     x = jobs.groupBy(F.rtrim(F.lower(seed), F.lit("/")).alias("seed")).agg(F.max(at).alias("last_crawled"), F.count("*").cast("int").alias("runs"))
     nxt = F.col("last_crawled") + F.make_dt_interval(F.lit(every_days))
     left = (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 86_400_000_000
-    return x.select("seed", "runs", "last_crawled", nxt.alias("next_run"), F.greatest(F.lit(0), F.floor(left)).cast("int").alias("days_remaining"), F.coalesce(left <= 0, F.lit(False)).alias("due"))
+    return x.select("seed", "runs", "last_crawled", nxt.alias("next_run"), F.when(left.isNotNull(), F.greatest(F.lit(0), F.floor(left))).cast("int").alias("days_remaining"), F.coalesce(left <= 0, F.lit(False)).alias("due"))
 
 
 def pieces(chunks: DataFrame, *, session: str, index: str, total: str, data: str) -> DataFrame:
@@ -103,3 +103,56 @@ def pieces(chunks: DataFrame, *, session: str, index: str, total: str, data: str
     y = x.groupBy(session).agg(F.count("*").alias("n"), F.max(index).alias("last"), F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("d")))).alias("parts"))
     whole = (F.col("n") == F.col("t")) & (F.col("last") == F.col("t") - 1)
     return y.select(session, whole.alias("complete"), F.when(whole, F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["d"])), ""))).alias("bytes"))
+
+
+def register_crawls(schedules: DataFrame | None, crawls: DataFrame, *, seed: str = "seed_url", at: str = "completed_at", every_days: int = 10) -> DataFrame:
+    """seed, enabled, last_crawled, next_run: the schedules after these crawls. A known seed keeps its switch and gets new times (a
+    crawl without a time leaves them), a new one is enabled. Seeds are told apart without their last slashes."""
+    new = crawls.groupBy(F.rtrim(F.col(seed), F.lit("/")).alias("seed")).agg(F.max(at).alias("at")).where("seed is not null")
+    if schedules is None:
+        x = new.select("seed", F.lit(True).alias("enabled"), F.col("at").alias("last_crawled"))
+    else:
+        x = schedules.select("seed", "enabled", "last_crawled").join(new, "seed", "full").select("seed", F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("at", "last_crawled").alias("last_crawled"))
+    return x.withColumn("next_run", F.col("last_crawled") + F.make_dt_interval(F.lit(every_days)))
+
+
+def set_enabled(schedules: DataFrame, seeds: DataFrame, enabled: bool) -> DataFrame:
+    """The schedules with the switch of these seeds (seed) set; unknown seeds change nothing."""
+    hit = seeds.select(F.rtrim("seed", F.lit("/")).alias("seed")).distinct().withColumn("__hit", F.lit(True))
+    return schedules.join(hit, "seed", "left").withColumn("enabled", F.when(F.col("__hit"), F.lit(enabled)).otherwise(F.col("enabled"))).drop("__hit")
+
+
+def remove_schedules(schedules: DataFrame, seeds: DataFrame) -> DataFrame:
+    return schedules.join(seeds.select(F.rtrim("seed", F.lit("/")).alias("seed")).distinct(), "seed", "left_anti")
+
+
+def remaining(until: Column, now: Column) -> Column:
+    """hours, mins and seconds (all of them) that a lock has left, none below 0; null stays null."""
+    s = F.greatest(F.lit(0), F.floor((F.unix_micros(until.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1_000_000))
+    s = F.when(until.isNotNull() & now.isNotNull(), s)
+    return F.struct(F.floor(s / 3600).cast("int").alias("hours"), F.floor((s % 3600) / 60).cast("int").alias("mins"), s.cast("int").alias("seconds"))
+
+
+def quota_percent(used: Column, limit: Column) -> Column:
+    """percent and high: the used share of a limit, halves up, at most 100, and 100 where there is no limit; high from 80 on."""
+    p = F.when(F.coalesce(limit, F.lit(0)) == 0, 100).otherwise(F.least(F.lit(100), F.floor(used * 100 / limit + 0.5))).cast("int")
+    return F.struct(p.alias("percent"), (p >= 80).alias("high"))
+
+
+def freed(plan: DataFrame, size: str) -> DataFrame:
+    """deleted, kept, freed_bytes of a retention plan."""
+    return plan.agg(F.count_if("delete").alias("deleted"), F.count_if(~F.col("delete")).alias("kept"), F.coalesce(F.sum(F.when(F.col("delete"), F.col(size))), F.lit(0)).alias("freed_bytes"))
+
+
+def stale(rows: DataFrame, group: str, at: str, now: Column, hours: float = 6) -> DataFrame:
+    """group, last: sessions whose last sign of life is older than so many hours."""
+    x = rows.groupBy(group).agg(F.max(at).alias("last"))
+    return x.where(F.unix_micros(F.col("last").cast("timestamp")) < F.unix_micros(now.cast("timestamp")) - int(hours * 3_600_000_000))
+
+
+def model_order(names: Column, known: Column) -> Column:
+    """``known`` and behind it the other flash models of ``names``: lite ones first, then the newest version first."""
+    good = F.filter(names, lambda n: n.rlike(r"^gemini-[\d.]+-flash(-lite)?$"))
+    version = lambda n: F.transform(F.regexp_extract_all(n, F.lit(r"\d+"), F.lit(0)), lambda v: -v.cast("int"))
+    keyed = F.array_sort(F.transform(good, lambda n: F.struct((~F.contains(n, F.lit("lite"))).alias("a"), version(n).alias("b"), n.alias("n"))))
+    return F.array_union(known, F.transform(keyed, lambda v: v["n"]))

@@ -7,8 +7,11 @@ each query of the block, and the tasks' few rows are merged. No pair of query an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,11 @@ def _blocks(queries: DataFrame, block: int):
         yield np.array(ids, np.int64), np.array(vs, np.float64)
 
 
+# The words of an answer that is put together from the matches.
+BASED_ON, SITE, RETRIEVED = "Based on the knowledge crawled from **", "the crawled website", "This information was retrieved from the official indexed documents."
+MORE, NOTHING_FOUND = "**Additional Context:**", "No relevant crawled knowledge was found to answer this question. Please crawl and index more web pages."
+
+
 def matches(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Matches as the api gives them: similarity max(0, 1 - d/2) to 3 places, distance to 4. ``chunks`` has vec_id, text, url, title."""
     x = found.join(chunks, "vec_id", "left")
@@ -91,11 +99,51 @@ def prompt(x: DataFrame, question: str = "question", key: str = "query_id", assi
 def grounded_answer(x: DataFrame, key: str = "query_id") -> DataFrame:
     """query_id, answer: the first match quoted, and the first 200 characters of each other one."""
     t = F.trim(F.coalesce("text", F.lit("")))
-    first = F.concat(F.lit("Based on the knowledge crawled from **"), F.coalesce("title", F.lit("the crawled website")), F.lit("**:\n\n> "), t, F.lit("\n\nThis information was retrieved from the official indexed documents."))
-    other = F.concat(F.when(F.col("rank") == 2, "\n\n**Additional Context:**").otherwise(""), F.lit("\n- *[Passage "), F.col("rank"), F.lit("]*: "), F.left(t, F.lit(200)), F.lit("..."))
+    first = F.concat(F.lit(BASED_ON), F.coalesce("title", F.lit(SITE)), F.lit("**:\n\n> "), t, F.lit("\n\n" + RETRIEVED))
+    other = F.concat(F.when(F.col("rank") == 2, "\n\n" + MORE).otherwise(""), F.lit("\n- *[Passage "), F.col("rank"), F.lit("]*: "), F.left(t, F.lit(200)), F.lit("..."))
     return _ordered(x, key, F.when(F.col("rank") == 1, first).otherwise(other)).withColumnRenamed("text", "answer")
 
 
+def answers(questions: DataFrame, x: DataFrame, providers: list[tuple[str, Callable[[str], str | None]]] = (), *, key: str = "query_id", question: str = "question") -> DataFrame:
+    """query_id, answer, provider: the first provider (name, ask) in order that answers a question's prompt; its matches put together
+    (``local_synthesizer``) where none does; a fixed sentence where it has no matches. A provider that fails gives no answer.
+
+    ``questions`` has one row a question, ``x`` its matches. Asking runs on the executors, a prompt at a time.
+    """
+    asked = questions.select(F.col(key), F.col(question)).join(prompt(x, question, key), key, "left").join(grounded_answer(x, key), key, "left")
+    local = F.coalesce("answer", F.lit(NOTHING_FOUND))
+    if not providers:
+        return asked.select(key, local.alias("answer"), F.lit("local_synthesizer").alias("provider"))
+    kind = asked.schema[key].dataType.simpleString()
+
+    def ask(batches):
+        for b in batches:
+            got = []
+            for p in b.column(1).to_pylist():
+                found = (None, None)
+                for name, call in providers if p is not None else ():
+                    try:
+                        reply = call(p)
+                    except Exception:  # the next one is asked
+                        reply = None
+                    if reply and reply.strip():
+                        found = (reply.strip(), name)
+                        break
+                got.append(found)
+            text, by = (pa.array(c, pa.string()) for c in zip(*got)) if got else (pa.array([], pa.string()),) * 2
+            yield pa.record_batch([b.column(0), pa.compute.if_else(pa.compute.is_valid(text), text, b.column(2)), pa.compute.coalesce(by, pa.scalar("local_synthesizer"))], names=[key, "answer", "provider"])
+
+    return asked.select(key, "prompt", local.alias("local")).mapInArrow(ask, f"{key} {kind}, answer string, provider string")
+
+
+def index_chunks(chunks: DataFrame, store: DataFrame, embed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The store (chunk_id, job_id, url, text, embedding) after the chunks were embedded and put in; chunks replace those of their id."""
+    from .catalog import upsert
+
+    new = embed(chunks.select("chunk_id", "job_id", "url", "text"), "text").select("chunk_id", "job_id", "url", "text", "embedding")
+    return upsert(store.select("chunk_id", "job_id", "url", "text", "embedding"), new, "chunk_id")
+
+
 def sources(x: DataFrame, key: str = "query_id") -> DataFrame:
     """query_id, url, title, similarity: each url of a query's matches once, at its best rank."""
     w = Window.partitionBy(key, "url").orderBy("rank")
@@ -106,11 +154,28 @@ def sources(x: DataFrame, key: str = "query_id") -> DataFrame:
 def feature_hash(texts: DataFrame, text: str, dimension: int = 64) -> DataFrame:
     """The rows with ``embedding``: a signed feature hash of the words, of unit length. A stand-in for a model, stable and
     without knowledge of meaning; texts without words have a null."""
-    from ..functions.text import WORD
-
-    ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    at = F.transform(ws, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimension)).alias("k"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda s, v: s + F.when(v["k"] == i, v["s"]).otherwise(0.0)))
-    size = F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda s, v: s + v * v))
-    x = texts.withColumn("__raw", raw).withColumn("__n", size)
-    return x.withColumn("embedding", F.when(F.col("__n") > 0, F.transform("__raw", lambda v: (v / F.col("__n")).cast("float")))).drop("__raw", "__n")
+
+    def run(batches):
+        import regex
+        import xxhash
+
+        find, memo = regex.compile(r"[\p{L}\p{N}_]+").findall, {}
+        for b in batches:
+            out = []
+            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+                v = np.zeros(dimension)
+                for w in find(t.lower()) if t else ():
+                    if w not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                        memo[w] = (h % dimension, 1.0 if h >> 63 else -1.0)
+                    k, sign = memo[w]
+                    v[k] += sign
+                n = np.sqrt(v @ v)
+                out.append((v / n).astype(np.float32) if n else None)
+            yield pa.record_batch([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+
+    x = texts.withColumn(text, F.col(text).cast("string"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
+    return x.mapInArrow(run, f"{fields}, embedding array<float>")

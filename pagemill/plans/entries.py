@@ -10,6 +10,7 @@ from ..functions import url as U
 from ..operators import catalog, chunks, cleaning, export, intake, ops, vectors
 from ..session import table
 from ..sources import api as sources_api
+from ..sources import crawl, html
 from . import sql as S
 
 
@@ -159,7 +160,8 @@ def export_documents(spark, d):
 def _crawls(spark, d):
     x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"])
     split = F.lit("2024-07-01").cast("timestamp_ntz")
-    return x.where(F.col("crawled_at") < split), x.where(F.col("crawled_at") >= split)
+    late = F.coalesce(F.col("crawled_at") >= split, F.lit(False))  # pages without a time are old
+    return x.where(~late), x.where(late)
 
 
 def change_status(spark, d):
@@ -204,10 +206,47 @@ def valid_questions(spark, d):
     return table(spark, d, "qa_pairs").select("qa_id", chunks.valid_question(F.col("question")).alias("valid"))
 
 
+def _existing(spark, d):
+    """All pair rows, and the urls of those that came with the last imports, which replace the older ones of their pages."""
+    x = table(spark, d, "qa_pairs")
+    again = x.where("created_at >= timestamp_ntz '2024-06-01'").select("url").where("url is not null")
+    return x.select(F.col("qa_id").alias("id"), "url", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5")), again
+
+
 def qa_rows_to_replace(spark, d):
-    pages = table(spark, d, "crawl_pages").where("change_status = 'updated'").select("url")
-    existing = table(spark, d, "qa_pairs").select(F.col("qa_id").alias("id"), "url")
-    return chunks.rows_to_replace(existing, existing.where("url is not null").select("url").join(pages.select(F.col("url").alias("p")).distinct(), chunks.base_url(F.col("url")) == F.col("p"), "left_semi").unionByName(existing.where("id % 3 = 0").select("url"))).select(F.col("id").alias("qa_id"))
+    existing, again = _existing(spark, d)
+    return chunks.rows_to_replace(existing, again).select(F.col("id").alias("qa_id"))
+
+
+def qa_rows_backup(spark, d):
+    existing, again = _existing(spark, d)
+    backup, rest = chunks.backup_and_delete(existing, chunks.rows_to_replace(existing, again))
+    return backup.withColumn("state", F.lit("backup")).unionByName(rest.withColumn("state", F.lit("kept"))).select(F.col("id").alias("qa_id"), "content_md5", "state")
+
+
+def _plan(spark, d):
+    return chunks.push_plan(table(spark, d, "crawl_pages"), table(spark, d, "qa_pairs").select(F.col("qa_id").alias("id"), "url"))
+
+
+def push_items(spark, d):
+    return _plan(spark, d)[0].select("job", "url", "title", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), "passage")
+
+
+def push_replaced(spark, d):
+    return _plan(spark, d)[1].select(F.col("id").alias("qa_id"))
+
+
+def passage_stats(spark, d):
+    return chunks.passage_stats(*chunks.qa_pages(table(spark, d, "crawl_pages")))
+
+
+def import_totals(spark, d):
+    sent = crawl.push(table(spark, d, "crawl_pages").dropDuplicates(["page_id"]), lambda part: (200, {"created": len(part), "embedded": sum(len(r["content"]) > 200 for r in part)}))
+    return crawl.push_totals(sent).select("pages", "failed_batches", "created", "updated", "embedded", "aborted")
+
+
+def send_projection(spark, d):
+    return crawl.to_send(table(spark, d, "crawl_pages")).select("url", "title", F.md5("content").alias("content_md5"))
 
 
 def qa_by_site(spark, d):
@@ -270,12 +309,32 @@ def rag_sources(spark, d):
 
 
 def vector_upsert(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    return catalog.upsert(e.where("vec_id % 3 <> 0"), e.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    moved = e.select((F.col("vec_id") + 100).alias("vec_id"), (F.col("label") + 100).alias("label"), "embedding")  # the whole table again under other ids
+    return catalog.upsert(e, moved, "vec_id").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("first"))
 
 
 def vector_delete(spark, d):
-    return table(spark, d, "embeddings").where("label <> 3").select("vec_id", "label")
+    rest, gone = catalog.delete_rows(table(spark, d, "embeddings"), F.col("label") == 3)
+    return rest.select("vec_id", "label", F.lit(gone).cast("bigint").alias("deleted"))
+
+
+def vector_truncate(spark, d):
+    empty, rows = catalog.truncate(table(spark, d, "embeddings"))
+    return empty.agg(F.count("*").alias("left")).withColumn("deleted", F.lit(rows).cast("bigint"))
+
+
+def vector_index(spark, d):
+    x = chunks.chunks(table(spark, d, "crawl_pages").dropDuplicates(["page_id"])).withColumn("chunk_id", F.concat_ws("_", "chunk_id", F.md5(F.coalesce("url", F.lit("")))))
+    store = x.limit(0).select("chunk_id", "job_id", "url", "text", F.array().cast("array<float>").alias("embedding"))
+    return vectors.index_chunks(x, store, vectors.feature_hash).groupBy("job_id").agg(F.count("*").alias("vectors"), F.count_if(F.col("embedding").isNull()).alias("without_words"))
+
+
+def answers(spark, d):
+    m = _matches(spark, d)
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is near "), "vec_id", F.lit("?")).alias("question"))
+    providers = [("down", lambda p: 1 / 0), ("terse", lambda p: "Short." if len(p) < 2000 else " ")]
+    return vectors.answers(asked, m, providers).select("query_id", "provider")
 
 
 def vector_stats(spark, d):
@@ -311,7 +370,7 @@ def repeated_line_strip(spark, d):
 
 
 def upload_list(spark, d):
-    return intake.upload_list(table(spark, d, "uploads"))
+    return intake.upload_list(table(spark, d, "uploads")).orderBy(F.desc_nulls_last("created_at"), "upload_id")
 
 
 def read_summary(spark, d):
@@ -352,7 +411,7 @@ def job_errors(spark, d):
 
 def job_union(spark, d):
     x = table(spark, d, "crawl_jobs").select("job_id", "total_pages_crawled")
-    live = x.where("total_pages_crawled % 2 = 0").select("job_id", F.lit("running").alias("state"), F.lit(0).alias("pri"))
+    live = table(spark, d, "crawl_jobs").where("lower(status) <> 'completed'").select("job_id", F.lit("running").alias("state"), F.lit(0).alias("pri"))
     saved = x.select("job_id", F.lit("saved").alias("state"), F.lit(1).alias("pri"))
     return catalog.by_priority(live.unionByName(saved), "job_id", "pri").select("job_id", "state")
 
@@ -417,6 +476,127 @@ def systematic_sample(spark, d):
     return ops.every_nth(table(spark, d, "qa_pairs"), "source_name", ["qa_id"], 5).select("qa_id", "step")
 
 
+def _registered(spark, d):
+    jobs, split = table(spark, d, "crawl_jobs"), F.lit("2024-07-01").cast("timestamp_ntz")
+    late = F.coalesce(F.col("completed_at") >= split, F.lit(False))
+    x = ops.register_crawls(ops.register_crawls(None, jobs.where(~late)), jobs.where(late))
+    failed = jobs.where("lower(status) = 'failed'").select(F.col("seed_url").alias("seed"))
+    return ops.set_enabled(x, failed, False), jobs
+
+
+def schedule_changes(spark, d):
+    return _registered(spark, d)[0]
+
+
+def schedules_left(spark, d):
+    x, jobs = _registered(spark, d)
+    return ops.remove_schedules(x, jobs.where("lower(status) = 'stopped'").select(F.col("seed_url").alias("seed"))).select("seed", "enabled")
+
+
+def lock_remaining(spark, d):
+    x = lockouts(spark, d)
+    return x.select("user_id", "locked_at", ops.remaining(F.col("until"), F.lit("2024-01-20 06:30:15").cast("timestamp_ntz")).alias("r")).select("user_id", "locked_at", "r.*")
+
+
+def quota_used(spark, d):
+    x = table(spark, d, "uploads").dropDuplicates(["upload_id"]).groupBy(F.to_date("created_at").alias("day")).agg(F.coalesce(F.sum("page_count"), F.lit(0)).alias("used"))
+    limit = F.when(F.dayofweek("day") == 1, 0).otherwise(20)
+    return x.select(F.col("day").cast("string").alias("day"), "used", ops.quota_percent(F.col("used"), limit).alias("q")).select("day", "used", "q.*")
+
+
+def upload_ids(spark, d):
+    h = F.md5(F.coalesce("file_name", F.lit("")))
+    return table(spark, d, "uploads").select("upload_id", intake.valid_id(F.left(h, F.lit(12))).alias("id"), intake.valid_id(F.col("file_name")).alias("name"), intake.valid_session(F.left(h, F.lit(16))).alias("session"), intake.valid_session(F.left(h, F.lit(12))).alias("short_session"))
+
+
+def stored_names(spark, d):
+    return table(spark, d, "uploads").select("upload_id", U.stored_name(F.concat(F.lit("up/"), "file_name", F.lit(" (copy) #1?.pdf"))).alias("name"))
+
+
+def backup_names(spark, d):
+    return table(spark, d, "crawl_jobs").select("job_id", U.backup_name(F.col("seed_url"), F.lit("20240101-0000")).alias("name"))
+
+
+def upload_pictures(spark, d):
+    first = F.get(F.col("pages"), F.lit(0))["image"]
+    return table(spark, d, "uploads").select("upload_id", intake.has_picture(F.col("pages"), first).alias("first"), intake.has_picture(F.col("pages"), F.lit("p7.jpg")).alias("seventh"), intake.has_picture(F.col("pages"), F.lit("none.jpg")).alias("none"))
+
+
+def read_paths(spark, d):
+    x = intake.upload_pages(table(spark, d, "uploads"))
+    return x.groupBy(intake.read_path(F.col("text"), F.col("engine")).alias("path")).agg(F.count("*").alias("pages"))
+
+
+def upload_limits(spark, d):
+    x = table(spark, d, "uploads").dropDuplicates(["upload_id"]).groupBy("uploader").agg(F.sum("size_bytes").alias("bytes"), F.bool_or(F.coalesce(F.lower("status") == "processing", F.lit(False))).alias("busy"))
+    return x.withColumn("fits", F.coalesce(F.col("bytes") <= 30 * 1024 * 1024, F.lit(False)))
+
+
+def retention_freed(spark, d):
+    x = table(spark, d, "uploads").dropDuplicates(["upload_id"]).select("upload_id", "doc_kind", "size_bytes", F.datediff(F.lit("2025-06-01").cast("date"), F.to_date("created_at")).alias("age"))
+    return ops.freed(ops.retention_plan(x.where("age is not null"), kind="doc_kind", age_days="age", size="size_bytes", name="upload_id", days=7), "size_bytes")
+
+
+def stale_sessions(spark, d):
+    return ops.stale(table(spark, d, "events"), "user_id", "ts", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
+
+
+def model_order(spark, d):
+    names = F.array(*[F.lit(x) for x in ("gemini-1.5-flash", "gemini-2.0-flash", "gemini-2.0-flash-lite", "gemini-1.5-pro", "gemini-2.5-flash-lite", "gemini-2.5-flash", "text-embedding-004")])
+    return spark.range(1).select(F.posexplode(ops.model_order(names, F.array(F.lit("gemini-2.0-flash"), F.lit("other")))).alias("place", "model"))
+
+
+def first_pages(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).select("job_id", "page_id", "page_idx")
+    return ops.latest(x, "job_id", [F.asc("page_idx"), F.asc("page_id")], 5).select("job_id", "page_id", F.col("r").cast("int").alias("r"))
+
+
+def feed_entries(spark, d):
+    link = F.regexp_replace(F.substring_index(F.coalesce("link", F.lit("")), "?", 1), "^http://", "https://")
+    items = table(spark, d, "source_items").dropDuplicates(["item_id"]).withColumn("link", link).where("link <> ''")
+    blocked = refetch_candidates(spark, d).select(F.col("url").alias("link")).distinct()
+    known = table(spark, d, "crawl_pages").where("url is not null").select(F.col("url").alias("link")).distinct()
+    mark = lambda x, n: x.withColumn(n, F.lit(True))
+    x = items.join(mark(blocked, "b"), "link", "left").join(mark(known, "k"), "link", "left")
+    return x.select("item_id", "link", F.coalesce("b", F.lit(False)).alias("wanted"), F.when(F.col("k"), "filled").otherwise("added").alias("state"))
+
+
+def cleaning_report(spark, d):
+    return cleaning.report(cleaning.judged_pages(table(spark, d, "crawl_pages"), None, check_blocks=False, empty_copies=True))
+
+
+def report_samples(spark, d):
+    x = cleaning.report_lines(cleaning.judged_pages(table(spark, d, "crawl_pages"), None, check_blocks=False, empty_copies=True))
+    return cleaning.report_samples(x).select("job", F.col("id").alias("page_id"), "worst")
+
+
+def profile_dry_run(spark, d):
+    x = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).where("url is not null")
+    never = F.lit("0001-01-01").cast("timestamp_ntz")
+    last = catalog.latest_versions(x.join(table(spark, d, "crawl_jobs").select("job_id", "completed_at"), "job_id"), F.col("url"), [F.coalesce("completed_at", never), F.col("page_idx"), F.col("page_id")], ["page_id"])
+    x = x.join(last.select("page_id"), "page_id", "left_semi").withColumn("job_id", U.clean_host(F.col("seed_url")))
+    return cleaning.clean_pages(x, table(spark, d, "site_profiles"))[1].select("job", "pages_in", "pages_out", "words_before", "words_after", "refused")
+
+
+def job_documents(spark, d):
+    pages = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).groupBy("job_id").agg(F.count("*").alias("n"))
+    x = table(spark, d, "crawl_jobs").join(pages, "job_id", "left")
+    return x.select("job_id", "seed_url", F.lower("status").alias("status"), "completed_at", F.coalesce("n", F.lit(0)).alias("pages"))
+
+
+def job_view(spark, d):
+    pages = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).select("job_id", "page_id", "page_idx", "url")
+    last = ops.latest(pages, "job_id", [F.desc("page_idx"), F.desc("page_id")], 5).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("url", F.lit("")).alias("url")))).alias("v"))
+    x = table(spark, d, "crawl_jobs").join(last, "job_id", "left")
+    errors = F.coalesce("stats.errors", F.array().cast("array<string>"))
+    return x.select("job_id", F.array_join(F.transform("v", lambda v: v["url"]), " ").alias("last_urls"), F.array_join(F.slice(errors, F.greatest(F.size(errors) - 9, F.lit(1)), F.lit(10)), "|").alias("last_errors"))
+
+
+def html_pages(spark, d):
+    x = table(spark, d, "raw_pages").select("url", F.concat(F.lit("<html><head><title> "), T.html_escape(F.coalesce("title", F.lit(""))), F.lit(" </title></head><body><nav>Menu</nav><article><p>"), F.replace(T.html_escape(F.coalesce("content", F.lit(""))), F.lit("\n"), F.lit("</p><p>")), F.lit('</p></article><a href="/a.ods">x</a><a href="#top">up</a><footer>end</footer></body></html>')).alias("html"))
+    return html.parsed_pages(x).select("url", "title", F.md5("content").alias("content_md5"), "link_count", "document_count")
+
+
 def job_status(spark, d):
     pages = table(spark, d, "crawl_pages").dropDuplicates(["page_id"]).groupBy("job_id").agg(F.count("*").alias("pages"), F.max_by("url", F.struct("page_idx", "page_id")).alias("last_url"))
     x = table(spark, d, "crawl_jobs").select("job_id", F.lower("status").alias("status"), F.coalesce("duration_seconds", F.lit(0.0)).alias("seconds"), "stats.max_depth_limit")
@@ -427,6 +607,7 @@ QUERIES: dict = {f.__name__: f for f in [
     doc_word_count, doc_fingerprint, doc_lines, url_normalize, url_hosts, url_crawlable, url_same_domain, host_histogram, storage_paths, drop_reasons, drop_histogram, line_boilerplate, ui_lines, block_pages, clean_pages, clean_summary, sitewide_lines, removed_lines_top, page_retention, typical_and_worst_pages, copies_only_lines, report_copies, refetch_candidates, page_names, common_suffixes, content_export, export_documents, change_status, change_counts, catalog_upsert, latest_version,
     chunk_pages, passages, pages_left_whole, valid_questions, qa_rows_to_replace, qa_by_site, pages_with_passages, pages_todo, import_batches, vector_topk, vector_search, rag_prompts, rag_answers, rag_sources, vector_upsert, vector_delete, vector_stats, tidy_pages, layer_quality, page_review, text_agreement, repeated_line_strip, upload_list, read_summary, upload_crawl_pages, job_list, job_page, job_search, job_totals, job_errors, job_union, latest_pages, daily_quota, failure_streaks, lockouts, cleanup_runs, retention_plan, source_quota, usable_items,
     text_utilities, site_names, schedules, due_schedules, systematic_sample, job_status,
+    qa_rows_backup, push_items, push_replaced, passage_stats, import_totals, send_projection, vector_truncate, vector_index, answers, schedule_changes, schedules_left, lock_remaining, quota_used, upload_ids, stored_names, backup_names, upload_pictures, read_paths, upload_limits, retention_freed, stale_sessions, model_order, first_pages, feed_entries, cleaning_report, report_samples, profile_dry_run, job_documents, job_view, html_pages,
 ]}
 
 SQL: dict = {
@@ -443,7 +624,7 @@ SELECT rec_id, CASE WHEN url IS NULL THEN NULL ELSE (CASE WHEN s = '' THEN 'http
 WITH h AS (SELECT rec_id, {S.clean_host('url')} c, {S.part('url', 2)} a, url FROM import_records WHERE url IS NOT NULL), p AS (SELECT *, string_split(c, '.') p FROM h)
 SELECT rec_id, c clean_host, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND list_contains([{', '.join(S.q(t) for t in U.SECOND_LEVEL)}], p[-2]) THEN array_to_string(p[-3:], '.') WHEN len(p) >= 2 THEN array_to_string(p[-2:], '.') ELSE c END root,
   CASE WHEN a <> '' THEN a ELSE url END host FROM p""",
-    "url_crawlable": rf"SELECT rec_id, lower({S.part('url', 1)}) IN ('http', 'https') AND NOT regexp_matches(lower({S.part('url', 3)}), '\.({'|'.join(U.BINARY)})$') crawlable FROM import_records WHERE url IS NOT NULL",
+    "url_crawlable": rf"SELECT rec_id, lower({S.part('url', 1)}) IN ('http', 'https') AND NOT regexp_matches(lower({S.part('url', 3)}), '\.(png|jpg|jpeg|gif|webp|svg|bmp|ico|mp3|mp4|wav|avi|mkv|mov|flv|zip|tar|gz|7z|rar|bz2|exe|msi|bin|dmg|apk|css|js|json|xml|woff|woff2|ttf|eot)$') crawlable FROM import_records WHERE url IS NOT NULL",
     "url_same_domain": rf"""
 WITH x AS (SELECT DISTINCT page_id, url, seed_url, {S.clean_host('url')} a, {S.clean_host('seed_url')} b FROM crawl_pages WHERE url IS NOT NULL)
 SELECT page_id, a = b same, array_to_string(string_split(a, '.')[-2:], '.') = array_to_string(string_split(b, '.')[-2:], '.') same_root FROM x""",
@@ -482,9 +663,9 @@ def _with_key(src: str, cols: str) -> str:
 
 _CRAWL = "SELECT DISTINCT ON (page_id) page_id, job_id, title, content, crawled_at, url FROM crawl_pages ORDER BY page_id"
 _CATALOG = f"""
-oldp AS (SELECT * FROM ({_with_key(_CRAWL, 'page_id, job_id, title, content, crawled_at')}) WHERE crawled_at < TIMESTAMP '2024-07-01'),
+oldp AS (SELECT * FROM ({_with_key(_CRAWL, 'page_id, job_id, title, content, crawled_at')}) WHERE NOT coalesce(crawled_at >= TIMESTAMP '2024-07-01', false)),
 newp AS (SELECT * FROM ({_with_key(_CRAWL, 'page_id, job_id, title, content, crawled_at')}) WHERE crawled_at >= TIMESTAMP '2024-07-01'),
-oc AS (SELECT key, arg_max(page_id, (crawled_at, page_id)) page_id FROM oldp WHERE url IS NOT NULL GROUP BY 1),
+oc AS (SELECT key, arg_max(page_id, (coalesce(crawled_at, TIMESTAMP '0001-01-01'), page_id)) page_id FROM oldp WHERE url IS NOT NULL GROUP BY 1),
 nc AS (SELECT key, arg_max(page_id, (crawled_at, page_id)) page_id FROM newp WHERE url IS NOT NULL GROUP BY 1),
 hs AS (SELECT page_id, job_id, sha256({S.norm("coalesce(content, '')")}) h FROM (SELECT * FROM oldp UNION ALL SELECT * FROM newp)),
 st AS (SELECT n.page_id, n.job_id, CASE WHEN coalesce(a.h, b.h) IS NULL THEN 'new' WHEN coalesce(a.h, b.h) = hs.h THEN 'skipped_unchanged' ELSE 'updated' END status FROM newp n JOIN hs USING (page_id)
@@ -535,7 +716,10 @@ i1 AS (SELECT *, {S.clean_host('l')} host, string_split(trim({S.part('l', 3)}, '
 it AS (SELECT * FROM i1 WHERE l <> '' AND NOT p AND NOT regexp_matches(CASE WHEN sl = '' THEN 'home' ELSE sl END, {S.q(sources_api.JUNK_SLUG)}) AND {S.wc('x')} >= CASE WHEN kind = 'page' THEN 30 ELSE 8 END)"""
 SQL |= {
     "valid_questions": f"SELECT qa_id, {_VALID} valid FROM qa_pairs",
-    "qa_rows_to_replace": f"WITH b AS (SELECT DISTINCT {_BASE} b FROM qa_pairs WHERE url IS NOT NULL AND (qa_id % 3 = 0 OR {_BASE} IN (SELECT url FROM crawl_pages WHERE change_status = 'updated'))) SELECT qa_id FROM qa_pairs WHERE {_BASE} IN (SELECT b FROM b)",
+    "qa_rows_to_replace": f"SELECT qa_id FROM qa_pairs WHERE {_BASE} IN (SELECT {_BASE} FROM qa_pairs WHERE created_at >= TIMESTAMP '2024-06-01' AND url IS NOT NULL)",
+    "qa_rows_backup": f"SELECT qa_id, md5(coalesce(content, '')) content_md5, CASE WHEN {_BASE} IN (SELECT {_BASE} FROM qa_pairs WHERE created_at >= TIMESTAMP '2024-06-01' AND url IS NOT NULL) THEN 'backup' ELSE 'kept' END state FROM qa_pairs",
+    "import_totals": f"SELECT count(*) pages, CAST(0 AS BIGINT) failed_batches, count(*) created, CAST(0 AS BIGINT) updated, count(*) FILTER (length(content) > 200) embedded, false aborted FROM (SELECT DISTINCT page_id, content FROM crawl_pages) WHERE {S.strip('content')} <> ''",
+    "send_projection": f"SELECT coalesce(url, '') url, coalesce(title, '') title, md5(content) content_md5 FROM crawl_pages WHERE {S.strip('content')} <> ''",
     "qa_by_site": f"SELECT source_name, count(*) pairs, count(DISTINCT {_BASE}) pages, count(*) FILTER ({_VALID}) questions FROM qa_pairs GROUP BY 1",
     "pages_with_passages": f"SELECT DISTINCT {_BASE} base FROM crawl_pages WHERE change_status = 'skipped_unchanged' AND url IS NOT NULL",
     "pages_todo": f"SELECT DISTINCT page_id FROM crawl_pages WHERE url IS NOT NULL AND {_BASE} NOT IN (SELECT {_BASE} FROM crawl_pages WHERE change_status = 'skipped_unchanged' AND url IS NOT NULL)",
@@ -547,8 +731,9 @@ SQL |= {
     "rag_answers": """WITH """ + _MATCH + """ SELECT query_id, md5(string_agg(CASE WHEN r = 1 THEN 'Based on the knowledge crawled from **' || coalesce(title, 'the crawled website') || '**:' || chr(10) || chr(10) || '> ' || trim(coalesce(text, '')) || chr(10) || chr(10) || 'This information was retrieved from the official indexed documents.'
   ELSE (CASE WHEN r = 2 THEN chr(10) || chr(10) || '**Additional Context:**' ELSE '' END) || chr(10) || '- *[Passage ' || r || ']*: ' || left(trim(coalesce(text, '')), 200) || '...' END, '' ORDER BY r)) answer_md5 FROM mt GROUP BY query_id""",
     "rag_sources": f"WITH {_MATCH}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY r) k FROM mt WHERE url IS NOT NULL AND url <> '') SELECT query_id, CAST(r AS INTEGER) AS rank, url, coalesce(nullif(title, ''), url) title, similarity FROM s WHERE k = 1",
-    "vector_upsert": "SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0",
-    "vector_delete": "SELECT vec_id, label FROM embeddings WHERE label <> 3",
+    "vector_upsert": 'SELECT vec_id + 100 AS vec_id, label + 100 AS label, CAST(embedding[1] AS DOUBLE) AS "first" FROM embeddings UNION ALL SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id + 100 FROM embeddings)',
+    "vector_delete": "SELECT vec_id, label, (SELECT count(*) FROM embeddings WHERE label = 3) deleted FROM embeddings WHERE label <> 3 OR label IS NULL",
+    "vector_truncate": 'SELECT CAST(0 AS BIGINT) AS "left", count(*) deleted FROM embeddings',
     "vector_stats": "SELECT label, count(*) vectors FROM embeddings GROUP BY 1",
     "tidy_pages": f"WITH {_PAGES} SELECT upload_id, pos AS \"at\", md5({_tidy('t')}) text_md5 FROM up",
     "layer_quality": f"""WITH x AS (SELECT doc_id, {S.strip("coalesce(text, '')")} t, {_SOLID} s, list_sort(list_transform({S.lines('text')}, lambda v: length(v))) l FROM documents)
@@ -577,7 +762,7 @@ SELECT upload_id, 'https://uploads.invalid/' || upload_id || '#p' || n url, coal
     "job_search": "SELECT job_id, seed_url FROM crawl_jobs WHERE contains(lower(job_id), 'edu') OR contains(lower(seed_url), 'edu')",
     "job_totals": "SELECT count(*) jobs, CAST(sum(total_pages_crawled) AS BIGINT) pages, count(*) FILTER (lower(status) IN ('queued', 'running')) active FROM crawl_jobs",
     "job_errors": "SELECT job_id, stats.max_pages_limit max_pages, coalesce(stats.pages_new, 0) pages_new, CAST(coalesce(len(stats.errors), 0) AS INTEGER) errors, total_pages_crawled, least(100, CAST(round(100.0 * total_pages_crawled / nullif(stats.max_pages_limit, 0)) AS INTEGER)) progress FROM crawl_jobs",
-    "job_union": "SELECT job_id, CASE WHEN total_pages_crawled % 2 = 0 THEN 'running' ELSE 'saved' END state FROM crawl_jobs",
+    "job_union": "SELECT job_id, CASE WHEN lower(status) <> 'completed' THEN 'running' ELSE 'saved' END state FROM crawl_jobs",
     "latest_pages": "SELECT job_id, page_id, page_idx, CAST(r AS INTEGER) r FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_idx DESC, page_id DESC) r FROM (SELECT DISTINCT job_id, page_id, page_idx FROM crawl_pages)) WHERE r <= 5",
     "daily_quota": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) n, count(*) > 100 AS over FROM events GROUP BY 1, 2",
     "failure_streaks": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) g FROM events)
@@ -600,7 +785,7 @@ SQL |= {
   md5(replace(regexp_replace(regexp_replace({_ESC5("coalesce(content, '')")}, '\*\*([^*\n]+)\*\*', '<strong>\1</strong>', 'g'), '(?m)^&gt; (.*)$', '<blockquote>\1</blockquote>', 'g'), chr(10), '<br>')) marked,
   CASE WHEN created_at IS NULL THEN NULL WHEN {_AGO} < 60 THEN 'just now' WHEN {_AGO} < 3600 THEN ({_AGO}) // 60 || 'm ago' WHEN {_AGO} < 86400 THEN ({_AGO}) // 3600 || 'h ago' ELSE ({_AGO}) // 86400 || 'd ago' END ago FROM qa_pairs""",
     "site_names": f"SELECT job_id, {_SITE} site, upper(left(split_part({_SITE}, '.', 1), 1)) || substr(split_part({_SITE}, '.', 1), 2) brand, 'Crawl: ' || {_SITE} title FROM crawl_jobs",
-    "schedules": f"WITH {_SCHED} SELECT seed, runs, c last_crawled, nx next_run, CAST(CASE WHEN lf IS NULL THEN 0 ELSE greatest(0, floor(lf)) END AS INTEGER) days_remaining, coalesce(lf <= 0, false) due FROM s1",
+    "schedules": f"WITH {_SCHED} SELECT seed, runs, c last_crawled, nx next_run, CAST(CASE WHEN lf IS NOT NULL THEN greatest(0, floor(lf)) END AS INTEGER) days_remaining, coalesce(lf <= 0, false) due FROM s1",
     "due_schedules": f"WITH {_SCHED} SELECT seed, nx next_run FROM s1 WHERE lf <= 0 ORDER BY nx, seed LIMIT 1",
     "systematic_sample": "WITH x AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY qa_id) r, CAST(greatest(1, count(*) OVER (PARTITION BY source_name) // 5) AS INTEGER) AS step FROM qa_pairs) SELECT qa_id, step FROM x WHERE (r - 1) % step = 0",
     "job_status": """WITH p AS (SELECT job_id, count(*) pages, arg_max(url, (page_idx, page_id)) last_url FROM (SELECT DISTINCT ON (page_id) * FROM crawl_pages ORDER BY page_id) GROUP BY 1)
@@ -650,3 +835,69 @@ bu AS (SELECT job, id, r, CASE WHEN c > 0 AND c <= 20 THEN c ELSE 0 END used, c
   UNION ALL SELECT n.job, n.id, n.r, CASE WHEN n.c > 0 AND bu.used + n.c <= 20 THEN bu.used + n.c ELSE bu.used END, n.c > 0 AND bu.used + n.c <= 20 FROM bu JOIN nc n ON n.job = bu.job AND n.r = bu.r + 1)
 SELECT id page_id FROM bu WHERE NOT fits"""
 )
+
+_SEED = "rtrim(seed_url, '/')"
+_REG = f"""j AS (SELECT {_SEED} seed, max(completed_at) last_crawled, NOT bool_or(lower(status) = 'failed') enabled, bool_or(lower(status) = 'stopped') stopped,
+  max(completed_at) FILTER (completed_at >= TIMESTAMP '2024-07-01') late FROM crawl_jobs WHERE seed_url IS NOT NULL GROUP BY 1)"""
+_LOCKS = SQL["lockouts"]
+_HEX = "md5(coalesce(file_name, ''))"
+_BARE = f"regexp_replace({_SITE}, '[^a-z0-9.]+', '-', 'g')"
+_REPORT = S.JUDGED.replace(S.block("content") + " blk", "false blk").replace("len(ls) > 0 AND fid <> id", "fid <> id").replace("FROM pg LEFT JOIN pr ON pr.domain = " + S.clean_host("seed_url"), "FROM pg LEFT JOIN pr ON false")
+_REPORT += f""",
+kp AS (SELECT job, count(*) kept FROM jd WHERE reason IS NULL GROUP BY 1),
+ln AS (SELECT job, id, url, i pos, ls[i] line, ls, title FROM jd, unnest(range(1, len(ls) + 1)) u(i) WHERE reason IS NULL),
+ld AS (SELECT job, line, count(DISTINCT id) pages FROM ln GROUP BY 1, 2),
+bl AS (SELECT job, line FROM ld JOIN kp USING (job) WHERE pages >= greatest(3, ceil(0.3 * kept))),
+rm AS (SELECT ln.*, {S.wc('ln.line')} n, bl.line IS NOT NULL AND NOT (ln.line = {S.norm("coalesce(title, '')")} OR {S.wc('ln.line')} >= 40 OR regexp_matches(ln.line, {S.q(cleaning.PROTECT)}) OR regexp_matches(ln.line, {S.q(cleaning.DAY_LABEL)})
+  OR ({S.wc('ln.line')} >= 3 AND list_contains(ls[1:6], ln.line))) gone FROM ln LEFT JOIN bl ON bl.job = ln.job AND bl.line = ln.line),
+pw AS (SELECT job, id, url, sum(n) AS b, sum(n) FILTER (NOT gone) AS a FROM rm GROUP BY 1, 2, 3),
+pa AS (SELECT jd.job, jd.id, jd.url, coalesce(b, 0) b, coalesce(a, 0) a FROM jd LEFT JOIN (SELECT id, a, b FROM pw) p USING (id) WHERE reason IS NULL)"""
+SQL |= {
+    "schedule_changes": f"WITH {_REG} SELECT seed, enabled, last_crawled, last_crawled + INTERVAL 10 DAY next_run FROM j",
+    "schedules_left": f"WITH {_REG} SELECT seed, enabled FROM j WHERE NOT stopped",
+    "lock_remaining": _LOCKS[: _LOCKS.rindex("SELECT user_id, make_timestamp")] + """, w AS (SELECT user_id, make_timestamp(t) locked_at, CAST(greatest(0, floor((until - epoch_us(TIMESTAMP '2024-01-20 06:30:15')) / 1000000)) AS INTEGER) s FROM a WHERE lk)
+SELECT user_id, locked_at, s // 3600 "hours", s % 3600 // 60 mins, s "seconds" FROM w""",
+    "quota_used": """WITH u AS (SELECT CAST(created_at AS DATE) dd, CAST(coalesce(sum(page_count), 0) AS BIGINT) used FROM (SELECT DISTINCT upload_id, created_at, page_count FROM uploads) GROUP BY 1),
+p AS (SELECT *, CAST(CASE WHEN dayofweek(dd) = 0 THEN 100 ELSE least(100, floor(used * 100 / 20 + 0.5)) END AS INTEGER) AS "percent" FROM u) SELECT CAST(dd AS VARCHAR) AS day, used, "percent", "percent" >= 80 AS high FROM p""",
+    "upload_ids": f"SELECT upload_id, regexp_full_match(left({_HEX}, 12), '[a-f0-9]{{12}}') id, coalesce(regexp_full_match(file_name, '[a-f0-9]{{12}}'), false) AS name, regexp_full_match(left({_HEX}, 16), '[a-f0-9]{{16}}') AS session, false short_session FROM uploads",
+    "stored_names": r"SELECT upload_id, CASE WHEN file_name IS NULL THEN '' ELSE left(regexp_replace(string_split(file_name || ' (copy) #1?.pdf', '/')[-1], '[^\p{L}\p{N}_ .()-]', '_', 'g'), 120) END AS name FROM uploads",
+    "backup_names": f"SELECT job_id, 'qa-replaced-' || {_BARE} || '-20240101-0000.json' AS name FROM crawl_jobs",
+    "upload_pictures": """SELECT upload_id, coalesce(list_contains(list_transform(pages, lambda p: p.image), pages[1].image) AND pages[1].image IS NOT NULL, false) AS "first", coalesce(list_contains(list_transform(pages, lambda p: p.image), 'p7.jpg'), false) seventh, coalesce(list_contains(list_transform(pages, lambda p: p.image), 'none.jpg'), false) AS "none" FROM uploads""",
+    "read_paths": f"""WITH {_PAGES}, x AS (SELECT engine, {S.strip('t')} st, regexp_replace(t, {_WS}, '', 'g') s, list_sort(list_transform({S.lines('t')}, lambda v: length(v))) l FROM up)
+SELECT CASE WHEN st = '' THEN 'blank' WHEN engine = 'pdf-text' AND length(st) >= 40 AND (length(regexp_replace(s, '[\\x{{00}}-\\x{{7f}}{intake.GOOD}]', '', 'g')) > 0.10 * length(s) OR (len(l) >= 8 AND l[len(l) // 2 + 1] <= 5)) THEN 'garbled_layer' WHEN engine = 'pdf-text' THEN 'text_layer' ELSE 'pictures' END AS path, count(*) pages FROM x GROUP BY 1""",
+    "upload_limits": "WITH u AS (SELECT DISTINCT upload_id, uploader, size_bytes, status FROM uploads) SELECT uploader, CAST(sum(size_bytes) AS BIGINT) bytes, bool_or(coalesce(lower(status) = 'processing', false)) busy, coalesce(sum(size_bytes) <= 31457280, false) fits FROM u GROUP BY 1",
+    "retention_freed": SQL["retention_plan"].replace("SELECT DISTINCT upload_id, doc_kind,", "SELECT DISTINCT upload_id, size_bytes, doc_kind,").replace("SELECT upload_id, CASE WHEN m = 1", ", k AS (SELECT size_bytes, CASE WHEN m = 1").replace('AS "delete" FROM r', 'AS gone FROM r) SELECT count(*) FILTER (gone) deleted, count(*) FILTER (NOT gone) kept, CAST(coalesce(sum(size_bytes) FILTER (gone), 0) AS BIGINT) freed_bytes FROM k'),
+    "stale_sessions": "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 06:00:00'",
+    "model_order": "SELECT CAST(p AS INTEGER) place, m model FROM (VALUES (0, 'gemini-2.0-flash'), (1, 'other'), (2, 'gemini-2.5-flash-lite'), (3, 'gemini-2.0-flash-lite'), (4, 'gemini-2.5-flash'), (5, 'gemini-1.5-flash')) v(p, m)",
+    "first_pages": "SELECT job_id, page_id, CAST(r AS INTEGER) r FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_idx, page_id) r FROM (SELECT DISTINCT job_id, page_id, page_idx FROM crawl_pages)) WHERE r <= 5",
+    "feed_entries": f"""WITH {S.JUDGED}, i AS (SELECT DISTINCT item_id, regexp_replace(split_part(coalesce(link, ''), '?', 1), '^http://', 'https://') link FROM source_items)
+SELECT item_id, link, link IN (SELECT url FROM jd WHERE reason LIKE 'block page%') wanted, CASE WHEN link IN (SELECT url FROM crawl_pages WHERE url IS NOT NULL) THEN 'filled' ELSE 'added' END state FROM i WHERE link <> ''""",
+    "cleaning_report": f"""WITH {_REPORT},
+pg2 AS (SELECT job, count(*) pages_in, count(*) FILTER (reason IS NOT NULL) dropped, sum({S.wc("array_to_string(ls, ' ')")}) wb FROM jd GROUP BY 1),
+su AS (SELECT job, count(*) kept, sum(a) wa, count(*) FILTER (a < 100 OR (b > 0 AND a < 0.6 * b)) flagged FROM pa GROUP BY 1),
+va AS (SELECT job, count(*) n, sum({S.wc('line')}) w FROM (SELECT DISTINCT job, line FROM rm WHERE gone) x ANTI JOIN (SELECT DISTINCT job, line FROM rm WHERE NOT gone) y USING (job, line) GROUP BY 1),
+lo AS (SELECT job, count(DISTINCT url) n FROM (SELECT DISTINCT job, url, unnest(ls) line FROM jd WHERE reason IS NOT NULL) x ANTI JOIN (SELECT DISTINCT job, line FROM ln) y USING (job, line) GROUP BY 1)
+SELECT job, pages_in, dropped, coalesce(kept, 0) kept, CAST(wb AS BIGINT) words_before, CAST(coalesce(wa, 0) + coalesce(va.w, 0) AS BIGINT) words_after, coalesce(flagged, 0) flagged, CAST(0 AS BIGINT) unique_removed, coalesce(va.n, 0) sitewide_lines, CAST(coalesce(va.w, 0) AS BIGINT) sitewide_words, coalesce(lo.n, 0) dropped_with_own_lines
+FROM pg2 LEFT JOIN su USING (job) LEFT JOIN va USING (job) LEFT JOIN lo USING (job)""",
+    "report_samples": f"""WITH {_REPORT}, r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY CASE WHEN b > 0 THEN a / b ELSE 1.0 END, id) x FROM pa),
+k AS (SELECT *, row_number() OVER (PARTITION BY job, x <= 2 ORDER BY md5(url), id) y FROM r) SELECT job, id page_id, x <= 2 worst FROM k WHERE x <= 2 OR y <= 3""",
+    "job_documents": "SELECT j.job_id, j.seed_url, lower(status) status, completed_at, coalesce(n, 0) pages FROM crawl_jobs j LEFT JOIN (SELECT job_id, count(DISTINCT page_id) n FROM crawl_pages GROUP BY 1) p USING (job_id)",
+    "job_view": """WITH p AS (SELECT job_id, coalesce(url, '') url, row_number() OVER (PARTITION BY job_id ORDER BY page_idx DESC, page_id DESC) r FROM (SELECT DISTINCT ON (page_id) * FROM crawl_pages ORDER BY page_id)),
+l AS (SELECT job_id, string_agg(url, ' ' ORDER BY r) u FROM p WHERE r <= 5 GROUP BY 1)
+SELECT job_id, u last_urls, coalesce(array_to_string(stats.errors[-10:], '|'), '') last_errors FROM crawl_jobs LEFT JOIN l USING (job_id)""",
+    "html_pages": f"""WITH x AS (SELECT url, title, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda v: {S.strip('v')}), lambda v: v <> '') l FROM raw_pages), y AS (SELECT *, array_to_string(l, chr(10) || chr(10)) b FROM x)
+SELECT url, CASE WHEN {S.strip("coalesce(title, '')")} = '' THEN coalesce(url, '') ELSE {S.strip('title')} END title, md5(CASE WHEN length(b) > 60 OR b = '' THEN b || CASE WHEN b = '' THEN 'x' || chr(10) || chr(10) || 'up' ELSE '' END ELSE b || chr(10) || chr(10) || 'x' || chr(10) || chr(10) || 'up' END) content_md5, CAST(0 AS INTEGER) link_count, CAST(1 AS INTEGER) document_count FROM y""",
+}
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(completed_at, TIMESTAMP '0001-01-01') DESC, page_idx DESC, page_id DESC) rr FROM (SELECT DISTINCT ON (page_id) p.*, completed_at FROM crawl_pages p JOIN crawl_jobs USING (job_id) WHERE url IS NOT NULL ORDER BY page_id)) WHERE rr = 1"
+SQL["profile_dry_run"] = f"WITH {S.JUDGED.replace('SELECT DISTINCT ON (page_id) job_id job,', f'SELECT {S.clean_host("seed_url")} job,').replace('FROM crawl_pages ORDER BY page_id', f'FROM ({_LATEST})')}, {S.BOILER}, {S.CLEANED} SELECT job, pages_in, pages_out, CAST(wb AS BIGINT) words_before, CAST(wa AS BIGINT) words_after, refused FROM su"
+_SKIP = f"{_BASE} IN (SELECT {_BASE} FROM crawl_pages WHERE change_status = 'skipped_unchanged' AND url IS NOT NULL) AND {_BASE} IN (SELECT {_BASE} FROM qa_pairs WHERE contains(url, '#c'))"
+_TODO = f"(SELECT * FROM crawl_pages WHERE url IS NULL OR NOT ({_SKIP}))"
+_LEFT = SQL["pages_left_whole"].replace("<= 20", f"<= {chunks.MAX_PASSAGES}")
+_BUILT = _LEFT[: _LEFT.rindex("SELECT id page_id FROM bu")].replace("FROM crawl_pages ORDER BY page_id", f"FROM {_TODO} ORDER BY page_id")
+_ITEM = _PASS[_PASS.rindex("SELECT job, split_part") :].replace("JOIN nm USING (id)", "JOIN nm USING (id) JOIN bu USING (job, id) WHERE fits")
+_FITS = _LEFT[: _LEFT.rindex("SELECT id page_id FROM bu")]
+SQL |= {
+    "push_items": f"{_BUILT}, it AS ({_ITEM}) SELECT job, url, title, content_md5, true AS passage FROM it UNION ALL SELECT p.job_id, p.url, p.title, md5(coalesce(p.content, '')), false FROM (SELECT DISTINCT ON (page_id) * FROM crawl_pages ORDER BY page_id) p JOIN bu ON bu.id = p.page_id WHERE NOT fits",
+    "push_replaced": f"{_BUILT}, it AS ({_ITEM}) SELECT qa_id FROM qa_pairs WHERE {_BASE} IN (SELECT {_BASE} FROM it)",
+    "passage_stats": f"{_FITS}, q AS (SELECT job, count(*) n FROM pn JOIN nm USING (id) JOIN bu USING (job, id) WHERE fits GROUP BY 1), w AS (SELECT job, count(*) n FROM bu WHERE NOT fits GROUP BY 1) SELECT coalesce(q.job, w.job) job, coalesce(q.n, 0) passages, CAST(0 AS BIGINT) asked, coalesce(q.n, 0) fallback, coalesce(w.n, 0) pages_plain FROM q FULL JOIN w ON q.job = w.job",
+}

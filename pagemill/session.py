@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Extra settings of a session that this library starts itself; a cluster's own session is left as it is.
@@ -56,22 +59,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names it, else one of our own (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` as the cluster names it. Only a local session, whose executors
+    share the driver's disk, gets one of its own where that is unset; on a cluster the setting is needed."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+_written: list[str] = []
+
+
+def _remove(path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
+        jvm = SparkContext._jvm  # the gateway outlives the session
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # the gateway may be gone already
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+def release(since: int = 0) -> None:
+    """Delete the intermediate tables and files written since a mark; all at the end of the process."""
+    while len(_written) > since:
+        _remove(_written.pop())
+
+
+atexit.register(release)
+
+
+@contextmanager
+def intermediate():
+    """The tables that operators write inside the block are deleted at its end, when their results have been consumed."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        release(mark)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -79,7 +108,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,7 +122,7 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
         out.write(data)
     finally:
         out.close()
-    atexit.register(_remove, spark, path)
+    _written.append(path)
     return path
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import text as T
 from ..functions import url as U
 from ..session import materialize
 
@@ -31,9 +33,12 @@ def save_pages(cleaned: DataFrame, raw: DataFrame, path: str) -> None:
     spark = cleaned.sparkSession
     try:
         done = spark.read.parquet(f"{path}/raw").select("job_id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything else must not lead to a second copy
+            raise
+        done = None  # nothing archived yet
+    if done is not None:
         raw = raw.join(done, "job_id", "left_anti")
-    except Exception:  # nothing archived yet
-        pass
     raw.write.mode("append").partitionBy("job_id").parquet(f"{path}/raw")
     cleaned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{path}/pages")
 
@@ -44,26 +49,36 @@ def write_csv(export: DataFrame, path: str) -> None:
 
 
 def write_json(export: DataFrame, path: str) -> None:
+    """One JSON object a line; ``json_list`` makes a list of them for one crawl."""
     export.select("page", "content").write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def json_list(export: DataFrame) -> DataFrame:
+    """job, json: the export of each crawl as one JSON list of page and content; a crawl is bounded by its page limit."""
+    item = F.to_json(F.struct(F.coalesce("page", F.lit("")).alias("page"), F.coalesce("content", F.lit("")).alias("content")))
+    x = export.groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))), lambda v: v["item"]).alias("items"))
+    return x.select("job", F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("json"))
+
+
 class TableReader(DataSourceReader):
-    """Pages of a stored table as if they were fetched: one partition for each part of the urls' hashes."""
+    """Pages of a stored table as if they were fetched: one partition for each row group, so that each row is read once."""
 
     def __init__(self, options: dict):
-        self.path, self.parts = options["path"], int(options.get("parts", 4))
+        self.path = options["path"]
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.parts)]
+        import pyarrow.dataset as ds
+
+        return [InputPartition((f.path, g.row_groups[0].id)) for f in ds.dataset(self.path, format="parquet").get_fragments() for g in f.split_by_row_group()] or [InputPartition(None)]
 
     def read(self, partition) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
-        import xxhash
+        import pyarrow.parquet as pq
 
-        for b in ds.dataset(self.path).to_batches(columns=["url", "html"]):
-            for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if xxhash.xxh64_intdigest((u or "").encode()) % self.parts == partition.value:
-                    yield u, h
+        if partition.value is None:
+            return
+        path, group = partition.value
+        for b in pq.ParquetFile(path).iter_batches(row_groups=[group], columns=["url", "html"]):
+            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
 
 
 class PageSource(DataSource):
@@ -113,29 +128,61 @@ def frontier(links: DataFrame, seed: str, *, max_pages: int = 50, max_depth: int
     return seen.orderBy("depth", "place").limit(max_pages)
 
 
-def push(rows: DataFrame, send: Callable[[list[dict]], int], *, size: int = 200, waits: tuple[float, ...] = (2, 6, 12)) -> DataFrame:
-    """Send rows in batches from the executors; ``send`` returns an HTTP status. batch rows, tries and status of each batch come back.
+#: What a batch came to.
+SENT = "rows int, tries int, status int, error string, created bigint, updated bigint, embedded bigint"
+
+
+def to_send(pages: DataFrame) -> DataFrame:
+    """url, title and content of the pages that have some; nulls are empty."""
+    return pages.where(T.strip(F.coalesce(F.col("content"), F.lit(""))) != "").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("url", "title", "content")])
+
 
-    A status of 5xx or 429 is tried again after the waits; 401 and 403 end a task's sending.
+def push(pages: DataFrame, send: Callable[[list[dict]], tuple[int, dict]], *, size: int = 200, tries: int = 3, waits: tuple[float, ...] = (2, 6, 12)) -> DataFrame:
+    """Send the pages that have content in batches from the executors; one row a batch comes back, to be added up by ``push_totals``.
+
+    ``send`` gets url, title and content of a batch and returns the status and the reply, of which created, updated and embedded
+    count. 200 is success; any other status and any exception is tried again after the waits, ``tries`` times in all; 401 and 403
+    end the task's sending at once. Batches are filled across Arrow batches; the last of a task may be smaller.
     """
-    names = rows.columns
+
+    def attempt(part: list[dict]) -> tuple:
+        for n in range(1, tries + 1):
+            error, reply = None, {}
+            try:
+                status, reply = send(part)
+            except Exception as e:  # a timeout says nothing but its kind
+                status, error = 0, f"{type(e).__name__}: {e}"
+            if status == 200 or status in (401, 403):
+                break
+            if n < tries and waits:
+                time.sleep(waits[min(n, len(waits)) - 1])
+        return len(part), n, status, error, *(int((reply or {}).get(k) or 0) if status == 200 else 0 for k in ("created", "updated", "embedded"))
 
     def run(batches):
         import pyarrow as pa
 
-        stop = False
-        for b in batches:
-            items = b.to_pylist()
-            for k in range(0, len(items), size):
-                part, status, tries = [{c: r[c] for c in names} for r in items[k : k + size]], 0, 0
-                while not stop and tries <= len(waits):
-                    tries += 1
-                    status = send(part)
-                    if status not in (429,) and status < 500:
-                        break
-                    if tries <= len(waits):
-                        time.sleep(waits[tries - 1])
-                stop = stop or status in (401, 403)
-                yield pa.record_batch([pa.array([len(part)], pa.int32()), pa.array([tries], pa.int32()), pa.array([status], pa.int32())], names=["rows", "tries", "status"])
-
-    return rows.mapInArrow(run, "rows int, tries int, status int")
+        held, out = [], []
+        stopped = False
+        for b in [*batches, None]:
+            held += b.to_pylist() if b is not None else []
+            while not stopped and (len(held) >= size or (b is None and held)):
+                part, held = held[:size], held[size:]
+                out.append(attempt(part))
+                stopped = out[-1][2] in (401, 403)
+        cols = list(zip(*out)) if out else [[]] * 7
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["rows", "tries", "status", "error", "created", "updated", "embedded"])
+
+    return to_send(pages).mapInArrow(run, SENT)
+
+
+def push_totals(sent: DataFrame) -> DataFrame:
+    """One row: pages and batches sent, failed_batches, created, updated, embedded, aborted."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return sent.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("pages"), F.count("*").alias("batches"), F.count_if(F.col("status") != 200).alias("failed_batches"), total("created"), total("updated"), total("embedded"), F.coalesce(F.bool_or(F.col("status").isin(401, 403)), F.lit(False)).alias("aborted"))
+
+
+def read_table(spark: SparkSession, url: str, table: str, *, where: str | None = None, properties: dict | None = None) -> DataFrame:
+    """A table of a database over JDBC; Spark pushes the filter and the columns that are used down to it."""
+    x = spark.read.jdbc(url, table, properties=properties or {})
+    return x.where(where) if where else x

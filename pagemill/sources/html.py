@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -15,12 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements and classes without content, containers of it, extensions of documents, keys of data that hold no text.
-JUNK_TAGS = frozenset("script style noscript svg header footer nav aside form iframe template".split())
+JUNK_TAGS = ("script", "style", "noscript", "svg", "header", "footer", "nav", "aside", "form", "iframe")
 JUNK_CLASSES = frozenset("sidebar widget comments blog-pager feed-links popular-posts".split())
 CONTAINERS = (("class", "post-body"), ("class", "entry-content"), ("tag", "article"), ("tag", "main"), ("role", "main"), ("id", "main"), ("id", "content"))
+DOCUMENTS = (".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".zip", ".rar", ".7z", ".csv", ".odt", ".ods", ".rtf")
+DATA_KEYS = (
+    "url", "href", "src", "slug", "id", "uid", "uuid", "image", "img", "icon", "className", "class", "locale", "locales", "buildId",
+    "path", "pathname", "query", "alt", "type", "key", "ref", "canonical", "sitemap", "favicon",
+)
+DOCUMENT_TEXT = "Download Document"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DOCUMENTS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".csv", ".txt")
-DATA_KEYS = frozenset("id slug url href src image icon className type locale buildId color key name path".split())
+#: Elements whose text no reader sees.
+UNSEEN = ("template",)
 MIN_CONTAINER, THIN_WORDS, DATA_WORDS = 60, 60, 40
 _WORD = re.compile(r"\w+")
 
@@ -30,7 +37,7 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.h1, self.description, self.og_title, self.og_description, self.canonical = "", "", "", "", "", ""
+        self.title, self.has_title, self.h1, self.description, self.og_title, self.og_description, self.canonical = "", False, "", "", "", "", ""
         self.links: list[list[str]] = []
         self.texts: list[tuple[str, frozenset, bool]] = []
         self.data = ""
@@ -54,9 +61,10 @@ class Page(HTMLParser):
             self.links.append(self._link)
         if tag in VOID:
             return
+        self.has_title = self.has_title or tag == "title"
         classes = set(a.get("class", "").split())
         here = {i for i, (kind, v) in enumerate(CONTAINERS) if (kind == "tag" and tag == v) or (kind == "class" and v in classes) or a.get(kind) == v}
-        junk = tag in JUNK_TAGS or bool(classes & JUNK_CLASSES) or "sidebar" in a.get("id", "")
+        junk = tag in JUNK_TAGS or tag in UNSEEN or bool(classes & JUNK_CLASSES) or "sidebar" in a.get("id", "")
         up = self._open[-1] if self._open else ("", False, frozenset())
         self._open.append((tag, up[1] or junk, up[2] | here))
         self._in = "data" if tag == "script" and a.get("id") == "__NEXT_DATA__" else tag
@@ -113,14 +121,14 @@ def data_text(raw: str) -> str:
         elif isinstance(x, list):
             stack.extend(reversed(x))
         elif isinstance(x, str):
-            t = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", x)).strip()
-            if len(t) >= 25 and sum(c.isalpha() for c in t) >= 0.5 * len(t) and not re.match(r"^(https?:|/)\S*$", t):
-                out.setdefault(t)
+            for t in map(str.strip, (unescape(re.sub(r"<[^>]*>", "\n", x)) if "<" in x else x).split("\n")):
+                if len(t) >= 25 and sum(map(str.isalpha, t)) >= 0.5 * len(t) and not t.startswith(("http://", "https://", "/")):
+                    out.setdefault(t)
     return "\n\n".join(out)
 
 
 def parse(html: str | None, url: str | None) -> dict:
-    """The parts of a page. Null and empty pages have empty parts; a title of blanks gives way to the url."""
+    """The parts of a page. Null and empty pages have empty parts; a title of blanks gives way to the url. Links are as they stand in the page (see ``resolved``)."""
     p = Page()
     try:
         p.feed(html or "")
@@ -133,17 +141,34 @@ def parse(html: str | None, url: str | None) -> dict:
         rendered = data_text(p.data)
         if len(_WORD.findall(rendered)) >= DATA_WORDS and len(rendered) > 1.5 * len(text):
             text, n = rendered, len(_WORD.findall(rendered))
-    links = [(urljoin(url or "", h), t) for h, t in p.links if h and not h.startswith(("#", "javascript:", "mailto:", "tel:"))]
+    links = [(h.strip(), t) for h, t in p.links if h.strip() and not h.strip().startswith(("#", "javascript:", "mailto:", "tel:"))]
     is_doc = lambda h: h.lower().split("?")[0].endswith(DOCUMENTS)
-    return {"title": p.title or p.og_title or p.h1 or (url or ""), "description": p.description or p.og_description, "canonical": p.canonical, "content": text, "word_count": n, "links": [x for x in links if not is_doc(x[0])], "documents": [x for x in links if is_doc(x[0])]}
+    title = p.title if p.has_title else p.og_title or p.h1
+    return {"title": title or (url or ""), "description": p.description or p.og_description, "canonical": p.canonical, "content": text, "word_count": n, "links": [x for x in links if not is_doc(x[0])], "documents": [(h, t or DOCUMENT_TEXT) for h, t in links if is_doc(h)]}
 
 
 _LINK = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))
 SCHEMA = "url string, title string, description string, canonical string, content string, word_count int, links array<struct<href:string,text:string>>, documents array<struct<href:string,text:string>>"
 
 
+def resolved(links: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
+    """base, href and target: each link against the url of its page; null and unreadable links have a null target."""
+
+    def one(b, h):
+        try:
+            return urljoin(b or "", h) if h is not None else None
+        except ValueError:
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([one(x, h) for x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())], names=["base", "href", "target"])
+
+    return links.select(F.col(base).cast("string").alias("base"), F.col(href).cast("string").alias("href")).mapInArrow(run, "base string, href string, target string")
+
+
 def parsed_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row a page with its title, description, canonical url, content, word count, links and document links."""
+    """One row a page with its title, description, canonical url, content, word count, links and document links, and how many there are."""
 
     def run(batches):
         for b in batches:
@@ -151,4 +176,5 @@ def parsed_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Data
             pairs = lambda k: pa.array([[{"href": h, "text": t} for h, t in r[k]] for r in rows], _LINK)
             yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], pa.string()) for k in ("title", "description", "canonical", "content")), pa.array([r["word_count"] for r in rows], pa.int32()), pairs("links"), pairs("documents")], names=["url", "title", "description", "canonical", "content", "word_count", "links", "documents"])
 
-    return pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, SCHEMA)
+    x = pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, SCHEMA)
+    return x.withColumns({"link_count": F.size("links"), "document_count": F.size("documents")})

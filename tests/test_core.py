@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
@@ -41,7 +43,9 @@ def test_domains(spark):
     assert value(spark, U.root_domain(F.col("u")), u="news.site.com") == "site.com"
     assert value(spark, U.same_domain(F.col("u"), F.lit("https://www.site.com/"), True), u="https://x.site.com/a") is True
     assert value(spark, U.same_domain(F.col("u"), F.lit("https://www.site.com/"), False), u="https://x.site.com/a") is False
-    assert value(spark, U.crawlable(F.col("u")), u="https://a/x.PDF") is False
+    assert value(spark, U.crawlable(F.col("u")), u="https://a/x.PDF") is True
+    for x in ("BMP", "wav", "mkv", "flv", "7z"):
+        assert value(spark, U.crawlable(F.col("u")), u=f"https://a/x.{x}") is False
     assert value(spark, U.crawlable(F.col("u")), u="ftp://a/x") is False
 
 
@@ -170,12 +174,25 @@ def test_ops(spark):
     assert plan[("k", 0)] is False and plan[("k", 6)] is True and plan[("k", 5)] is False and plan[("single", 35)] is True
 
 
+def test_resolved_links(spark):
+    x = spark.createDataFrame([("https://s.example/dir/", "b"), ("https://s.example/a", "/x?y=1"), (None, "b"), ("https://s", None), ("https://s", "http://[x")], "url string, href string")
+    assert [r["target"] for r in html.resolved(x).collect()] == ["https://s.example/dir/b", "https://s.example/x?y=1", "b", None, None]
+
+
 def test_html():
     doc = "<html><head><title> T </title><meta name=Description content='d'><link rel=canonical href='/c'></head><body><nav>menu</nav><article><h1>H</h1><p>One <b>two</b> three and a good deal more of text to read here.<p>Second paragraph &amp; more</article><footer>foot</footer><a href='/x.pdf'>doc</a><a href='#a'>no</a><a href='b'>yes</a><script>var x = '</p>';</script></body>"
     p = html.parse(doc, "https://s.example/dir/")
     assert (p["title"], p["description"], p["canonical"]) == ("T", "d", "/c")
     assert p["content"].startswith("H\n\nOne\n\ntwo\n\nthree") and "menu" not in p["content"] and "foot" not in p["content"]
-    assert p["links"] == [("https://s.example/dir/b", "yes")] and p["documents"] == [("https://s.example/x.pdf", "doc")]
+    assert p["links"] == [("b", "yes")] and p["documents"] == [("/x.pdf", "doc")]
+    assert html.parse("<title> </title><meta property='og:title' content='og'>", "u")["title"] == "u"
+    assert html.parse("<meta property='og:title' content='og'><h1>h</h1>", "u")["title"] == "og"
+    assert html.parse("<template><p>unseen</p></template><p>seen", "u")["content"] == "seen"
+    assert [h for h, _ in html.parse("<a href=a.rar></a><a href=b.7z>z</a><a href=c.txt>t</a><a href=d.odt?x=1></a>", "u")["documents"]] == ["a.rar", "b.7z", "d.odt?x=1"]
+    assert html.parse("<a href=a.rar></a>", "u")["documents"] == [("a.rar", "Download Document")]
+    lines = ["The name of the ferry is a long sentence by itself", "and the second line of it is long enough as well"]
+    raw = {"props": {"pageProps": {"name": "\n".join([*lines, "short"]), "alt": "An alternative text that is long enough to be kept", "x": {"color": f"<p>{lines[0]} again</p>"}}}}
+    assert html.data_text(json.dumps(raw)).split("\n\n") == [*lines, lines[0] + " again"]
     assert html.parse(None, "u")["title"] == "u"
     text = " ".join(["A long enough sentence of the page number %d for the reader." % i for i in range(8)])
     data = '<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"body": "%s", "slug": "a-slug-that-is-long-enough-to-count"}}}</script>' % text
@@ -184,8 +201,6 @@ def test_html():
 
 
 def test_sources(spark, tmp_path):
-    import json
-
     (tmp_path / "a_s.json").write_text(json.dumps({"job_id": "a", "seed_url": "https://s/", "pages": [{"url": "https://s/1", "content": "x"}, {"url": "https://s/2"}]}))
     (tmp_path / "schedules.json").write_text("{}")
     (tmp_path / "bad.json").write_text("{")
@@ -194,14 +209,66 @@ def test_sources(spark, tmp_path):
     spark.createDataFrame([("https://s/1", "<p>a"), ("https://s/2", "<p>b")], "url string, html string").write.parquet(str(tmp_path / "t"))
     spark.dataSource.register(crawl.PageSource)
     assert spark.read.format("pages").option("path", str(tmp_path / "t")).load().count() == 2
-    links = spark.createDataFrame([("https://s/", 0, "https://s/a/"), ("https://s/", 1, "https://s/b?utm_x=1"), ("https://s/a", 0, "https://s/c"), ("https://s/c", 0, "https://s/d"), ("https://s/", 2, "https://other/x"), ("https://s/", 3, "https://s/f.pdf")], "source string, pos int, href string")
+    links = spark.createDataFrame([("https://s/", 0, "https://s/a/"), ("https://s/", 1, "https://s/b?utm_x=1"), ("https://s/a", 0, "https://s/c"), ("https://s/c", 0, "https://s/d"), ("https://s/", 2, "https://other/x"), ("https://s/", 3, "https://s/f.zip")], "source string, pos int, href string")
     got = [(r["url"], r["depth"]) for r in crawl.frontier(links, "https://s/", max_depth=2).collect()]
     assert got == [("https://s/", 0), ("https://s/a", 1), ("https://s/b", 1), ("https://s/c", 2)]
     maps = spark.createDataFrame([("m", "<sitemapindex><loc>n</loc></sitemapindex>"), ("n", "<urlset><loc> https://s/1 </loc><loc>https://s/2</loc></urlset>")], "url string, text string")
     assert [r["loc"] for r in crawl.sitemap_urls(maps, ["m"]).collect()] == ["https://s/1", "https://s/2"]
-    rows = spark.createDataFrame([(i,) for i in range(5)], "i int").coalesce(1)
-    sent = crawl.push(rows, lambda part: 200 if len(part) < 3 else 500, size=3, waits=(0, 0)).collect()
-    assert [(r["rows"], r["tries"], r["status"]) for r in sent] == [(3, 3, 500), (2, 1, 200)]
+
+
+def test_push(spark):
+    pages = spark.createDataFrame([(f"u{i}", None, f"text {i}" if i < 5 else " \n") for i in range(7)], "url string, title string, content string").coalesce(1)
+    sent = crawl.push(pages, lambda part: (200, {"created": len(part), "updated": 1, "embedded": None}) if len(part) < 3 else (500, {}), size=3, waits=(0, 0))
+    assert [(r["rows"], r["tries"], r["status"], r["created"]) for r in sent.collect()] == [(3, 3, 500, 0), (2, 1, 200, 2)]
+    assert crawl.push_totals(sent).first().asDict() == {"pages": 5, "batches": 2, "failed_batches": 1, "created": 2, "updated": 1, "embedded": 0, "aborted": False}
+
+    def fails(part):
+        raise TimeoutError
+
+    assert [(r["tries"], r["status"], r["error"]) for r in crawl.push(pages, fails, size=5, waits=(0,)).collect()] == [(3, 0, "TimeoutError: ")]
+    stopped = crawl.push(pages, lambda part: (403, {}), size=2).collect()
+    assert [(r["rows"], r["tries"]) for r in stopped] == [(2, 1)] and crawl.push_totals(crawl.push(pages.limit(0), fails)).first()["pages"] == 0
+
+
+def test_push_with_passages(spark):
+    text = "\n\n".join(" ".join(f"w{k}{i}" for i in range(100)) for k in "abc")
+    pages = spark.createDataFrame([("j", 1, 0, "https://s/", "https://s/1", "One", text, "new"), ("j", 2, 1, "https://s/", "https://s/2", "Two", "short", "new"), ("j", 3, 2, "https://s/", "https://s/3", "Three", text, "skipped_unchanged")], PAGES + ", change_status string")
+    existing = spark.createDataFrame([(1, "https://s/1#c1"), (2, "https://s/3#c1"), (3, "https://s/9#c1")], "id bigint, url string")
+    saved = []
+    got = chunks.push_with_passages(pages, existing, lambda part: (200, {"created": len(part)}), save_backup=lambda b: saved.extend(r["id"] for r in b.collect()))
+    assert (got["mode"], got["totals"]["pages"], saved) == ("passages", 3, [1]) and sorted(r["id"] for r in got["rest"].collect()) == [2, 3]
+    assert chunks.push_with_passages(pages, existing, lambda part: (401, {}))["mode"] == "pages_after_failure"
+    assert chunks.push_with_passages(pages, existing.drop("url"), lambda part: (200, {}))["mode"] == "pages_after_error"
+
+
+def test_answers_cascade(spark):
+    m = spark.createDataFrame([(1, 1, 0.1, "t", "u", "T", "q"), (2, 1, 0.2, "long " * 50, "u", "T", "q")], "query_id bigint, rank int, d double, text string, url string, title string, question string")
+    asked = spark.createDataFrame([(1, "q"), (2, "q"), (3, "q")], "query_id bigint, question string")
+
+    def broken(p):
+        raise OSError
+
+    got = {r["query_id"]: (r["provider"], r["answer"]) for r in vectors.answers(asked, m, [("a", broken), ("b", lambda p: "Yes. " if len(p) < 200 else "")]).collect()}
+    assert got[1] == ("b", "Yes.") and got[2][0] == "local_synthesizer" and got[2][1].startswith("Based on") and got[3] == ("local_synthesizer", vectors.NOTHING_FOUND)
+
+
+def test_json_list_and_exports(spark, tmp_path):
+    x = spark.createDataFrame([("j", 1, "B", 'say "x"'), ("j", 0, "A", "a")], "job string, idx int, page string, content string")
+    assert json.loads(crawl.json_list(x).first()["json"]) == [{"page": "A", "content": "a"}, {"page": "B", "content": 'say "x"'}]
+    crawl.write_csv(x.coalesce(1), str(tmp_path / "c"))
+    text = next((tmp_path / "c").glob("*.csv")).read_bytes()
+    assert text.startswith(b'"\xef\xbb\xbfPage","Content"') and b'""x""' in text
+
+
+def test_shared_folder_is_left_clean(spark):
+    from pagemill import session
+
+    with session.intermediate():
+        path = session.materialize(spark.range(3)).inputFiles()[0]
+        assert path
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://").replace("file:", "").rsplit("/", 1)[0])
 
 
 def test_save_pages_keeps_the_first_archive(spark, tmp_path):
@@ -238,4 +305,4 @@ def test_pieces_and_schedule(spark):
     assert {r["sid"]: (r["complete"], r["bytes"] and bytes(r["bytes"])) for r in ops.pieces(c, session="sid", index="i", total="total", data="data").collect()} == {"s": (True, b"abc"), "t": (False, None)}
     j = spark.createDataFrame([("https://S/", "2024-01-01 00:00:00"), ("https://s", "2024-01-05 00:00:00"), ("https://t", None)], "seed_url string, t string").select("seed_url", F.to_timestamp("t").alias("completed_at"))
     got = {r["seed"]: (r["days_remaining"], r["due"]) for r in ops.schedule(j, F.lit("2024-01-10").cast("timestamp")).collect()}
-    assert got == {"https://s": (5, False), "https://t": (0, False)}
+    assert got == {"https://s": (5, False), "https://t": (None, False)}

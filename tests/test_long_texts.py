@@ -2,7 +2,7 @@
 
 import time
 
-from pagemill.operators import canonical, chunks, cleaning, export, intake, similar
+from pagemill.operators import chunks, cleaning, export, intake
 
 N = 40_000
 BAD = ["." * N + "a", " " * N + "a", "x" + " " * N + "y", "a" * N, "- " * N, "a " * N, "\n" * N + "x", "a-" * N, "…" * N, "आ" * N, "{{" * N, "1" * N, '{"a": "' + "b" * N + '"}', '{"a":' * 2000, "a: b\n" * N, "", None]
@@ -18,8 +18,6 @@ def test_core_over_awkward_texts(spark):
     assert cleaning.clean_pages(p, None)[0].count() > 0
     assert export.named_pages(p).count() == len(BAD)
     assert chunks.chunks(p).count() > 0
-    assert canonical.canonical_members(p, id_col="page_id", url="seed_url", content="content").count() >= 0
-    assert similar.similar_pairs(p, id_col="page_id", text="content").count() >= 0
     assert p.select(intake.clean_text("content"), intake.layer_quality("content")).where("true").count() == len(BAD)
     p.select(intake.clean_text("content").alias("a"), intake.layer_quality("content").alias("b")).write.format("noop").mode("overwrite").save()
     assert time.time() - t < 180
