@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from pagemill.llm import boilerplate, broken_pairs, cutoff, encode, leaks, residue, scans, site_lines
+from pagemill.llm import boilerplate, broken_pairs, canonical, cutoff, encode, leaks, residue, scans, similar, site_lines
 
 N = 40_000
 BAD = ["." * N + "a", " " * N + "a", "x" + " " * N + "y", "a" * N, "- " * N, "a " * N, "\n" * N + "x", "a-" * N, "…" * N, "आ" * N, "{{" * N, "1" * N, '"' * N + ".", "[ " * N, "&" * N + "x", "#a" * N, "|  " * N, "", None]
@@ -19,6 +19,8 @@ def test_operators_over_awkward_texts(spark):
     t = time.time()
     df = spark.createDataFrame([(i, "https://s.example/", f"https://s.example/{i}", x and x[:50], x) for i, x in enumerate(BAD)], "page_id bigint, seed_url string, url string, title string, content string").cache()
     noop(boilerplate.boilerplate_lines(df, page_id="page_id"))
+    noop(canonical.canonical_members(df, id_col="page_id", url="seed_url", content="content"))
+    noop(similar.similar_pairs(df, id_col="page_id", text="content"))
     noop(broken_pairs.broken_pairs(df, pair_id="page_id", question="title"))
     noop(cutoff.ends(df, doc_id="page_id", text="content", source="seed_url"))
     noop(leaks.leaked_items(df, df, doc_id="page_id", text="content", item_id="page_id", fields=("title",)))
