@@ -14,8 +14,12 @@ after that. Corrections are ranked by how often the better word occurs.
 Hyphens. A word broken by a soft hyphen or its likes at the end of a line is broken; with a real hyphen the corpus decides:
 the joined word must be more frequent than the hyphenated one, or neither piece be a word of its own.
 
-Cost: the documents are read three times; words are counted with partial aggregation; what is joined is the vocabulary. The
-table of misread words goes to the tasks below ``broadcast_rows`` rows; beyond, all words meet it in a shuffled join.
+Cost: the documents are read twice, once for the shapes of headers and once for the structured lines with their words, which are
+written; all else runs on these in the JVM. Words are counted with partial aggregation; what is joined is the vocabulary. The table of
+misread words goes to the tasks below ``broadcast_rows`` rows; beyond, all words meet it in a shuffled join.
+
+Definitions: a running header has at most 160 characters, a line with a page number at most 200, and both stand among the first or
+last two lines of a page. Words of over 60 letters are counted, but only judged by the signs in them.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ LIGATURE = r"[\x{fb00}-\x{fb06}]"
 _not_letters = regex.compile(r"[^\p{L}\p{M}]+").sub
 _SOFT = "¬­‐‑"
 BROKEN = re.compile(r"([^\s।,.;:!?\"'“”‘’()|\[\]]+?)([-¬­‐‑])\s*$")
+_MARKS = frozenset("-" + _SOFT)
 _TRIM = "।॥,.;:!?\"'“”‘’()[]{}<>…–—-¬\u00ad‐‑*_=/\\"
 # signs inside a word stay, as they may be misread letters
-_SPLIT = re.compile(r"[\s।॥…–—]+")
+_PARTING = "।॥…–—"
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -131,11 +136,19 @@ def title_words(line: str, shapes: frozenset, known: frozenset) -> bool:
 
 def broken(line: str):
     """The match of a hyphen at the end of a line; a word has at most 200 letters here."""
-    return BROKEN.search(line[-200:])
+    x = line.rstrip()
+    return BROKEN.search(x[-200:]) if x[-1:] in _MARKS else None
 
 
 def tokens(line: str) -> list[str]:
-    return [w for w in (x.strip(_TRIM).lower() for x in _SPLIT.split(line)) if w and w != "|"]
+    return [w for x in _parted(line.lower()) if (w := x.strip(_TRIM)) and w != "|"]
+
+
+def _parted(line: str) -> list[str]:
+    for c in _PARTING:
+        if c in line:
+            line = line.replace(c, " ")
+    return line.split()
 
 
 def group_of(text: str) -> str:
@@ -158,26 +171,47 @@ def breaks(doc) -> list[tuple[int, int, str, str, str, str, str]]:
     for (n, i, x), (_, _, y) in zip(rows, rows[1:]):
         m = broken(x)
         if m and m.group(1)[-1].isalpha() | (m.group(1)[-1] > "ऀ"):
-            nxt = _SPLIT.split(y.strip())[0].strip(_TRIM) if y.strip() else ""
+            nxt = _parted(y)[0].strip(_TRIM) if y.strip()[0] not in _PARTING else ""
             if nxt and (nxt[0].isalpha() or nxt[0] > "ऀ"):
                 a, b = m.group(1).strip(_TRIM).lower(), nxt.lower()
                 out.append((n, i, m.group(2), a + b, f"{a}-{b}", a, b))
     return out
 
 
-def _documents(uploads: DataFrame, upload_id: str, pages: str) -> DataFrame:
-    """id and its pages as (n, text), in order; pages without a number are left out."""
+def _documents(uploads: DataFrame, upload_id: str, pages: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """id and its pages as (n, text), in order, of each document once; pages without a number are left out. Only documents that were
+    delivered more than once are shuffled."""
     p = F.filter(F.col(pages), lambda x: x["n"].isNotNull())
     p = F.array_sort(F.transform(p, lambda x: F.struct(x["n"].cast("int").alias("n"), F.coalesce(x["text"].cast("string"), F.lit("")).alias("text"))))
-    return uploads.select(F.col(upload_id).alias("id"), p.alias("pages")).where("id is not null and size(pages) > 0").dropDuplicates(["id"])
+    x = uploads.select(F.col(upload_id).alias("id"), p.alias("pages")).where("id is not null and size(pages) > 0")
+    again = materialize(uploads.groupBy(F.col(upload_id).alias("id")).count().where("count > 1 and id is not null").select("id"), "delivered-again")
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again
+    return x.join(again, "id", "left_anti").unionByName(x.join(again, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _headers(src: DataFrame) -> DataFrame:
+    """id, a: the header lines that are found by repetition in a document alone."""
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            ids, texts = [], []
+            for i, ps in zip(b.column(0), b.column(1).to_pylist()):
+                got = [lines[k] for _, lines, kinds in structure([(p["n"], p["text"]) for p in ps]) for k, v in kinds.items() if v == "header"]
+                ids += [i.as_py()] * len(got)
+                texts += got
+            yield pa.record_batch([pa.array(ids, b.column(0).type), pa.array(texts, pa.string())], names=["id", "a"])
+
+    return src.mapInArrow(run, f"id {kind}, a string")
 
 
-_SCHEMA = "page_n int, line_no int, kind string, g string, a string, b string, c string, d string"
+_COLUMNS = ["page_n", "line_no", "kind", "g", "words", "a", "b", "c", "d"]
 
 
-def _rows(src: DataFrame, shared, want: frozenset) -> DataFrame:
-    """Found lines and, as asked for, the breaks of body lines: joined, hyphenated and both pieces."""
-    kind_of_id = src.schema["id"].dataType.simpleString()
+def _structured(src: DataFrame, shared) -> DataFrame:
+    """One row for each line that is not blank: its kind (header, page_number, body), the group and the different words of a body line
+    without the pieces of broken words; where its last word is broken, the mark (soft or break), joined, hyphenated and both pieces."""
+    kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
         shapes, known = shared.value
@@ -185,21 +219,21 @@ def _rows(src: DataFrame, shared, want: frozenset) -> DataFrame:
             out: list[tuple] = []
             for i, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 doc = structure([(p["n"], p["text"]) for p in ps], shapes, known)
-                if "line" in want:
-                    out += [(i, n, k + 1, kind, None, lines[k], None, None, None) for n, lines, kinds in doc for k, kind in kinds.items()]
-                if "break" in want:
-                    g = group_of("".join(p["text"] for p in ps))
-                    out += [(i, n, k + 1, "soft" if mark in _SOFT else "break", g, j, h, f, nx) for n, k, mark, j, h, f, nx in breaks(doc)]
-            cols = list(zip(*out)) if out else [[]] * 9
-            types = [b.column(0).type, pa.int32(), pa.int32(), *[pa.string()] * 6]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "page_n", "line_no", "kind", "g", "a", "b", "c", "d"])
+                g = group_of("".join(p["text"] for p in ps))
+                out += [(i, n, k + 1, v, g, None, None, None, None, None) for n, _, kinds in doc for k, v in kinds.items()]
+                cuts = {(n, k): ("soft" if mark in _SOFT else "break", j, h, f, nx) for n, k, mark, j, h, f, nx in breaks(doc)}
+                for n, k, ws in _words(doc):
+                    mark, *pieces = cuts.get((n, k - 1), ("body", None, None, None, None))
+                    out.append((i, n, k, mark, g, ws, *pieces))
+            cols = list(zip(*out)) if out else [[]] * 10
+            types = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["id", *_COLUMNS])
 
-    return src.mapInArrow(run, f"id {kind_of_id}, {_SCHEMA}")
+    return src.mapInArrow(run, f"id {kind}, page_n int, line_no int, kind string, g string, words array<string>, a string, b string, c string, d string")
 
 
-def _words(ps, shapes: frozenset, known: frozenset):
-    """(page, line number, words) of the body lines of a document, without the pieces of words broken at line ends."""
-    doc = structure([(p["n"], p["text"]) for p in ps], shapes, known)
+def _words(doc):
+    """(page, line number, different words) of the body lines of a document, without the pieces of words broken at line ends."""
     rows, tail = list(body(doc)), False
     for at, (n, k, x) in enumerate(rows):
         cut = at + 1 < len(rows) and broken(x) is not None
@@ -207,64 +241,22 @@ def _words(ps, shapes: frozenset, known: frozenset):
         ws = ws[1:] if tail else ws
         ws = ws[:-1] if cut else ws
         tail = cut
-        yield n, k + 1, [w for w in dict.fromkeys(ws) if 2 <= len(w) <= 60 and not w.isdigit()]
-
-
-def _vocabulary(src: DataFrame, shared) -> DataFrame:
-    """w, g, n: on how many body lines each word of a group stands; counted in the tasks before anything is written."""
-
-    def run(batches):
-        shapes, known = shared.value
-        for b in batches:
-            count: Counter = Counter()
-            for ps in b.column(1).to_pylist():
-                g = group_of("".join(p["text"] for p in ps))
-                for _, _, ws in _words(ps, shapes, known):
-                    count.update((w, g) for w in ws)
-            yield pa.record_batch([pa.array([w for w, _ in count], pa.string()), pa.array([g for _, g in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["w", "g", "n"])
-
-    return src.mapInArrow(run, "w string, g string, n bigint").groupBy("w", "g").agg(F.sum("n").alias("n"))
-
-
-def _misread(src: DataFrame, shared, wrong: DataFrame, broadcast_rows: int) -> DataFrame:
-    """id, page_n, line_no, wrong, better of every misread word of every line. The table of words goes to the tasks when it has
-    at most ``broadcast_rows`` rows; beyond that all words meet it in a shuffled join."""
-    kind = src.schema["id"].dataType.simpleString()
-    small = wrong.count() <= broadcast_rows
-    known_wrong = src.sparkSession.sparkContext.broadcast({(r["w"], r["g"]): r["better"] for r in wrong.toLocalIterator()} if small else None)
-
-    def run(batches):
-        shapes, known = shared.value
-        table = known_wrong.value
-        for b in batches:
-            out: list[tuple] = []
-            for i, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = group_of("".join(p["text"] for p in ps))
-                for n, k, ws in _words(ps, shapes, known):
-                    out += [(i, n, k, g, w, table[w, g] if table is not None else None) for w in ws if table is None or (w, g) in table]
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = [b.column(0).type, pa.int32(), pa.int32(), *[pa.string()] * 3]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "page_n", "line_no", "g", "wrong", "better"])
-
-    x = src.mapInArrow(run, f"id {kind}, page_n int, line_no int, g string, wrong string, better string")
-    if not small:
-        x = x.drop("better").join(wrong.withColumnRenamed("w", "wrong"), ["wrong", "g"])
-    return x.select("id", "page_n", "line_no", "wrong", "better")
+        yield n, k + 1, [w for w in dict.fromkeys(ws) if len(w) >= 2 and not w.isdigit()]
 
 
 def _shapes(src: DataFrame) -> tuple[frozenset, frozenset]:
-    """Shapes of the headers found by repetition, and the frequent words in them: at most 600 short strings."""
-    shared = src.sparkSession.sparkContext.broadcast((frozenset(), frozenset()))
-    heads = _rows(src.where("size(pages) > 1"), shared, frozenset(["line"])).where("kind = 'header'")
+    """Shapes of the headers found by repetition, and the frequent words in them. A shape needs 1 in 500 headers, so there are at most
+    500; a word 1 in 50, so there are at most 50 times a header's words."""
+    heads = _headers(src.where("size(pages) > 1"))
     text = F.trim(F.regexp_replace("a", r"[\p{Nd}|·•–—\[\]]+|\.{2,}|^[ivxlc]+\s{2,}|\s[ivxlc]+$", " "))
     heads = materialize(heads.select("id", F.lower(text).alias("t")).distinct(), "headers")
     ws = F.regexp_extract_all("t", F.lit(TITLE_WORD), F.lit(0))
     n = heads.count()
-    known = frozenset(r["w"] for r in heads.select(F.explode(F.array_distinct(ws)).alias("w")).groupBy("w").count().where(F.col("count") >= max(3, 0.02 * n)).orderBy(F.desc("count"), "w").limit(200).collect())
+    known = frozenset(r["w"] for r in heads.select(F.explode(F.array_distinct(ws)).alias("w")).groupBy("w").count().where(F.col("count") >= max(3, 0.02 * n)).collect())
     kept = F.array(*[F.lit(w) for w in sorted(known)]) if known else F.array().cast("array<string>")
     shape = F.array_join(F.transform(ws, lambda w: F.when(F.array_contains(kept, w), w).when(w < "ɐ", "L").otherwise("I")), " ")
     counts = heads.select(shape.alias("s")).where("s <> ''").groupBy("s").count()
-    return frozenset(r["s"] for r in counts.where(F.col("count") >= max(2, 0.002 * n)).orderBy(F.desc("count"), "s").limit(400).collect()), known
+    return frozenset(r["s"] for r in counts.where(F.col("count") >= max(2, 0.002 * n)).collect()), known
 
 
 def anagram_hash(word):
@@ -272,10 +264,10 @@ def anagram_hash(word):
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda s, ch: s + F.when(ch == "", F.lit(0)).otherwise(F.shiftright(F.abs(F.shiftright(F.xxhash64(ch), 1)), 9)))
 
 
-def confusions(vocabulary: DataFrame, *, ratio: float = 10.0, least_words: int = 4, most: int = 300) -> DataFrame:
-    """right, wrong: replacements of one span of at most three letters that turn at least
-    ``least_words`` different rare words into words ``ratio`` times as frequent. At most ``most`` rows, the frequent ones first."""
-    v = vocabulary.where("length(w) >= 3")
+def confusions(vocabulary: DataFrame, *, ratio: float = 10.0, least_words: int = 4, share: float = 0.0002) -> DataFrame:
+    """right, wrong: replacements of one span of at most three letters that turn at least ``least_words`` different rare words, and
+    ``share`` of all such turns, into words ``ratio`` times as frequent; by the share there are at most 5000."""
+    v = vocabulary.where("length(w) between 3 and 60")
     spans = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.length("w") - k, F.lit(0))), lambda i: F.struct(i.alias("at"), k.alias("k")))))
     e = v.select("w", "g", "n", F.explode(spans).alias("p")).select("w", "g", "n", F.expr("substring(w, p.at + 1, p.k)").alias("span"), F.expr("concat(substring(w, 1, p.at), '\\u0000', substring(w, p.at + p.k + 1))").alias("frame"), F.length("w").alias("len"))
     e = e.where("length(frame) > 2")
@@ -286,19 +278,25 @@ def confusions(vocabulary: DataFrame, *, ratio: float = 10.0, least_words: int =
     grown = F.startswith("wrong", "right") & F.expr("substring(wrong, length(right) + 1)").rlike(r"^[\p{M}]*[\x{09bc}\x{093c}]$|^[^\p{L}\p{M}\p{N}]+$")
     bare = (F.left("right", F.lit(1)) != F.left("wrong", F.lit(1))) & (F.substring("right", -1, 1) != F.substring("wrong", -1, 1))
     x = x.where(bare | ((F.length("right") == 1) & grown))
-    x = x.distinct().groupBy("right", "wrong").agg(F.count("*").alias("words")).where(F.col("words") >= least_words)
+    x = materialize(x.distinct().groupBy("right", "wrong").agg(F.count("*").alias("words")), "turns")
+    total = x.agg(F.sum("words")).first()[0] or 0
+    x = x.where(F.col("words") >= max(least_words, share * total))
     x = x.where(~F.col("right").rlike(r"^\p{Nd}+$") & ~(F.col("right").rlike(r"\p{Nd}") & F.col("wrong").rlike(r"\p{Nd}")))
-    return x.orderBy(F.desc("words"), "right", "wrong").limit(most)
+    return x
 
 
 def misread_words(vocabulary: DataFrame, pairs: DataFrame, *, ratio: float = 10.0, least: int = 5) -> DataFrame:
     """w, g, better: each rare word with the most frequent word that it is with one confusion undone.
 
-    The join is on anagram hashes: h(w) - h(wrong) + h(right) = h(better). ``pairs`` is small (see ``confusions``).
+    The spans of a word meet the confusions, and the join is on anagram hashes: h(w) - h(wrong) + h(right) = h(better). ``pairs`` is
+    small (see ``confusions``).
     """
-    v = vocabulary.where("length(w) >= 2").withColumn("h", anagram_hash(F.col("w")))
+    v = vocabulary.where("length(w) between 2 and 60").withColumn("h", anagram_hash(F.col("w")))
     d = pairs.select("right", "wrong", (anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).alias("d"))
-    rare = v.crossJoin(F.broadcast(d)).where((F.instr(F.col("w"), F.col("wrong")) > 0) & ((F.length("w") > 2) | F.col("wrong").rlike(r"^[^\p{L}\p{M}]+$"))).select("w", "g", "n", "right", "wrong", (F.col("h") + F.col("d")).alias("h"))  # at most `most` confusions
+    n = F.length("w")
+    spans = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring("w", i, k))).otherwise(F.array().cast("array<string>")))))
+    rare = v.select("w", "g", "n", "h", F.explode(spans).alias("wrong")).join(F.broadcast(d), "wrong")  # at most 5000 confusions
+    rare = rare.where((F.length("w") > 2) | F.col("wrong").rlike(r"^[^\p{L}\p{M}]+$")).select("w", "g", "n", "right", "wrong", (F.col("h") + F.col("d")).alias("h"))
     good = v.select(F.col("w").alias("better"), "g", F.col("n").alias("m"), "h")
     x = rare.join(good, ["h", "g"]).where((F.col("m") >= least) & (F.col("m") >= ratio * F.col("n")))
     undone = F.exists(F.sequence(F.lit(1), F.length("w")), lambda i: F.col("w").substr(i, F.length("wrong")).eqNullSafe(F.col("wrong")) & (F.concat(F.col("w").substr(F.lit(1), i - 1), F.col("right"), F.col("w").substr(i + F.length("wrong"), F.length("w"))) == F.col("better")))
@@ -316,26 +314,27 @@ def noise(uploads: DataFrame, *, upload_id: str = "upload_id", pages: str = "pag
     src = _documents(uploads, upload_id, pages)
     spark = uploads.sparkSession
     shared = spark.sparkContext.broadcast(_shapes(src))
-    found = materialize(_rows(src, shared, frozenset(["line", "break"])), "scan-lines")
-    vocabulary = materialize(_vocabulary(src, shared), "vocabulary")
+    lines = materialize(_structured(src, shared), "scan-lines")
+    words = lines.select("id", "page_n", "line_no", "g", F.explode("words").alias("wrong"))
+    vocabulary = materialize(words.groupBy(F.col("wrong").alias("w"), "g").agg(F.count("*").alias("n")), "vocabulary")
     pairs = materialize(confusions(vocabulary), "confusions")
     wrong = materialize(misread_words(vocabulary, pairs), "misread")
     # a word with a sign that only misreading puts into words has no need of a frequent neighbour
     signs = [r["wrong"] for r in pairs.where(r"wrong rlike '^[^\\p{L}\\p{M}]$'").select("wrong").distinct().collect()]
-    odd = vocabulary.join(wrong, ["w", "g"], "left_anti").where(r"w rlike '\\p{L}{2}'").select("w", "g")
+    fresh = vocabulary.join(wrong, ["w", "g"], "left_anti")
+    odd = F.col("w").rlike(LIGATURE)
     if signs:
         cls = "[" + "".join("\\" + s if not s.isalnum() else s for s in sorted(signs)) + "]"
-        odd = odd.where(F.col("w").rlike(rf"\p{{L}}{cls}|{cls}\p{{L}}") & ~F.col("w").rlike(r"^\p{Nd}+\p{L}{1,3}$") & ~F.col("w").rlike(rf"[^\p{{L}}\p{{M}}\p{{Nd}}'{cls[1:-1]}-]"))
-        odd = odd.unionByName(vocabulary.join(wrong, ["w", "g"], "left_anti").where(F.col("w").rlike(LIGATURE)).select("w", "g")).distinct()
-        wrong = materialize(wrong.unionByName(odd.withColumn("better", F.lit(None).cast("string"))), "misread-all")
-    misread = _misread(src, shared, wrong, broadcast_rows).select("id", "page_n", "line_no", F.lit("misread").alias("noise"), "wrong", "better")
-    cases = found.where("kind in ('break', 'soft')").select("id", "page_n", "line_no", "kind", "g", "a", "b", "c", "d")
+        odd |= F.col("w").rlike(r"\p{L}{2}") & F.col("w").rlike(rf"\p{{L}}{cls}|{cls}\p{{L}}") & ~F.col("w").rlike(r"^\p{Nd}+\p{L}{1,3}$") & ~F.col("w").rlike(rf"[^\p{{L}}\p{{M}}\p{{Nd}}'{cls[1:-1]}-]")
+    wrong = materialize(wrong.unionByName(fresh.where(odd).select("w", "g", F.lit(None).cast("string").alias("better"))), "misread-all").withColumnRenamed("w", "wrong")
+    misread = words.join(F.broadcast(wrong) if wrong.count() <= broadcast_rows else wrong, ["wrong", "g"]).select("id", "page_n", "line_no", F.lit("misread").alias("noise"), "wrong", "better")
+    cases = lines.where("kind in ('break', 'soft')").select("id", "page_n", "line_no", "kind", "g", "a", "b", "c", "d")
     roles = cases.where("kind = 'break'").select("id", "page_n", "line_no", "g", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")), F.array("a", "b", "c", "d"))).alias("role", "w"))
     seen = roles.join(vocabulary, ["w", "g"], "left").groupBy("id", "page_n", "line_no").agg(*[F.max(F.when(F.col("role") == r, F.coalesce("n", F.lit(0)))).alias(f"n{r}") for r in "abcd"])
     real = (F.col("na") > F.col("nb")) | ((F.col("na") == 0) & (F.col("nb") == 0) & ~((F.col("nc") > 0) & (F.col("nd") > 0)))
     # where neither form is known, a piece that is a word of its own hangs on to a hyphen of its own
     broken = cases.join(seen, ["id", "page_n", "line_no"], "left").where((F.col("kind") == "soft") | real)
-    out = found.where("kind in ('header', 'page_number')").select("id", "page_n", "line_no", F.col("kind").alias("noise"), F.lit(None).cast("string").alias("wrong"), F.lit(None).cast("string").alias("better"))
+    out = lines.where("kind in ('header', 'page_number')").select("id", "page_n", "line_no", F.col("kind").alias("noise"), F.lit(None).cast("string").alias("wrong"), F.lit(None).cast("string").alias("better"))
     out = out.unionByName(broken.select("id", "page_n", "line_no", F.lit("hyphen").alias("noise"), F.lit(None).cast("string").alias("wrong"), F.col("a").alias("better"))).unionByName(misread)
     return out.withColumnRenamed("id", upload_id)
 
