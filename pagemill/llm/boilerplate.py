@@ -11,7 +11,10 @@ does not: the links of a sidebar below its heading, and the page's name at the e
 whose next line is mostly a title of another page; its run of title-like lines goes with it. Page tools vary as well; like
 everything above the page's own heading they belong to the subtree that precedes the main content and go with it.
 
-Cost: three scans (titles and words, elements, labelling) and narrow shuffles of hashes, all combined before they are written.
+A title has at most 160 characters here, without its date; longer lines are no headings and no links.
+
+Cost: four scans (words, titles, elements, labelling) and narrow shuffles of hashes, all combined before they are written; texts are
+shuffled only where a page was delivered more than once.
 The elements of a host are bounded by the lines of its pages; the joined sets are broadcast only below ``broadcast_rows``.
 """
 
@@ -33,7 +36,9 @@ TITLE_WORD = r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
 _letters = regex.compile(r"[\p{L}\p{M}]+").findall
 _title_words = regex.compile(TITLE_WORD).findall
 _not_word = re.compile(r"\W+")
-SENTENCE_END = re.compile(r"[.!?।॥…]['\"”’)\]]*$")
+_word_character = re.compile(r"\w").search
+_may_trail = re.compile(r"[»›>/→]").search
+_may_part = re.compile(r"[|·»›>•▪●¦\t]|\s\s").search
 
 
 def _words(text: str) -> list[str]:
@@ -75,26 +80,61 @@ def title_shape(text: str, known: frozenset) -> str:
     return " ".join(w if w in known else ("L" if w[0] < "ɐ" else "I") for w in _title_words(text.lower()))
 
 
+def pieces_of(line: str) -> list[str]:
+    return [p for p in SEPARATOR.split(line) if p] if _may_part(line) else [line] if line else []
+
+
+def ends_sentence(line: str) -> bool:
+    return line.rstrip("'\"”’)]")[-1:] in tuple(".!?।॥…")
+
+
+class Shapes(frozenset):
+    """Title shapes that remember the short lines they were asked about."""
+
+    def fit(self, line: str, known: frozenset) -> bool:
+        memo = self.__dict__.setdefault("memo", {})
+        x = memo.get(line)
+        if x is None:
+            if len(memo) >= 100_000:
+                memo.clear()
+            x = memo[line] = title_shape(line, known) in self
+        return x
+
+
 def title_like(line: str, shapes: frozenset, known: frozenset) -> bool:
     if len(line) > 400 or line.endswith((".", "।")):
         return False
-    x = DATED.sub("", line.strip())
-    return bool(x) and len(x) <= 160 and "|" not in x and not SENTENCE_END.search(x) and not re.match(r"^[\d\-•*#]", x) and title_shape(x, known) in shapes
+    x = line.strip()
+    if x.endswith(")"):
+        x = DATED.sub("", x)
+    if not x or len(x) > 160 or "|" in x or ends_sentence(x) or x[0] in "-•*#" or x[0].isdecimal():
+        return False
+    return shapes.fit(x, known) if isinstance(shapes, Shapes) else title_shape(x, known) in shapes
+
 
+class Names(frozenset):
+    """A page's names by their word characters, with what a line needs to be one of them."""
 
-def own_titles(title: str | None) -> set[str]:
+    def __init__(self, names=()):
+        self.first, self.longest = frozenset(n[:1] for n in self), 400 + max(map(len, self), default=0)
+
+
+def own_titles(title: str | None) -> Names:
     """The page's name: its title, and its parts where a site's name is put before or behind."""
     if not title or not title.strip():
-        return set()
+        return Names()
     x = re.sub(r"\s+", " ", title.strip())
     out = {x}
     for m in re.finditer(r"\s+[-|–—·:»]\s+", x):
         out |= {x[: m.start()].strip(), x[m.end() :].strip()}
-    return {_not_word.sub("", t.lower()) for t in out if t}
+    return Names(_not_word.sub("", t.lower()) for t in out if t)
 
 
-def _same(line: str, names: set[str]) -> bool:
-    return bool(names) and len(line) <= 400 + max(map(len, names)) and _not_word.sub("", line.lower()) in names
+def _same(line: str, names: Names) -> bool:
+    if not names or len(line) > names.longest:
+        return False
+    m = _word_character(line)
+    return (m.group().lower()[:1] if m else "") in names.first and _not_word.sub("", line.lower()) in names
 
 
 def elements(content: str, title: str | None, words: frozenset, shapes: frozenset, title_words: frozenset) -> dict[str, bool]:
@@ -103,7 +143,7 @@ def elements(content: str, title: str | None, words: frozenset, shapes: frozense
     names, out = own_titles(title), {}
     for i, line in enumerate(lines):
         after = i + 1 < len(lines) and title_like(lines[i + 1], shapes, title_words) and not _same(lines[i + 1], names)
-        pieces = [p for p in SEPARATOR.split(line) if p]
+        pieces = pieces_of(line)
         for p in pieces:
             k = levelled(p, words)
             if k:
@@ -120,13 +160,13 @@ def noise_lines(content: str | None, title: str | None, template: set, heads: se
     at = [i for i, x in enumerate(lines) if x]
     kinds: dict[int, str] = {}
     for i in at:
-        pieces = [(p, k) for p, k in ((p, levelled(p, words)) for p in SEPARATOR.split(lines[i]) if p) if k]
+        pieces = [(p, k) for p, k in ((p, levelled(p, words)) for p in pieces_of(lines[i])) if k]
         keys = [k for _, k in pieces]
         whole = levelled(lines[i], words) if len(pieces) > 1 else ""
         if pieces and (all(k in template for k in keys) or (whole and whole in template)):
             kinds[i] = "head" if len(pieces) == 1 and keys[0] in heads else "template"
         else:
-            trail = [p for p in BREADCRUMB.split(lines[i]) if p.strip()]
+            trail = [p for p in BREADCRUMB.split(lines[i]) if p.strip()] if _may_trail(lines[i]) else ()
             if len(trail) > 1 and all(levelled(p, words) in template for p in trail[:-1]):
                 kinds[i] = "template"
                 if not names:
@@ -143,7 +183,7 @@ def noise_lines(content: str | None, title: str | None, template: set, heads: se
     heading = next((i for i in at if _same(lines[i], names)), None)
     if heading is None:
         # no title: the heading is the title-like line before the first sentence of the body; outside a sidebar if there is one
-        first = next((i for i in at if i not in kinds and SENTENCE_END.search(lines[i]) and len(_words(lines[i])) > 5), None)
+        first = next((i for i in at if i not in kinds and ends_sentence(lines[i]) and len(_words(lines[i])) > 5), None)
         titles = [i for i in at if first is not None and i < first and i not in kinds and title_like(lines[i], shapes, title_words)]
         free = [i for i in titles if i not in run]
         heading = free[0] if free else titles[-1] if titles else None
@@ -161,22 +201,50 @@ def _source(pages: DataFrame, page_id: str, host: str, title: str, content: str)
     return pages.select(F.col(page_id).alias("id"), F.coalesce(site_of(F.col(host).cast("string")), F.lit("")).alias("host"), F.col(title).cast("string").alias("title"), F.col(content).cast("string").alias("t")).where("id is not null and t is not null")
 
 
+def _once(src: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Each page once: only those delivered more than once are shuffled."""
+    again = materialize(src.groupBy("id").count().where("count > 1").select("id"), "delivered-again")
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again
+    return src.join(again, "id", "left_anti").unionByName(src.join(again, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _words_of_hosts(batches):
+    """host hash and word, each once for a good part of a task."""
+    seen: set = set()
+
+    def rows():
+        hosts, words = zip(*seen) if seen else ((), ())
+        return pa.record_batch([pa.array(hosts, pa.int64()), pa.array(words, pa.string())], names=["h", "w"])
+
+    for b in batches:
+        for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            seen.update((h, w) for w in set(_letters(t.lower())))
+        if len(seen) > 1_000_000:
+            yield rows()
+            seen.clear()
+    yield rows()
+
+
 def _vocabulary(src: DataFrame, most: int) -> tuple[frozenset, frozenset, frozenset]:
-    """(words, shapes, title words): words of at least 2 % of the hosts (3 at least), frames of at least 0.05 % of the titles and the words those keep."""
-    word = r"[\p{L}\p{M}]+"
+    """(words, shapes, title words): words of at least 2 % of the hosts (3 at least), frames of at least 0.05 % of the titles, so that
+    there are at most 2000, and the words these keep, which 2 % of the titles have. Were there more than ``most`` words, which the
+    frequent words of no handful of languages are, more hosts would have to have one."""
     hosts = src.select("host").distinct().count()
-    per = src.select("host", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(word), F.lit(0)))).alias("w")).distinct().groupBy("w").count()
-    words = frozenset(r["w"] for r in per.where(F.col("count") >= max(min(3, hosts), 0.02 * hosts)).orderBy(F.desc("count"), "w").limit(most).collect())
+    per = src.select(F.xxhash64("host").alias("h"), "t").mapInArrow(_words_of_hosts, "h bigint, w string").distinct().groupBy("w").count()
+    per = materialize(per.where(F.col("count") >= max(min(3, hosts), 0.02 * hosts)), "host-words")
+    need = 0
+    while per.where(F.col("count") > need).count() > most:
+        need = max(2 * need, hosts // 50)
+    words = frozenset(r["w"] for r in per.where(F.col("count") > need).select("w").collect())
     titles = src.where("title is not null").select(F.regexp_replace("title", r"\s+[-|–—]\s+.*$", "").alias("title")).distinct()
     n = titles.count()
     tw = titles.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(TITLE_WORD), F.lit(0)))).alias("w")).groupBy("w").count()
-    known = frozenset(r["w"] for r in tw.where(F.col("count") >= max(3, 0.02 * n)).orderBy(F.desc("count"), "w").limit(200).collect())
+    known = frozenset(r["w"] for r in tw.where(F.col("count") >= max(3, 0.02 * n)).select("w").collect())
     kept = F.array(*[F.lit(w) for w in sorted(known)]) if known else F.array().cast("array<string>")
     tokens = F.regexp_extract_all(F.lower("title"), F.lit(TITLE_WORD), F.lit(0))
     shape = F.array_join(F.transform(tokens, lambda w: F.when(F.array_contains(kept, w), w).when(w < "ɐ", "L").otherwise("I")), " ")
     counts = titles.select(shape.alias("s")).where("s <> ''").groupBy("s").count()
-    shapes = frozenset(r["s"] for r in counts.where(F.col("count") >= max(2, 0.0005 * n)).orderBy(F.desc("count"), "s").limit(400).collect())
-    return words, shapes, known
+    return words, frozenset(r["s"] for r in counts.where(F.col("count") >= max(2, 0.0005 * n)).select("s").collect()), known
 
 
 def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str = "seed_url", title: str = "title", content: str = "content", recurs: float = 0.4, few_pages: int = 20, most_words: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -188,11 +256,11 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
     """
     spark = pages.sparkSession
     src = _source(pages, page_id, host, title, content)
-    shared = spark.sparkContext.broadcast(_vocabulary(src, most_words))  # at most most_words + 600 short strings
+    shared = spark.sparkContext.broadcast(_vocabulary(src, most_words))  # at most most_words and some 3000 short strings
 
     def emit(batches):
         words, shapes, known = shared.value
-        words = Words(words)
+        words, shapes = Words(words), Shapes(shapes)
         for b in batches:
             hosts, keys, heads = [], [], []
             for h, title_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -202,7 +270,7 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
                     heads.append(int(after))
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(heads, pa.int32())], names=["host", "k", "head"])
 
-    one = src.dropDuplicates(["id"])
+    one = _once(src, broadcast_rows)
     found = one.select("host", "title", "t").mapInArrow(emit, "host string, k string, head int")
     # the words of an element are only needed as its hash from here on
     per_host = materialize(found.groupBy("host", F.xxhash64("k").alias("k")).agg(F.count("*").alias("m"), F.sum("head").alias("heads")), "elements")
@@ -222,7 +290,7 @@ def boilerplate_lines(pages: DataFrame, *, page_id: str = "raw_id", host: str =
 
     def label(batches):
         words, shapes, known = shared.value
-        words = Words(words)
+        words, shapes = Words(words), Shapes(shapes)
         for b in batches:
             ids, nos = [], []
             for i, ti, t, tm, hd in zip(*(b.column(c).to_pylist() for c in range(5))):
