@@ -21,6 +21,10 @@ def p2_groups(spark, d):
     return similar.similar_groups(table(spark, d, "source_items"), id_col="item_id", text="content", run=3, likeness=0.6, min_words=20).select(F.col("id").alias("item_id"), F.col("group").alias("group_id"), "links")
 
 
+def p3_pages(spark, d):
+    return boilerplate.main_content(table(spark, d, "raw_pages")).select("raw_id", F.md5("content").alias("content_md5"))
+
+
 def p4_found(spark, d):
     x = canonical.canonical_members(table(spark, d, "import_records"), id_col="rec_id", url="url", content="content")
     return x.select(F.col("first").alias("first_rec_id"), F.col("id").alias("rec_id"))
@@ -54,6 +58,10 @@ def p10_sources(spark, d):
     return cutoff.cut_by_source(table(spark, d, "documents"))
 
 
+def p6_kept(spark, d):
+    return residue.without_residue(table(spark, d, "crawl_pages")).select("page_id").distinct()
+
+
 def p7_found(spark, d):
     return site_lines.flagged_lines(table(spark, d, "crawl_pages")).select("page_id", "line_no")
 
@@ -70,7 +78,11 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in [p1_found, p2_found, p2_groups, p3_found, p4_found, p4_records, p5_found, p5_paragraphs, p6_found, p7_found, p7_pages, p8_ids, p9_found, p10_found, p10_sources]}
+def p9_spans(spark, d):
+    return leaks.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+
+
+QUERIES = {f.__name__: f for f in [p1_found, p2_found, p2_groups, p3_found, p3_pages, p4_found, p4_records, p5_found, p5_paragraphs, p6_found, p6_kept, p7_found, p7_pages, p8_ids, p9_found, p9_spans, p10_found, p10_sources]}
 
 SQL = {
     "p2_found": r"""

@@ -10,6 +10,7 @@ most ``block_words`` words (checked), each block is broadcast and is another pas
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,10 +96,10 @@ def leak_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("field", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32())])
     out = None
     for rows in _blocks(items, item_id, list(fields), block_words):
-        shared = spark.sparkContext.broadcast(rows)
+        shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def scan(batches, shared=shared):
-            key = (id(shared.value), n)
+        def scan(batches, shared=shared, name=name):
+            key = (name, n)  # one automaton a worker; names never come again
             if key not in _built:
                 _built.clear()
                 _built[key] = build(shared.value, n)
