@@ -96,21 +96,21 @@ class Splits:
 
 
 def _histogram(shared):
-    """Keys -> for each open node and next byte: rows, bytes and the least and greatest of the next bytes."""
+    """Keys and digests -> for each open node and next byte: rows, bytes, the least and greatest of the next bytes and of the digests."""
 
     def go(batches):
-        splits, opened = shared.value
+        splits, opened, window = shared.value
         seen: dict[tuple[int, int], list] = {}
         for b in batches:
-            for k in b.column(0).to_pylist():
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, _ = splits.find(k)
                 at = opened.get(n)
                 if at is None:
                     continue
-                more = k[at + 1 : at + 1 + WINDOW]
+                more = k[at + 1 : at + 1 + window]
                 got = seen.get(p := (n, k[at] if at < len(k) else -1))
                 if got is None:
-                    seen[p] = [1, len(k), more, more]
+                    seen[p] = [1, len(k), more, more, d, d]
                 else:
                     got[0] += 1
                     got[1] += len(k)
@@ -118,9 +118,10 @@ def _histogram(shared):
                         got[2] = more
                     elif more > got[3]:
                         got[3] = more
+                    got[4], got[5] = min(got[4], d), max(got[5], d)
         rows = [(n, c, *v) for (n, c), v in seen.items()]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "digit", "n", "bytes", "lo", "hi"])
+        cols = list(zip(*rows)) if rows else [[]] * 8
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["node", "digit", "n", "bytes", "lo", "hi", "dlo", "dhi"])
 
     return go
 
@@ -128,11 +129,11 @@ def _histogram(shared):
 def find_splits(pre: DataFrame, limit: int) -> Splits:
     """The split points under which no bucket holds more than ``limit`` bytes, single keys aside, which get a number of salts."""
     spark, splits = pre.sparkSession, Splits()
-    opened = {0: 0}
+    opened, window = {0: 0}, WINDOW
     while opened:
-        shared = spark.sparkContext.broadcast((splits, opened))
-        h = pre.select("key").mapInArrow(_histogram(shared), "node int, digit int, n bigint, bytes bigint, lo binary, hi binary")
-        h = h.groupBy("node", "digit").agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        shared = spark.sparkContext.broadcast((splits, opened, window))
+        h = pre.select("key", "digest").mapInArrow(_histogram(shared), "node int, digit int, n bigint, bytes bigint, lo binary, hi binary, dlo binary, dhi binary")
+        h = h.groupBy("node", "digit").agg(F.sum("bytes").alias("bytes"), *[F.min(c).alias(c) for c in ("lo", "dlo")], *[F.max(c).alias(c) for c in ("hi", "dhi")])
         # small parts of a node stay in it, one bucket for each first byte is not needed for them
         big = h.where(F.col("bytes") > limit).collect()
         at, opened = opened, {}
@@ -143,10 +144,11 @@ def find_splits(pre: DataFrame, limit: int) -> Splits:
             splits.to[r["node"]][r["digit"]] = child
             lo, hi = bytes(r["lo"]), bytes(r["hi"])
             same = next((i for i, (a, b) in enumerate(zip(lo, hi)) if a != b), min(len(lo), len(hi)))
-            if r["digit"] < 0 or (lo == hi and len(lo) < WINDOW):
+            if r["digit"] < 0 or (lo == hi and len(lo) < window) or r["dlo"] == r["dhi"]:
                 splits.salt[child] = -(-r["bytes"] // limit)  # a single key
             else:
                 opened[child] = at[r["node"]] + 1 + same
+        window = min(2 * window, 1 << 20)  # long keys that are long the same take few passes
     return splits
 
 

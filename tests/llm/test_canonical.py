@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -80,7 +81,8 @@ def test_against_brute_force(spark):
 def test_splits_hold_the_limit(spark):
     r = random.Random(3)
     keys = [b"https" + bytes(r.choice(b"abc") for _ in range(r.randint(0, 6))) for _ in range(400)] + [b"https" * 30 + bytes([r.randrange(97, 100)]) for _ in range(100)] + [b"hot"] * 200
-    pre = spark.createDataFrame([(k,) for k in keys], "key binary")
+    keys += [b"z" * 30_000 + x for x in (b"1", b"1", b"2")]
+    pre = spark.createDataFrame([(k, hashlib.md5(k).digest()) for k in keys], "key binary, digest binary")
     splits = C.find_splits(pre, 300)
     sizes: dict = {}
     for k in keys:
